@@ -18,7 +18,7 @@ _OTHER_RUNS = [a + b for a in _SPACES if a >= "\x80" for b in " \n"]
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 
 #: Chunks a worker keeps.  Those met first, the frequent ones as a rule, outlive a clearing.
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 300_000
 
 
 def pack_ids(ids: Iterable[int]) -> bytes:

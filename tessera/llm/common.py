@@ -44,7 +44,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 # ---- Arrow batches -------------------------------------------------------------------------
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows whose texts take about ``most`` bytes (one row at least)."""
     for batch in batches:
         n = batch.num_rows

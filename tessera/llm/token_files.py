@@ -46,15 +46,43 @@ SCHEMA = "part int, at long, doc_id long, n_tokens long, ids array<int>"
 _encoders: dict[str, ChunkEncoder] = {}
 
 
+#: Unseen chunks put together for one call of the tokenizer.
+TOGETHER = 512
+
+
 def _encoder(tokenizer_path: str) -> ChunkEncoder:
-    """One for each worker process, kept between tasks."""
-    if tokenizer_path not in _encoders:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        _encoders[tokenizer_path] = ChunkEncoder(
-            lambda chunks: [pack_ids(e.ids) for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        )
+    """One for each worker process, kept between tasks.
+
+    Chunks that begin with their only space or line feed are joined before they are encoded: the cuts
+    between them are safe, and a token that begins with a space or line feed begins a chunk.
+    """
+    if tokenizer_path in _encoders:
+        return _encoders[tokenizer_path]
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path)
+    size = max(tokenizer.get_vocab().values()) + 1
+    begins = np.array([(tokenizer.id_to_token(i) or "")[:1] in ("\u0120", "\u010a") for i in range(size)])
+
+    def one(chunk: str) -> bytes:
+        return pack_ids(tokenizer.encode(chunk, add_special_tokens=False).ids)
+
+    def encode_chunks(chunks: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(chunks), TOGETHER):
+            part = chunks[at : at + TOGETHER]
+            joined = "".join(part)
+            if joined.count(" ") + joined.count("\n") == len(part) and all(c[:1] in (" ", "\n") for c in part):
+                ids = np.array(tokenizer.encode(joined, add_special_tokens=False).ids, "<u4")
+                starts = np.flatnonzero(begins[ids])
+                if len(starts) == len(part):
+                    data, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+                    out += [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                    continue
+            out += map(one, part)
+        return out
+
+    _encoders[tokenizer_path] = ChunkEncoder(encode_chunks)
     return _encoders[tokenizer_path]
 
 
