@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, decontam, exact_dedup, token_files
+from tessera.llm import bpe, chat, decontam, exact_dedup, pii, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_documents(spark, sf_dir))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -42,7 +46,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op3_byte_bpe, op7_chat, op8_exact_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op1_pii, op2_token_files, op3_byte_bpe, op7_chat, op8_exact_dedup, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
