@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, decontam, exact_dedup, pii, substring_dedup, token_files
+from tessera.llm import bpe, chat, decontam, exact_dedup, near_dedup, pii, substring_dedup, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.report(_documents(spark, sf_dir), size=4)
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(_documents(spark, sf_dir))
 
@@ -50,7 +54,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_token_files, op3_byte_bpe, op6_substrings, op7_chat, op8_exact_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op1_pii, op2_token_files, op3_byte_bpe, op4_near_dedup, op6_substrings, op7_chat, op8_exact_dedup, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
