@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, decontam, exact_dedup, near_dedup, pii, substring_dedup, token_files
+from tessera.llm import bpe, chat, decontam, exact_dedup, kneser_ney, near_dedup, pii, substring_dedup, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,12 +49,16 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
 
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.report(_documents(spark, sf_dir))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_token_files, op3_byte_bpe, op4_near_dedup, op6_substrings, op7_chat, op8_exact_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op1_pii, op2_token_files, op3_byte_bpe, op4_near_dedup, op6_substrings, op7_chat, op8_exact_dedup, op9_kneser_ney, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
