@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_shared: str | None = None
 
@@ -42,6 +43,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Rows of a few numbers that may be broadcast: some tens of megabytes as a hash table.
+BROADCAST_ROWS = 400_000
+
+
+def broadcast_if_small(df: DataFrame, name: str) -> DataFrame:
+    """df, staged, for the smaller side of a join: marked for broadcast only if its counted rows are few."""
+    df = staged(df, name)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 # ---- Arrow batches -------------------------------------------------------------------------
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2_000_000) -> Iterator[pa.RecordBatch]:

@@ -21,6 +21,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import broadcast_if_small
+
 BROADCAST_BYTES = 64 << 20
 #: Everything in ASCII but digits and small letters; capitals are small by then.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -108,8 +110,10 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """docs without the contaminated ones."""
-    rows = _with_hits(docs, benchmark, n, [F.col(f"`{c}`") for c in docs.columns])
-    return rows.filter(F.col("_hit").isNull()).select(*(f"`{c}`" for c in docs.columns))
+    gone = hit_words(docs, benchmark, n).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    gone = broadcast_if_small(gone, "contaminated")
+    own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (own == gone["_th"]), "left_anti")
 
 
 def drop_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix, slices, staged, utf8, windows_of, words_of
+from tessera.llm.common import broadcast_if_small, mix, slices, staged, utf8, windows_of, words_of
 from tessera.llm.components import connected_components
 
 ROWS, BANDS, BITS = 5, 40, 2
@@ -254,7 +254,8 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     families = connected_components(like)
 
     sized = families.join(families.groupBy("component").agg(F.count("*").alias("n")), "component")
-    texts = rows.join(nodes.select(F.col("node").alias("doc_id"), "th").join(sized.withColumnRenamed("node", "doc_id"), "doc_id"), ["doc_id", "th"])
+    wanted = nodes.select(F.col("node").alias("doc_id"), "th").join(sized.withColumnRenamed("node", "doc_id"), "doc_id")
+    texts = rows.join(broadcast_if_small(wanted, "families"), ["doc_id", "th"])
     texts = _blocks(texts.withColumnRenamed("doc_id", "node"), "component", "n").select("key", "i", "j", "node", "text")
     links = texts.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_confirm(size, percent), _EDGES)
     found = connected_components(links)
@@ -273,5 +274,6 @@ def report(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each near-duplicate group, that of the smallest doc_id."""
     gone = groups(docs, size, percent).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
+    gone = broadcast_if_small(gone, "near-copies")
     own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     return docs.join(gone, (docs["doc_id"] == gone["_id"]) & (own == gone["_th"]), "left_anti")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, decontam, exact_dedup, kneser_ney, near_dedup, pii, substring_dedup, token_files
+from tessera.llm import bpe, chat, decontam, exact_dedup, kneser_ney, langid, near_dedup, pii, substring_dedup, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,13 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.report(_documents(spark, sf_dir), size=4)
 
 
+LANGUAGES = ["de", "en", "es", "fr"]
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.of_documents(_documents(spark, sf_dir), LANGUAGES).drop("th")
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(_documents(spark, sf_dir))
 
@@ -58,7 +65,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_token_files, op3_byte_bpe, op4_near_dedup, op6_substrings, op7_chat, op8_exact_dedup, op9_kneser_ney, op10_decontamination)}
+    return {f.__name__: f for f in (op1_pii, op2_token_files, op3_byte_bpe, op4_near_dedup, op5_langid, op6_substrings, op7_chat, op8_exact_dedup, op9_kneser_ney, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
