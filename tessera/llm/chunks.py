@@ -33,11 +33,16 @@ class ChunkEncoder:
         self.encode_chunks, self.kept = encode_chunks, kept
         self.raw: dict[str, bytes] = {}  # by the chunk itself
         self.spaced: dict[str, bytes] = {}  # by the chunk without the one space before it
+        self.marks = dict(zip(".,;:!?", encode_chunks(list(".,;:!?")), strict=True))
 
     def _learn(self, cache: dict[str, bytes], missing: set[str], before: str) -> None:
-        keys = list(missing)
+        """Encode the missing chunks.  A mark after a letter is a token run of its own, so it is added to the ids of the rest."""
+        marked = [k for k in missing if k[-1:] in self.marks and k[-2:-1].isalpha()]
+        keys = list({k[:-1] for k in marked}.difference(cache) | missing.difference(marked))
         chunks = [k if before and k[:1] == "\n" else before + k for k in keys]
         cache.update(zip(keys, self.encode_chunks(chunks), strict=True))
+        for k in marked:
+            cache[k] = cache[k[:-1]] + self.marks[k[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         for name in ("raw", "spaced"):

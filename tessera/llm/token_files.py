@@ -73,7 +73,7 @@ def _encoder(tokenizer_path: str) -> ChunkEncoder:
             part = chunks[at : at + TOGETHER]
             joined = "".join(part)
             if joined.count(" ") + joined.count("\n") == len(part) and all(c[:1] in (" ", "\n") for c in part):
-                ids = np.array(tokenizer.encode(joined, add_special_tokens=False).ids, "<u4")
+                ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
                 starts = np.flatnonzero(begins[ids])
                 if len(starts) == len(part):
                     data, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
