@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.chunks import ChunkEncoder, pack_ids
-from tessera.llm.common import slices
+from tessera.llm.common import bounded_batches, slices
 
 #: Byte b is written as this character; none is white space or special to sentencepiece.
 BYTE_CHARS = [chr(0x4E00 + b) for b in range(256)]
@@ -122,6 +122,7 @@ def _codec(proto: bytes, pattern: str) -> ByteLevelBpe:
 
 def _shipped(docs: DataFrame, ranks_path: str):
     """The model's bytes for the workers: one vocabulary, about a megabyte, whatever the input."""
+    bounded_batches(docs.sparkSession)
     return docs.sparkSession.sparkContext.broadcast(model_proto(read_ranks(ranks_path)))
 
 

@@ -53,6 +53,12 @@ def broadcast_if_small(df: DataFrame, name: str) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Small Arrow batches for this session: by Spark's defaults a batch of long texts takes hundreds of megabytes on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 # ---- Arrow batches -------------------------------------------------------------------------
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2_000_000) -> Iterator[pa.RecordBatch]:

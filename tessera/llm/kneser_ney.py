@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bucket_bits, by_bucket, mix, pack, slices, staging_path, unpack, utf8, words_of
+from tessera.llm.common import bounded_batches, bucket_bits, by_bucket, mix, pack, slices, staging_path, unpack, utf8, words_of
 
 BEGIN, END = (np.uint64(x) for x in (0x0123456789ABCDEF, 0xFEDCBA9876543210))
 _LEFT = np.uint64(0xD6E8FEB86659FD93)
-GATHERED, PER_BUCKET = 2_000_000, 1_000_000
+GATHERED, PER_BUCKET = 1_500_000, 1_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -206,6 +206,7 @@ class Model:
 def train(docs: DataFrame) -> Model:
     """Count the texts of docs and write the model's files to the shared folder."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     folder = local_path(staging_path(spark, "kneser-ney"))
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     bits = bucket_bits((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6, PER_BUCKET)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import broadcast_if_small, slices, staged, utf8
+from tessera.llm.common import bounded_batches, broadcast_if_small, slices, staged, utf8
 
 TRAIN_ROWS = 20_000
 BUCKETS = 1 << 14
@@ -125,6 +125,7 @@ def _smoothed(own: Column, parent: Column) -> Column:
 
 def identify(rows: DataFrame, languages: list[str]) -> DataFrame:
     """(id, th, lang, confidence, text_lang, kept) of rows (id, text, declared, suffix, host)."""
+    bounded_batches(rows.sparkSession)
     n = len(languages) + 1
     names = F.array(*map(F.lit, [*languages, "und"]))
     rows = rows.select(

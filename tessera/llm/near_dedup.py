@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import broadcast_if_small, mix, slices, staged, utf8, windows_of, words_of
+from tessera.llm.common import bounded_batches, broadcast_if_small, mix, slices, staged, utf8, windows_of, words_of
 from tessera.llm.components import connected_components
 
 ROWS, BANDS, BITS = 5, 40, 2
@@ -235,6 +235,7 @@ def _confirm(size: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], It
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row for each document: doc_id, th (hash of the text), n_shingles, component_id, kept."""
+    bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     signed = staged(

@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bucket_bits, by_bucket, pack, slices, staged, unpack, utf8, windows_of, words_of
+from tessera.llm.common import bounded_batches, bucket_bits, by_bucket, pack, slices, staged, unpack, utf8, windows_of, words_of
 
 PERIOD, COVER = 21, (0, 1, 6, 8, 18)
 _on_cover = np.isin(np.arange(PERIOD), COVER)
 #: Keys a task gathers before it sends them, and keys of one range.
-GATHERED, PER_BUCKET = 2_000_000, 1_000_000
+GATHERED, PER_BUCKET = 1_000_000, 1_000_000
 NO_ID = -(2**63)
 
 Entries = tuple[np.ndarray, np.ndarray, np.ndarray]  # key, document of the batch, word position
@@ -196,6 +196,7 @@ def _cut(batches: Iterator[pa.RecordBatch], size: int, carried: list[str], with_
 def _run(docs: DataFrame, size: int, carry: list[str], with_text: bool) -> DataFrame:
     if size < PERIOD + 1:
         raise ValueError(f"windows of {size} words are shorter than the period of the cover")
+    bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.lit(0).cast("long").alias("th"), text.alias("text"),

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.chunks import ChunkEncoder, pack_ids
-from tessera.llm.common import slices, staging_path
+from tessera.llm.common import bounded_batches, slices, staging_path
 
 WRITE_OPTIONS = {
     "compression": "zstd",
@@ -92,6 +92,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     Texts are dealt out by ranges of doc_id, so each task writes one part in order.  ``tokenizer_path``
     must exist on every worker.
     """
+    bounded_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
