@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import staged
+from tessera.llm.common import broadcast_if_small, staged
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -26,10 +26,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # large star: every larger neighbour is tied to the smallest neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(broadcast_if_small(least, "least"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = staged(large.distinct(), "edges")
         # small star: a node and its smaller neighbours are tied to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        small = large.join(broadcast_if_small(least, "least"), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = staged(small.select("e.u", "e.v").filter("u <> v").distinct(), "edges")
         after = _mark(edges)
         if after == before:
