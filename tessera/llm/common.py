@@ -61,7 +61,7 @@ def bounded_batches(spark: SparkSession) -> None:
 
 # ---- Arrow batches -------------------------------------------------------------------------
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows whose texts take about ``most`` bytes (one row at least)."""
     for batch in batches:
         n = batch.num_rows
@@ -103,7 +103,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 # ---- word hashes ----------------------------------------------------------------------------
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 19
 _table = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64)
 _lower_table = _table.copy()
 _lower_table[65:91] = _table[97:123]
@@ -115,7 +115,7 @@ _powers: tuple[np.ndarray, np.ndarray] | None = None
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if _powers is None or len(_powers[0]) < n:
-        size = 1 << max(21, int(n - 1).bit_length())
+        size = 1 << max(20, int(n - 1).bit_length())
         up = np.full(size, _BASE, np.uint64)
         up[0] = 1
         down = np.full(size, pow(_BASE, -1, 2**64), np.uint64)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import staging_path
+from tessera.llm.common import broadcast_if_small, staging_path
 
 CAPACITY = 64 << 20
 MAX_DEPTH = 16
@@ -56,7 +56,6 @@ def directory(histogram: dict[int, int], capacity: int = CAPACITY, max_depth: in
 
 def build_index(
     docs: DataFrame,
-    carry: list[str] = (),
     capacity: int = CAPACITY,
     max_depth: int = MAX_DEPTH,
     hash_of: Callable[[Column], Column] = F.xxhash64,
@@ -64,12 +63,11 @@ def build_index(
     """(directory, entries), written to the shared folder and read back.
 
     directory: slot, bucket, local_depth.  entries: one row for each distinct text with bucket, h,
-    chain (ordinal among texts of one hash), text_sha256, n_bytes, keep_id, group_size, and ``row``, a
-    struct of the ``carry`` columns of the row that stays, if any are asked for.
+    chain (ordinal among texts of one hash), text_sha256, n_bytes, keep_id, group_size.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *([F.struct(*carry).alias("row")] if carry else []))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.withColumn("h", hash_of(F.col("text")))
 
     held = (
@@ -82,11 +80,10 @@ def build_index(
     spark.createDataFrame(slots, "slot long, bucket int, local_depth int").coalesce(1).write.parquet(f"{root}/directory")
     found = spark.read.schema("slot long, bucket int, local_depth int").parquet(f"{root}/directory")
 
-    stays = [F.max_by("row", F.struct("doc_id")).alias("row")] if carry else []
-    entries = rows.groupBy("h", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), *stays)
+    entries = rows.groupBy("h", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     entries = entries.select(
         _slot(F.col("h"), depth).alias("slot"), "h", F.sha2("text", 256).alias("text_sha256"),
-        F.octet_length("text").cast("long").alias("n_bytes"), "keep_id", "group_size", *(["row"] if carry else []),
+        F.octet_length("text").cast("long").alias("n_bytes"), "keep_id", "group_size",
     )
     # at most 2**max_depth slots
     entries = entries.join(F.broadcast(found.select("slot", "bucket")), "slot").drop("slot")
@@ -96,8 +93,8 @@ def build_index(
     return found, spark.read.schema(owned.schema).parquet(f"{root}/entries")
 
 
-def exact_groups(docs: DataFrame, capacity: int = CAPACITY, hash_of: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
-    """One row for each document: doc_id, keep_id, group_size, kept, text_sha256."""
+def _groups(docs: DataFrame, capacity: int, hash_of: Callable[[Column], Column]) -> DataFrame:
+    """One row for each document: doc_id, h, again (ordinal among rows of one id and text), keep_id, group_size, text_sha256."""
     _, entries = build_index(docs, capacity=capacity, hash_of=hash_of)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
@@ -106,12 +103,25 @@ def exact_groups(docs: DataFrame, capacity: int = CAPACITY, hash_of: Callable[[C
     )
     again = Window.partitionBy("doc_id", "h", "text_sha256").orderBy("n_bytes")
     rows = rows.withColumn("again", F.row_number().over(again))
-    found = rows.join(entries.select("h", "text_sha256", "n_bytes", "keep_id", "group_size"), ["h", "text_sha256", "n_bytes"])
+    return rows.join(entries.select("h", "text_sha256", "n_bytes", "keep_id", "group_size"), ["h", "text_sha256", "n_bytes"])
+
+
+def exact_groups(docs: DataFrame, capacity: int = CAPACITY, hash_of: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """One row for each document: doc_id, keep_id, group_size, kept, text_sha256."""
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("again") == 1)
-    return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    return _groups(docs, capacity, hash_of).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def keep_one(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """docs without the rows whose text a staying row has; all columns as they were."""
-    _, entries = build_index(docs, carry=list(docs.columns), capacity=capacity)
-    return entries.select("row.*")
+    found = _groups(docs, capacity, F.xxhash64)
+    key = lambda df: df.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    gone = broadcast_if_small(key(found.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id")))), "copies")
+    again = broadcast_if_small(key(found.filter("again > 1")), "repeats")
+    own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    at = lambda of: docs["doc_id"].eqNullSafe(of["_id"]) & (own == of["_h"])
+    kept = docs.join(gone, at(gone), "left_anti")
+    if again.count():  # rows that repeat both id and text
+        once = kept.join(again, at(again), "left_semi").withColumn("_h", own).dropDuplicates(["doc_id", "_h"]).drop("_h")
+        kept = kept.join(again, at(again), "left_anti").unionByName(once)
+    return kept
