@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, bucket_bits, by_bucket, pack, slices, staged, unpack, utf8, windows_of, words_of
+from tessera.llm.common import bounded_batches, bucket_bits, by_bucket, mix, pack, slices, staged, unpack, utf8, windows_of, words_of
 
 PERIOD, COVER = 21, (0, 1, 6, 8, 18)
 _on_cover = np.isin(np.arange(PERIOD), COVER)
@@ -63,40 +63,56 @@ def _blobs(ids: np.ndarray, ths: np.ndarray, entries: Entries, bits: int) -> Ite
     )
 
 
-def _matches(table: pa.Table) -> pa.Table:
-    """Places of the keys of one range that two blobs have, or that a blob reports, by document."""
-    ids, ths, keys, docs, ats, out = [], [], [], [], [], []
-    base = 0
-    for blob, names, own in zip(table["keys"].to_pylist(), table["docs"].to_pylist(), table["own"].to_pylist(), strict=True):
-        i, t = unpack(names, np.uint64, np.uint64)
-        k, d, a = unpack(blob, np.uint64, np.uint32, np.uint32)
-        ids.append(i)
-        ths.append(t)
-        keys.append(k)
-        docs.append(np.where(d == 0xFFFFFFFF, -1, d.astype(np.int64) + base))
-        ats.append(a)
-        if own is not None:
-            d, a = unpack(own, np.uint64, np.uint32)
-            out.append((d.astype(np.int64) + base, a))
-        base += len(i)
-    key, doc, at = np.concatenate(keys), np.concatenate(docs), np.concatenate(ats)
-    order = np.argsort(key)
-    key = key[order]
-    same = np.zeros(len(key), bool)
-    same[1:] = key[1:] == key[:-1]
-    same[:-1] |= same[1:]
-    hit = order[same]
-    hit = hit[doc[hit] >= 0]
-    out.append((doc[hit], at[hit]))
-    doc, at = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
-    order = np.argsort(doc, kind="stable")
-    doc, at = doc[order], at[order]
-    firsts = np.flatnonzero(np.diff(doc, prepend=-1)) if len(doc) else np.zeros(0, np.int64)
-    ids, ths = np.concatenate(ids), np.concatenate(ths)
-    offsets = np.append(firsts, len(doc)).astype(np.int32)
+def _matches(bits: int) -> Callable[[pa.Table], pa.Table]:
+    """Places of the keys of one range that two blobs have, or that a blob reports, as blobs by hash of the document."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, ths, keys, docs, ats, out = [], [], [], [], [], []
+        base = 0
+        for blob, names, own in zip(table["keys"].to_pylist(), table["docs"].to_pylist(), table["own"].to_pylist(), strict=True):
+            i, t = unpack(names, np.uint64, np.uint64)
+            k, d, a = unpack(blob, np.uint64, np.uint32, np.uint32)
+            ids.append(i)
+            ths.append(t)
+            keys.append(k)
+            docs.append(np.where(d == 0xFFFFFFFF, -1, d.astype(np.int64) + base))
+            ats.append(a)
+            if own is not None:
+                d, a = unpack(own, np.uint64, np.uint32)
+                out.append((d.astype(np.int64) + base, a))
+            base += len(i)
+        key, doc, at = np.concatenate(keys), np.concatenate(docs), np.concatenate(ats)
+        order = np.argsort(key)
+        key = key[order]
+        same = np.zeros(len(key), bool)
+        same[1:] = key[1:] == key[:-1]
+        same[:-1] |= same[1:]
+        hit = order[same]
+        hit = hit[doc[hit] >= 0]
+        out.append((doc[hit], at[hit]))
+        doc, at = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+        i, t = np.concatenate(ids)[doc], np.concatenate(ths)[doc]
+        to = mix(i ^ mix(t)) >> np.uint64(64 - bits)
+        order = np.lexsort((at, t, i, to))
+        i, t, at, to = i[order], t[order], at[order], to[order]
+        cuts = np.flatnonzero(np.diff(to)) + 1
+        bounds = [0, *cuts.tolist(), len(to)] if len(to) else [0]
+        blobs = [pack(i[a:b], t[a:b], at[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return pa.table({"to": pa.array(to[bounds[:-1]].astype(np.int32)), "places": pa.array(blobs, pa.binary())})
+
+    return run
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """(id, th, at) of the documents of one part."""
+    parts = [unpack(b, np.uint64, np.uint64, np.uint32) for b in table["places"].to_pylist()]
+    i, t, at = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    order = np.lexsort((at, t, i))
+    i, t, at = i[order], t[order], at[order]
+    firsts = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (t[1:] != t[:-1])]))
     return pa.table({
-        "id": pa.array(ids[doc[firsts]].view(np.int64)), "th": pa.array(ths[doc[firsts]].view(np.int64)),
-        "at": pa.ListArray.from_arrays(pa.array(offsets), pa.array(at.astype(np.int32))),
+        "id": pa.array(i[firsts].view(np.int64)), "th": pa.array(t[firsts].view(np.int64)),
+        "at": pa.ListArray.from_arrays(pa.array(np.append(firsts, len(i)).astype(np.int32)), pa.array(at.astype(np.int32))),
     })
 
 
@@ -123,8 +139,8 @@ def _repeated(rows: DataFrame, entries_of: Callable[[pa.RecordBatch], Entries],
             yield from flush()
 
     sent = rows.mapInArrow(run, "bucket int, keys binary, docs binary, own binary")
-    found = sent.groupBy("bucket").applyInArrow(_matches, "id long, th long, at array<int>")
-    return found.groupBy("id", "th").agg(F.flatten(F.collect_list("at")).alias("at"))
+    found = sent.groupBy("bucket").applyInArrow(_matches(bits), "to int, places binary")
+    return found.groupBy("to").applyInArrow(_gather, "id long, th long, at array<int>")
 
 
 def _anchors(size: int) -> Callable[[pa.RecordBatch], Entries]:
