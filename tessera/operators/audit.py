@@ -76,7 +76,7 @@ def ratio_and_usage(rows: DataFrame) -> DataFrame:
     none = F.lit(None)
     rows = _counted(rows)
     bases = rows.groupBy("base", "count").agg(
-        F.max(F.col("ratio").isNull()).alias("gap"), F.sum(F.col("ratio") * F.col("usage")).alias("product"), F.min_by("token", E.PLACE).alias("first_token"))
+        F.max(F.col("ratio").isNull()).alias("gap"), F.sum(F.col("ratio") * F.col("usage")).alias("product"), F.min_by("token", E.place()).alias("first_token"))
     rows = rows.join(bases.select("base", "gap"), "base")
     w = Window.partitionBy("base", "token").orderBy("row_no", "pos")
     gaps = rows.filter("gap").withColumn("at", F.row_number().over(w)).withColumn("seen", F.first("usage").over(w)).withColumn("expected", 1 / F.col("count"))
@@ -94,7 +94,7 @@ def ratio_and_usage(rows: DataFrame) -> DataFrame:
 def cross_usage(rows: DataFrame, other_tokens: DataFrame) -> DataFrame:
     """Bases whose instances differ in number between two files, judged by the usage of their first row."""
     own = rows.withColumn("base", T.usage_base(F.col("token"))).groupBy("base").agg(
-        F.count_distinct("token").alias("count"), F.min_by("usage", E.PLACE).alias("usage"), F.min_by("token", E.PLACE).alias("refdes"))
+        F.count_distinct("token").alias("count"), F.min_by("usage", E.place()).alias("usage"), F.min_by("token", E.place()).alias("refdes"))
     other = other_tokens.select(T.usage_base(F.col("token")).alias("base"), "token").groupBy("base").agg(F.count_distinct("token").alias("m"))
     both = own.join(other, "base").filter((F.col("count") != F.col("m")) & N.finite(F.col("usage")) & (F.col("usage") > 0))
     here, there = (F.abs(F.col("usage") - 1 / F.col(c)) <= N.USAGE_TOLERANCE for c in ("count", "m"))

@@ -53,7 +53,7 @@ def summary(group_tokens: DataFrame, bom_tokens: DataFrame) -> DataFrame:
 
 def first_rows(tokens: DataFrame, *columns: str) -> DataFrame:
     """(token, row_no, *columns) of each token's first row."""
-    rest = F.min_by(F.struct("row_no", *columns), E.PLACE).alias("r")
+    rest = F.min_by(F.struct("row_no", *columns), E.place()).alias("r")
     return tokens.groupBy("token").agg(rest).select("token", "r.*")
 
 

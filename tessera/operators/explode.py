@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import tokens as T
 
-PLACE = F.struct("row_no", "pos")
+def place() -> Column:
+    """The order of tokens."""
+    return F.struct("row_no", "pos")
 
 
 def tokens(df: DataFrame, cell: str, *keep: str, ignore: str | None = None) -> DataFrame:
@@ -38,14 +40,16 @@ def group_tokens(grouping: DataFrame, *, provisional: bool = True, ignore: str |
     return tokens(grouping, "refs", "label", ignore=ignore)
 
 
-def first(c: Column | str, order: Column = PLACE) -> Column:
+def first(c: Column | str, order: Column | None = None) -> Column:
     """Of the first row that has a non-blank value; an aggregate that combines on the map side."""
     c = F.col(c) if isinstance(c, str) else c
+    order = place() if order is None else order
     return F.min_by(F.when(T.clean(c) != "", c), F.when(T.clean(c) != "", order))
 
 
-def last(c: Column | str, order: Column = PLACE) -> Column:
+def last(c: Column | str, order: Column | None = None) -> Column:
     c = F.col(c) if isinstance(c, str) else c
+    order = place() if order is None else order
     return F.max_by(F.when(T.clean(c) != "", c), F.when(T.clean(c) != "", order))
 
 

@@ -14,7 +14,7 @@ from tessera.operators import explode as E
 def bom_index(bom: DataFrame) -> DataFrame:
     """(token, part_number, c1, c2, usage) of each BOM token's first row."""
     rows = E.tokens(bom, "ref_des", "part_number", "hda_level1", "hda_level2", "part_usage")
-    first = F.min_by(F.struct("part_number", F.col("hda_level1").alias("c1"), F.col("hda_level2").alias("c2"), F.col("part_usage").alias("usage")), E.PLACE)
+    first = F.min_by(F.struct("part_number", F.col("hda_level1").alias("c1"), F.col("hda_level2").alias("c2"), F.col("part_usage").alias("usage")), E.place())
     return rows.groupBy("token").agg(first.alias("f")).select("token", "f.*")
 
 

@@ -102,7 +102,7 @@ add("join_coverage", lambda v: C.coverage(bom(v), v.v_snap_a), _cov, ("v_bom", "
 add("gen_coverage_tables", lambda v: C.coverage(bom(v), v.v_snap_a).groupBy("status").agg(F.count("*").alias("n")), _cov.replace("SELECT coalesce(x.base, e.base) AS base, CASE", "SELECT status, count(*) AS n FROM (SELECT CASE").replace("END AS status, coalesce(pages, '') AS pages", "END AS status") + ") z GROUP BY 1", ("v_bom", "v_snap_a"))
 add("agg_bom_merge_meta", lambda v: E.tokens(v.v_bom, "ref_des", "part_number", "description", "page").groupBy("base").agg(F.min("token").alias("entry"), E.first("part_number").alias("pn"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(N.pages(F.col("page")))))), ",").alias("pages")),
     f"WITH {_t('o', 'v_bom')}, y AS (SELECT *, {D.base('token')} AS base FROM o) SELECT base, min(token) AS entry, min_by(part_number, row_no * 1000 + pos) AS pn, string_agg(DISTINCT page, ',' ORDER BY page) AS pages FROM y GROUP BY 1", ("v_bom",))
-add("src_bom", lambda v: E.tokens(v.v_bom, "ref_des", "part_number", "page").groupBy("token").agg(F.min_by("part_number", E.PLACE).alias("part_number"), E.joined_set("page").alias("pages")),
+add("src_bom", lambda v: E.tokens(v.v_bom, "ref_des", "part_number", "page").groupBy("token").agg(F.min_by("part_number", E.place()).alias("part_number"), E.joined_set("page").alias("pages")),
     f"WITH {_t('o', 'v_bom')} SELECT token, min_by(part_number, row_no * 1000 + pos) AS part_number, string_agg(DISTINCT page, ', ' ORDER BY page) AS pages FROM o GROUP BY 1", ("v_bom",))
 _pins = "CASE k % 3 WHEN 0 THEN ref || '-' || CAST(k % 9 AS VARCHAR(9)) WHEN 1 THEN ref || '.' || CAST(k % 9 AS VARCHAR(9)) ELSE ref || ' : ' || CAST(k % 9 AS VARCHAR(9)) END"
 add("src_pinlist", lambda v: v.v_part.selectExpr(f"{_pins} AS t").select(T.pin_id(F.col("t")).alias("pin")).distinct(), "SELECT DISTINCT ref || '-' || (k % 9) AS pin FROM v_part", ("v_part",))

@@ -34,8 +34,8 @@ add("sj_prov", lambda v: S.point_pairs(refs(v), words(v).filter(_labels), 15.0).
 add("sj_pin_body", lambda v: S.nearest_box(pins(v), boxes(v).filter("box % 3 = 1"), "word", 50.0).select("word", "box", F.round("d", 6).alias("d")),
     f"SELECT word, box, round(d, 6) AS d FROM (SELECT w.word, b.box, {_gap} AS d, row_number() OVER (PARTITION BY w.word ORDER BY {_gap}, b.box) AS n FROM v_words w JOIN v_boxes b ON w.page = b.page AND {_gap} <= 50 WHERE w.txt LIKE 'U%' AND b.box % 3 = 1) q WHERE n = 1", WB)
 _bias = "sqrt(pow(w.x - (b.x0 + b.x1) / 2, 2) + pow(w.y - (b.y0 + b.y1) / 2, 2)) * CASE WHEN w.x <= (b.x0 + b.x1) / 2 AND w.y <= (b.y0 + b.y1) / 2 THEN 0.8 ELSE 1 END"
-_biased = G.biased_distance(F.col("x"), F.col("y"), *G.centre(G.rect()))
-add("sj_refdes_body", lambda v: S.best(S.near(refs(v), boxes(v), 40.0).withColumn("d", F.round(_biased, 6)), ["box"], [F.col("d"), F.col("word")], ["word", "d"]),
+_biased = lambda: G.biased_distance(F.col("x"), F.col("y"), *G.centre(G.rect()))
+add("sj_refdes_body", lambda v: S.best(S.near(refs(v), boxes(v), 40.0).withColumn("d", F.round(_biased(), 6)), ["box"], [F.col("d"), F.col("word")], ["word", "d"]),
     f"SELECT box, word, d FROM (SELECT b.box, w.word, round({_bias}, 6) AS d, row_number() OVER (PARTITION BY b.box ORDER BY round({_bias}, 6), w.word) AS n FROM v_boxes b JOIN v_words w ON w.page = b.page AND {_gap} <= 40 WHERE w.txt LIKE 'R%') q WHERE n = 1", WB)
 _ends = lambda v: boxes(v).filter("x1 - x0 >= 150").select(F.col("box").alias("word"), "page", F.col("x0").alias("x"), F.col("y0").alias("y")).unionByName(boxes(v).filter("x1 - x0 >= 150").select(F.col("box").alias("word"), "page", F.col("x1").alias("x"), F.col("y0").alias("y")))
 add("sj_near_wire", lambda v: S.point_pairs(words(v), _ends(v), 20.0).select("word").distinct(),
@@ -149,9 +149,9 @@ add("merge_results", _reconciled,
 add("gen_page_mismatch", lambda v: v.v_snap_a.select("ref", F.array("pages").alias("p")).join(v.v_bom.select(F.col("ref_des").alias("ref"), F.array("page").alias("q")), "ref").filter(~F.arrays_overlap("p", "q")).select("ref", F.col("p")[0].alias("seen"), F.col("q")[0].alias("listed")),
     "SELECT ref, pages AS seen, page AS listed FROM v_snap_a JOIN v_bom ON ref = ref_des WHERE pages <> page", SN)
 _dups = lambda v: v.v_snap_a.unionByName(v.v_snap_b).select("grp", "ref", F.col("pages").cast("long").alias("page"))
-_w = Window.partitionBy("ref").orderBy("page", "grp")
+_w = lambda: Window.partitionBy("ref").orderBy("page", "grp")
 _du = "SELECT ref, grp, page, row_number() OVER (PARTITION BY ref ORDER BY page, grp) AS n, first_value(grp) OVER (PARTITION BY ref ORDER BY page, grp) AS f FROM (SELECT grp, ref, pages::BIGINT AS page FROM v_snap_a UNION ALL SELECT grp, ref, pages::BIGINT FROM v_snap_b) q"
-add("win_dup_ordinal", lambda v: _dups(v).withColumn("n", F.row_number().over(_w)).withColumn("f", F.first("grp").over(_w)).filter("n > 1").select("ref", F.concat(L.ordinal(F.col("n")), F.lit(" extraction, first seen in "), "f").alias("note")),
+add("win_dup_ordinal", lambda v: _dups(v).withColumn("n", F.row_number().over(_w())).withColumn("f", F.first("grp").over(_w())).filter("n > 1").select("ref", F.concat(L.ordinal(F.col("n")), F.lit(" extraction, first seen in "), "f").alias("note")),
     f"SELECT ref, CASE n WHEN 2 THEN '2nd' WHEN 3 THEN '3rd' ELSE n || 'th' END || ' extraction, first seen in ' || f AS note FROM ({_du}) z WHERE n > 1", ("v_snap_a", "v_snap_b"))
 add("gen_notes", lambda v: _split(v).groupBy("grp").agg(F.count_distinct(F.when(F.col("ok").isNull(), F.col("ref"))).alias("bad")).select("grp", F.concat_ws(" ", F.when(F.col("bad") > 0, F.concat(F.col("bad"), F.lit(" not in BOM.")))).alias("note")),
     f"WITH {_rows} SELECT grp, CASE WHEN count(DISTINCT CASE WHEN status <> 'Verified' THEN ref END) > 0 THEN count(DISTINCT CASE WHEN status <> 'Verified' THEN ref END) || ' not in BOM.' ELSE '' END AS note FROM sp GROUP BY 1", SN)

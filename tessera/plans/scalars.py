@@ -11,7 +11,6 @@ from tessera.functions import tokens as T
 from tessera.plans import duck_expr as D
 from tessera.plans.registry import add
 
-tok, cell, txt, label, num = (F.col(c) for c in ("tok", "cell", "txt", "label", "txt"))
 
 
 def _one(name, view, column, spark, sql):
@@ -56,18 +55,18 @@ def _part(k):
 
 
 add(
-    "fn_expand_range", lambda v: v.v_tok.select("k", F.array_join(T.expand_range(tok), "|").alias("value")),
+    "fn_expand_range", lambda v: v.v_tok.select("k", F.array_join(T.expand_range(F.col("tok")), "|").alias("value")),
     f"""WITH c AS (SELECT k, {D.canon('tok')} AS c FROM v_tok), p AS (SELECT k, c, {_part(1)} AS p1, {_part(2)} AS n1, {_part(3)} AS p2, {_part(4)} AS n2 FROM c)
     SELECT k, CASE WHEN p1 <> '' AND p2 IN ('', p1) AND TRY_CAST(n1 AS BIGINT) <= TRY_CAST(n2 AS BIGINT) AND TRY_CAST(n2 AS BIGINT) - TRY_CAST(n1 AS BIGINT) < 5000 AND NOT {D.instance('c')}
     THEN array_to_string(list_transform(range(TRY_CAST(n1 AS BIGINT), TRY_CAST(n2 AS BIGINT) + 1), lambda i: p1 || lpad(i::VARCHAR, greatest(length(n1), length(i::VARCHAR))::INTEGER, '0')), '|')
     ELSE c END AS value FROM p""",
     ("v_tok",),
 )
-add("lim_expansion", lambda v: v.v_tok.select("k", F.size(T.expand_range(tok, 2)).cast("long").alias("n")),
+add("lim_expansion", lambda v: v.v_tok.select("k", F.size(T.expand_range(F.col("tok"), 2)).cast("long").alias("n")),
     f"""WITH c AS (SELECT k, {D.canon('tok')} AS c FROM v_tok), p AS (SELECT k, c, {_part(1)} AS p1, {_part(2)} AS n1, {_part(3)} AS p2, {_part(4)} AS n2 FROM c)
     SELECT k, CASE WHEN p1 <> '' AND p2 IN ('', p1) AND TRY_CAST(n2 AS BIGINT) - TRY_CAST(n1 AS BIGINT) BETWEEN 0 AND 1 AND NOT {D.instance('c')} THEN TRY_CAST(n2 AS BIGINT) - TRY_CAST(n1 AS BIGINT) + 1 ELSE 1 END AS n FROM p""",
     ("v_tok",))
-add("fn_is_suffix", lambda v: v.v_tok.select("k", T.is_suffix_of(tok, T.canonical(F.col("ref"))).alias("value")),
+add("fn_is_suffix", lambda v: v.v_tok.select("k", T.is_suffix_of(F.col("tok"), T.canonical(F.col("ref"))).alias("value")),
     f"""SELECT k, contains(c, '-') AND ({D.instance('c')} OR {D.pin('c')} OR regexp_matches(c, '^[A-Z]+[0-9]+[A-Z]?-[A-Z]?[0-9]*$')) AND {D.stem('c')} = ref
     AND NOT ({_part(1)} <> '' AND {_part(3)} IN ('', {_part(1)}) AND coalesce(TRY_CAST({_part(4)} AS BIGINT) - TRY_CAST({_part(2)} AS BIGINT), -1) BETWEEN 1 AND 4999 AND NOT {D.instance('c')}) AS value
     FROM (SELECT k, ref, {D.canon('tok')} AS c FROM v_tok) q""", ("v_tok",))
@@ -79,7 +78,7 @@ _other = "(CASE k % 4 WHEN 3 THEN p_name ELSE CAST(k AS VARCHAR(20)) END)"
 add("fn_value_equal", lambda v: v.v_part.selectExpr("k", f"{_pairs} AS a", f"{_other} AS b").select("k", T.same_value(F.col("a"), F.col("b")).alias("value")),
     "SELECT k, k % 4 <> 2 AS value FROM v_part", ("v_part",))
 add("fn_merge_equal",
-    lambda v: v.v_num.select("k", F.coalesce(N.number(num) == N.number(F.concat(F.lit("0"), num)), T.clean(num) == T.clean(F.concat(F.lit("0"), num))).alias("value")),
+    lambda v: v.v_num.select("k", F.coalesce(N.number(F.col("txt")) == N.number(F.concat(F.lit("0"), F.col("txt"))), T.clean(F.col("txt")) == T.clean(F.concat(F.lit("0"), F.col("txt")))).alias("value")),
     f"SELECT k, coalesce({D.number('txt')} = {D.number(chr(39) + '0' + chr(39) + ' || txt')}, {D.trim('txt')} = {D.trim(chr(39) + '0' + chr(39) + ' || txt')}) AS value FROM v_num", ("v_num",))
 add("fn_fmea_id", lambda v: v.v_part.select("k", T.fmea_id(F.concat(F.lit("BLK-"), F.col("k")), F.col("ref"), T.suffix_letters(F.col("k") % 800)).alias("value")),
     """SELECT k, 'BLK-' || k || '-' || ref || '-' || CASE WHEN n < 26 THEN chr(65 + n) WHEN n < 702 THEN chr(65 + (n - 26) // 26) || chr(65 + (n - 26) % 26)
@@ -144,21 +143,21 @@ _one("fn_ordinal", "v_part", "k", L.ordinal, "k || CASE WHEN k % 100 BETWEEN 11
 # numbers
 _frac = "'(?i)^([0-9]+(?:\\.[0-9]+)?)\\s*(?:/|of)\\s*([0-9]+(?:\\.[0-9]+)?)$'"
 _usage_value = f"CASE WHEN txt = '' THEN 1.0::DOUBLE WHEN regexp_matches(txt, {_frac}) THEN TRY_CAST(regexp_extract(txt, {_frac}, 1) AS DOUBLE) / nullif(TRY_CAST(regexp_extract(txt, {_frac}, 2) AS DOUBLE), 0) ELSE {D.number('txt')} END"
-add("fn_parse_usage", lambda v: v.v_num.select("k", N.parse_usage(num).alias("u")).select("k", F.col("u.value").alias("value"), F.col("u.text").alias("formula")),
+add("fn_parse_usage", lambda v: v.v_num.select("k", N.parse_usage(F.col("txt")).alias("u")).select("k", F.col("u.value").alias("value"), F.col("u.text").alias("formula")),
     f"""SELECT k, {_usage_value} AS value, CASE WHEN txt = '' THEN '1' WHEN regexp_matches(txt, {_frac}) AND TRY_CAST(regexp_extract(txt, {_frac}, 2) AS DOUBLE) <> 0
     THEN '=' || regexp_extract(txt, {_frac}, 1) || '/' || regexp_extract(txt, {_frac}, 2) END AS formula FROM v_num""", ("v_num",))
 _fin = lambda x: f"coalesce({x} < 'inf'::DOUBLE AND {x} > '-inf'::DOUBLE, false)"
-add("fn_fr_clean", lambda v: v.v_num.select("k", N.clean_rate(num).alias("r")).select("k", F.col("r.rate").alias("rate"), F.col("r.flagged").alias("flagged")),
+add("fn_fr_clean", lambda v: v.v_num.select("k", N.clean_rate(F.col("txt")).alias("r")).select("k", F.col("r.rate").alias("rate"), F.col("r.flagged").alias("flagged")),
     f"SELECT k, CASE WHEN {_fin('n')} THEN n ELSE 0 END AS rate, txt <> '' AND NOT {_fin('n')} AS flagged FROM (SELECT k, txt, {D.number('txt')} AS n FROM v_num) q", ("v_num",))
 add("fn_unit", lambda v: v.v_part.select("k", *(F.round(N.clean_rate(F.col("p_retailprice").cast("string"), u)["rate"] * m, 6).alias(u) for u, m in (("per_hour", 1.0), ("per_million_hours", 1e6), ("per_billion_hours", 1e9)))),
     "SELECT k, round(p_retailprice, 6) AS per_hour, round(p_retailprice, 6) AS per_million_hours, round(p_retailprice, 6) AS per_billion_hours FROM v_part", ("v_part",))
 _cu = f"CASE WHEN n IS NULL OR NOT {_fin('n')} OR n <= 0 OR n > 1e6 THEN 1.0 ELSE n END"
-add("fn_usage_clean", lambda v: v.v_num.select("k", N.clean_usage(num, F.col("rate")).alias("u")).select("k", F.col("u.usage").alias("usage"), F.col("u.gap").alias("gap")),
+add("fn_usage_clean", lambda v: v.v_num.select("k", N.clean_usage(F.col("txt"), F.col("rate")).alias("u")).select("k", F.col("u.usage").alias("usage"), F.col("u.gap").alias("gap")),
     f"SELECT k, {_cu} AS usage, n IS NULL AND rate > 0 AS gap FROM (SELECT k, rate, {D.number('txt')} AS n FROM v_num) q", ("v_num",))
-add("fn_ratio_clean", lambda v: v.v_num.select("k", N.clean_ratio(num).alias("ratio")),
+add("fn_ratio_clean", lambda v: v.v_num.select("k", N.clean_ratio(F.col("txt")).alias("ratio")),
     f"SELECT k, CASE WHEN n IS NULL OR NOT {_fin('n')} OR n < 0 OR n > 10 THEN 1.0 ELSE n END AS ratio FROM (SELECT k, {D.number('txt')} AS n FROM v_num) q", ("v_num",))
 add("fn_mode_fr",
-    lambda v: v.v_num.select("k", "rate", N.clean_usage(num, F.col("rate")).alias("u"), N.clean_ratio(num).alias("r")).select("k", F.round(F.when(~F.col("u.gap"), F.col("rate") * F.col("u.usage") * F.col("r")), 6).alias("mode_fr")),
+    lambda v: v.v_num.select("k", "rate", N.clean_usage(F.col("txt"), F.col("rate")).alias("u"), N.clean_ratio(F.col("txt")).alias("r")).select("k", F.round(F.when(~F.col("u.gap"), F.col("rate") * F.col("u.usage") * F.col("r")), 6).alias("mode_fr")),
     f"SELECT k, round(CASE WHEN NOT (n IS NULL AND rate > 0) THEN rate * {_cu} * CASE WHEN n IS NULL OR NOT {_fin('n')} OR n < 0 OR n > 10 THEN 1.0 ELSE n END END, 6) AS mode_fr FROM (SELECT k, rate, {D.number('txt')} AS n FROM v_num) q",
     ("v_num",))
 _words = "CASE " + " ".join(f"WHEN regexp_matches(description, '(?i)\\b{w}\\b') THEN {n}" for w, n in N.MULTIPLIERS)
@@ -176,7 +175,7 @@ add("fn_min_page", lambda v: v.v_part.selectExpr("k", "CASE WHEN k % 6 = 0 THEN
     "SELECT k, CASE WHEN k % 6 = 0 THEN 1000000000 ELSE least(k % 50 + 2, k % 11 + 1) END AS page FROM v_part", ("v_part",))
 
 # geometry
-_a, _b = G.rect("a_"), G.rect("b_")
+_a, _b = (lambda: G.rect("a_")), (lambda: G.rect("b_"))
 _pairs_of_boxes = "SELECT a.box AS a, b.box AS b, a.x0 AS a_x0, a.y0 AS a_y0, a.x1 AS a_x1, a.y1 AS a_y1, b.x0 AS b_x0, b.y0 AS b_y0, b.x1 AS b_x1, b.y1 AS b_y1 FROM v_boxes a JOIN v_boxes b ON a.page = b.page AND a.box < b.box AND b.box - a.box < 4000"
 
 
@@ -188,14 +187,14 @@ def _boxes(v):
 
 _inter = "greatest(0, least(a_x1, b_x1) - greatest(a_x0, b_x0)) * greatest(0, least(a_y1, b_y1) - greatest(a_y0, b_y0))"
 _union = f"((a_x1 - a_x0) * (a_y1 - a_y0) + (b_x1 - b_x0) * (b_y1 - b_y0) - {_inter})"
-add("fn_iou", lambda v: _boxes(v).select("a", "b", F.round(G.iou(_a, _b), 9).alias("iou")), f"WITH p AS ({_pairs_of_boxes}) SELECT a, b, round({_inter} / {_union}, 9) AS iou FROM p", ("v_boxes",))
-add("fn_rects", lambda v: _boxes(v).select("a", "b", G.centre(_a)[0].alias("cx"), G.centre(_a)[1].alias("cy"), G.area(_a).alias("area"), G.intersection(_a, _b).alias("both"), G.contains(_b, *G.centre(_a), margin=5.0).alias("inside"), F.round(G.distance_to(_b, *G.centre(_a)), 9).alias("distance")),
+add("fn_iou", lambda v: _boxes(v).select("a", "b", F.round(G.iou(_a(), _b()), 9).alias("iou")), f"WITH p AS ({_pairs_of_boxes}) SELECT a, b, round({_inter} / {_union}, 9) AS iou FROM p", ("v_boxes",))
+add("fn_rects", lambda v: _boxes(v).select("a", "b", G.centre(_a())[0].alias("cx"), G.centre(_a())[1].alias("cy"), G.area(_a()).alias("area"), G.intersection(_a(), _b()).alias("both"), G.contains(_b(), *G.centre(_a()), margin=5.0).alias("inside"), F.round(G.distance_to(_b(), *G.centre(_a())), 9).alias("distance")),
     f"""WITH p AS ({_pairs_of_boxes}), c AS (SELECT *, (a_x0 + a_x1) / 2 AS cx, (a_y0 + a_y1) / 2 AS cy FROM p)
     SELECT a, b, cx, cy, (a_x1 - a_x0) * (a_y1 - a_y0) AS area, ({_inter})::DOUBLE AS both, cx BETWEEN b_x0 - 5 AND b_x1 + 5 AND cy BETWEEN b_y0 - 5 AND b_y1 + 5 AS inside,
     round(sqrt(pow(greatest(b_x0 - cx, 0, cx - b_x1), 2) + pow(greatest(b_y0 - cy, 0, cy - b_y1), 2)), 9) AS distance FROM c""", ("v_boxes",))
-add("fn_pin_score", lambda v: _boxes(v).select("a", "b", F.round(G.pin_score(_a, _b), 9).alias("score")),
+add("fn_pin_score", lambda v: _boxes(v).select("a", "b", F.round(G.pin_score(_a(), _b()), 9).alias("score")),
     f"""WITH p AS ({_pairs_of_boxes}) SELECT a, b, round(0.7 * least(1, greatest(0, least(a_y1, b_y1) - greatest(a_y0, b_y0)) / greatest(a_y1 - a_y0, 1)) - 0.3 * least(1, greatest(b_x0 - a_x1, a_x0 - b_x1, 0) / 50), 9) AS score FROM p""", ("v_boxes",))
-add("fn_bias_distance", lambda v: _boxes(v).select("a", "b", F.round(G.biased_distance(F.col("a_x0"), F.col("a_y0"), *G.centre(_b)), 9).alias("distance")),
+add("fn_bias_distance", lambda v: _boxes(v).select("a", "b", F.round(G.biased_distance(F.col("a_x0"), F.col("a_y0"), *G.centre(_b())), 9).alias("distance")),
     f"""WITH p AS ({_pairs_of_boxes}), c AS (SELECT *, (b_x0 + b_x1) / 2 AS cx, (b_y0 + b_y1) / 2 AS cy FROM p)
     SELECT a, b, round(sqrt(pow(a_x0 - cx, 2) + pow(a_y0 - cy, 2)) * CASE WHEN a_x0 <= cx AND a_y0 <= cy THEN 0.8 ELSE 1 END, 9) AS distance FROM c""", ("v_boxes",))
 add("fn_cells_radius", lambda v: v.v_boxes.select("box", F.explode(G.cells(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), 120.0)).alias("c")).select("box", F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy")),

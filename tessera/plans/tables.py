@@ -21,7 +21,7 @@ REASONS = {
     "FMR_SUM_MISMATCH": "Failure mode ratios do not add to one",
 }
 _code = "CASE k % 5 WHEN 0 THEN 'PU_EXPECTED_MISMATCH' WHEN 1 THEN 'PU_RANGE_ABOVE_ONE' WHEN 2 THEN 'PU_RANGE_NON_POSITIVE' WHEN 3 THEN 'FMR_SUM_MISMATCH' ELSE 'OTHER' END"
-_map = F.create_map(*(F.lit(x) for kv in REASONS.items() for x in kv))
-add("fn_labels", lambda v: v.v_part.select("k", F.expr(_code).alias("c")).select("k", F.coalesce(F.try_element_at(_map, F.col("c")), F.col("c")).alias("label")),
+_map = lambda: F.create_map(*(F.lit(x) for kv in REASONS.items() for x in kv))
+add("fn_labels", lambda v: v.v_part.select("k", F.expr(_code).alias("c")).select("k", F.coalesce(F.try_element_at(_map(), F.col("c")), F.col("c")).alias("label")),
     "SELECT k, CASE " + " ".join(f"WHEN c = '{k}' THEN '{t}'" for k, t in REASONS.items()) + f" ELSE c END AS label FROM (SELECT k, {_code} AS c FROM v_part) q", ("v_part",))
 add("fn_hash", lambda v: v.v_part.select("k", F.substring(F.sha2("p_name", 256), 1, 16).alias("digest")), "SELECT k, substr(sha256(p_name), 1, 16) AS digest FROM v_part", ("v_part",))

@@ -20,7 +20,7 @@ PREVIEW_ROWS, MOST_COLUMNS, MOST_ROWS, HEADER_ROWS = 20, 100, 20_000, 1000
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "UTF-8") -> DataFrame:
     """A delimited file with a header, all columns strings; blanks stay empty."""
     sep = sep or ("\t" if path.lower().endswith((".tsv", ".tab")) else ",")
-    return spark.read.csv(path, header=True, sep=sep, encoding=encoding, inferSchema=False, emptyValue="", nullValue="\u0000", multiLine=True, quote='"', escape='"')
+    return spark.read.csv(path, header=True, sep=sep, encoding=encoding, inferSchema=False, multiLine=True, quote='"', escape='"').na.fill("")
 
 
 def as_strings(df: DataFrame) -> DataFrame:
