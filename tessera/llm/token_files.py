@@ -115,7 +115,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
     ordered = (
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .repartitionByRange("doc_id", "text")
+        .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", "text")
     )
     ordered.mapInArrow(encode, SCHEMA).write.options(**WRITE_OPTIONS).parquet(path)
