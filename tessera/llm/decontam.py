@@ -21,7 +21,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import broadcast_if_small
+from tessera.llm.common import broadcast_if_small, staged
 
 BROADCAST_BYTES = 64 << 20
 #: Everything in ASCII but digits and small letters; capitals are small by then.
@@ -63,20 +63,28 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     windows = benchmark_windows(benchmark, n).cache()
     sizes = windows.groupBy("k").agg(F.sum(F.octet_length("window") + 64 + 16 * F.size("items")).alias("bytes")).collect()
     small = sum(r["bytes"] for r in sizes) <= BROADCAST_BYTES
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("th"), words(F.col("text")).alias("w"))
-    rows = rows.withColumn("wh", F.transform("w", lambda w: F.xxhash64(w)))
-    found = None
+    th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("th")
+    rows = docs.select("doc_id", th, F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("wh"))
+    probed = None
     for k in sorted(r["k"] for r in sizes):  # n, and the lengths of shorter items
         table = windows.filter(F.col("k") == k)
         table = table.select(_hashes(F.transform(F.split("window", " "), lambda w: F.xxhash64(w)), k)[0].alias("h"), "window", "items")
-        places = rows.filter(F.size("w") >= k).select("doc_id", "th", "w", F.posexplode(_hashes(F.col("wh"), k)).alias("at", "h"))
-        hits = places.join(F.broadcast(table) if small else table, "h")
-        hits = hits.filter(F.array_join(F.slice("w", F.col("at") + 1, k), " ") == F.col("window"))
-        hits = hits.select("doc_id", "th", F.lit(k).alias("k"), "at", "items")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = rows.filter(F.lit(False)).select("doc_id", "th", F.lit(0).alias("k"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("items"))
-    return found
+        # the words stay behind: with them every exploded row would copy its whole document
+        places = rows.filter(F.size("wh") >= k).select("doc_id", "th", F.posexplode(_hashes(F.col("wh"), k)).alias("at", "h"))
+        hits = places.join(F.broadcast(table) if small else table, "h").select("doc_id", "th", F.lit(k).alias("k"), "at", "window", "items")
+        probed = hits if probed is None else probed.unionByName(hits)
+    if probed is None:
+        none = F.array().cast("array<string>")
+        return rows.select("doc_id", "th", F.lit(0).alias("k"), F.lit(0).alias("at"), none.alias("items")).filter(F.lit(False))
+    probed = staged(probed, "probed")
+    where = broadcast_if_small(probed.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct(), "probed-documents")
+    texts = docs.select("doc_id", th, F.col("text").cast("string").alias("text"))
+    texts = texts.join(where, texts["doc_id"].eqNullSafe(where["_id"]) & (texts["th"] == where["_th"]), "left_semi")
+    texts = texts.groupBy("doc_id", "th").agg(F.collect_set("text").alias("t"))  # equal rows once; texts under one hash apart
+    texts = texts.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.transform("t", words).alias("ws"))
+    found = probed.join(texts, probed["doc_id"].eqNullSafe(texts["_id"]) & (probed["th"] == texts["_th"]))
+    same = F.exists("ws", lambda w: F.array_join(F.slice(w, F.col("at") + 1, F.col("k")), " ") == F.col("window"))
+    return found.filter(same).select("doc_id", "th", "k", "at", "items")
 
 
 def hit_words(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
