@@ -10,7 +10,8 @@ from tessera.operators import compare
 
 def sessions(events: DataFrame, gap: str = "15 seconds", late: str = "10 minutes") -> DataFrame:
     """(user_id, start, end, n): sessions parted by a gap; state is dropped by the watermark."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark takes no time without a zone
+    rows = rows.withWatermark("ts", late) if events.isStreaming else rows
     out = rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
     return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
