@@ -77,11 +77,11 @@ VIEWS: dict[str, tuple[str, str]] = {
     "v_snap_b": _both(f"SELECT 'GRP-' || {_s('CASE WHEN k % 15 = 0 THEN g + 1 ELSE g END')} AS grp, ref, {_s('k % 30 + 1')} AS pages FROM v_group_item WHERE k % 9 <> 3"),
     "v_boxes": _both(
         """SELECT CAST(o_orderkey AS BIGINT) AS box, CAST(o_orderkey % 40 AS BIGINT) AS page, CAST((o_custkey * 29) % 700 AS DOUBLE) AS x0, CAST((o_orderkey * 13) % 500 AS DOUBLE) AS y0,
-        CAST((o_custkey * 29) % 700 + 40 + o_custkey % 200 AS DOUBLE) AS x1, CAST((o_orderkey * 13) % 500 + 30 + o_custkey % 150 AS DOUBLE) AS y1 FROM {orders} WHERE o_orderkey % 25 = 0"""
+        CAST((o_custkey * 29) % 700 + 40 + o_custkey % 200 AS DOUBLE) AS x1, CAST((o_orderkey * 13) % 500 + 30 + o_custkey % 150 AS DOUBLE) AS y1 FROM {orders}"""
     ),
     "v_words": _both(
         f"""SELECT l_orderkey * 10 + l_linenumber AS word, CAST(l_orderkey % 40 AS BIGINT) AS page, CAST((l_partkey * 37) % 800 AS DOUBLE) AS x, CAST((l_suppkey * 53 + l_linenumber * 11) % 600 AS DOUBLE) AS y,
-        CASE l_partkey % 3 WHEN 0 THEN 'R' ELSE 'U' END || {_s('l_partkey + 1')} AS txt FROM {{lineitem}} WHERE l_orderkey % 10 = 0"""
+        CASE l_partkey % 3 WHEN 0 THEN 'R' ELSE 'U' END || {_s('l_partkey + 1')} AS txt FROM {{lineitem}}"""
     ),
 }
 TABLES = ("part", "orders", "lineitem")
