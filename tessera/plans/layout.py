@@ -67,10 +67,10 @@ add("sj_near_bbox", lambda v: S.near(refs(v), _bbox(v), 25.0).select("word"), f"
 add("sp_bodies", lambda v: boxes(v).filter("x1 - x0 BETWEEN 20 AND 500 AND y1 - y0 BETWEEN 20 AND 500 AND (x1 - x0) / (y1 - y0) BETWEEN 0.8 AND 1.5").select("page", "box"),
     "SELECT page, box FROM v_boxes WHERE (x1 - x0) / (y1 - y0) BETWEEN 0.8 AND 1.5", BX)
 add("sp_nms", lambda v: P.suppress_overlaps(boxes(v)))
-add("sp_cluster", lambda v: P.cluster_pins(pins(v).filter("word % 4 = 1")))
-add("sp_ticks", lambda v: S.best(S.near(words(v).filter("word % 10 = 2"), boxes(v), 5.0), ["word"], [F.col("box")], ["box"]),
+add("sp_cluster", lambda v: P.cluster_pins(pins(v)))
+add("sp_ticks", lambda v: S.best(S.near(words(v).filter("shape = 'tick'"), boxes(v), 5.0), ["word"], [F.col("box")], ["box"]),
     f"SELECT w.word, min(b.box) AS box FROM v_words w JOIN v_boxes b ON w.page = b.page AND {_gap} <= 5 WHERE w.word % 10 = 2 GROUP BY 1", WB)
-add("sp_bga", lambda v: S.best(S.near(words(v).filter("word % 10 = 3"), boxes(v), 15.0), ["word"], [F.col("box")], ["box"]),
+add("sp_bga", lambda v: S.best(S.near(words(v).filter("shape = 'circle'"), boxes(v), 15.0), ["word"], [F.col("box")], ["box"]),
     f"SELECT w.word, min(b.box) AS box FROM v_words w JOIN v_boxes b ON w.page = b.page AND {_gap} <= 15 WHERE w.word % 10 = 3 GROUP BY 1", WB)
 _class = "CASE WHEN txt LIKE 'R%' THEN 'REFDES' WHEN near THEN 'PIN' WHEN length(txt) > 5 THEN 'NET' ELSE 'JUNK' END"
 _near = lambda v: S.near(words(v), boxes(v), 10.0).select("word").distinct().withColumn("near", F.lit(True))

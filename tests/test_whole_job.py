@@ -2,6 +2,7 @@
 
 import pytest
 
+from tessera.plans import registry
 from tessera.sources.fixtures import Views
 
 SF = "/root/testdata/sf0.001"
@@ -17,3 +18,13 @@ def test_words_and_boxes_are_whole_tables(views):
         rows = getattr(views, view)
         assert rows.count() == views.table(table).count()
         assert {r["page"] for r in rows.select("page").distinct().collect()} == set(range(40))
+
+
+def test_clusters_hold_every_pin(spark, views):
+    got = registry.queries()["sp_cluster"](spark, SF).select("page", "word")
+    pins = views.v_words.filter("txt LIKE 'U%'").select("page", "word")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pins.collect()))
+
+
+def test_shapes_are_a_class_of_the_view(views):
+    assert {r["shape"] for r in views.v_words.select("shape").distinct().collect()} == {"tick", "circle", "text"}
