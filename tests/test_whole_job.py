@@ -1,7 +1,9 @@
 """The derived views and the queries on them cover the whole driver tables."""
 
+import numpy as np
 import pytest
 
+from tessera.operators import cluster
 from tessera.plans import registry
 from tessera.sources.fixtures import Views
 
@@ -28,3 +30,22 @@ def test_clusters_hold_every_pin(spark, views):
 
 def test_shapes_are_a_class_of_the_view(views):
     assert {r["shape"] for r in views.v_words.select("shape").distinct().collect()} == {"tick", "circle", "text"}
+
+
+def test_no_box_is_dropped_unless_it_overlaps(spark):
+    boxes = spark.range(5100).selectExpr("1L AS page", "id AS box", "id % 100 * 50.0D AS x0", "floor(id / 100) * 50.0D AS y0", "id % 100 * 50.0D + 40 AS x1", "floor(id / 100) * 50.0D + 40 AS y1")
+    assert cluster.suppress_overlaps(boxes).count() == 5100
+    assert {r["box"] for r in cluster.suppress_overlaps(boxes, most=7).collect()} == set(range(7))
+
+
+def test_clusters_equal_single_linkage(spark):
+    r = np.random.default_rng(1)
+    rows = [(p, k, float(x), float(y)) for p, n in enumerate((5, 30, 80)) for k, (x, y) in enumerate(r.uniform(-900, 900, (n, 2)).tolist())]
+    root = {(p, k): k for p, k, _, _ in rows}
+    cell = lambda v: v // cluster.PIN_CELL
+    close = [((p, k), (q, m)) for p, k, x, y in rows for q, m, u, w in rows if p == q and k < m and abs(cell(x) - cell(u)) <= 1 and abs(cell(y) - cell(w)) <= 1 and np.hypot(x - u, y - w) <= cluster.PIN_REACH]
+    for _ in rows:
+        for a, b in close:
+            root[a] = root[b] = min(root[a], root[b])
+    pins = spark.createDataFrame(rows, "page long, word long, x double, y double")
+    assert {tuple(x) for x in cluster.cluster_pins(pins).collect()} == {(*a, c) for a, c in root.items()}
