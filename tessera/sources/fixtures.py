@@ -58,7 +58,8 @@ VIEWS: dict[str, tuple[str, str]] = {
         FROM v_part CROSS JOIN (SELECT 'Open' AS mode, 1 AS fm_row UNION ALL SELECT 'Short' AS mode, 2 AS fm_row) m WHERE c2 NOT LIKE 'Brand#5%'"""
     ),
     "v_hda": _both(
-        "SELECT row_no, part_number, hda_level1 AS commodity1, hda_level2 AS commodity2 FROM v_bom WHERE k % 3 = 0"
+        """SELECT row_no, part_number, hda_level1 AS commodity1, hda_level2 AS commodity2
+        FROM (SELECT *, row_number() OVER (PARTITION BY part_number ORDER BY k) AS n FROM v_bom ) q WHERE n = 1 AND k % 41 <> 0"""
     ),
     "v_fmea": _both(
         f"""SELECT g * 100 + 2 AS row_no, 'BLK-' || {_s('g')} AS fmea_id, 'Circuit Block' AS level, CAST('' AS VARCHAR(40)) AS cause, CAST('' AS VARCHAR(40)) AS ratio, CAST('' AS VARCHAR(40)) AS usage, 'F' || {_s('g % 50')} AS func

@@ -49,3 +49,11 @@ def test_clusters_equal_single_linkage(spark):
             root[a] = root[b] = min(root[a], root[b])
     pins = spark.createDataFrame(rows, "page long, word long, x double, y double")
     assert {tuple(x) for x in cluster.cluster_pins(pins).collect()} == {(*a, c) for a, c in root.items()}
+
+
+def test_types_of_every_part_number(views):
+    rows = [tuple(r) for r in views.v_hda.select("part_number", "row_no").collect()]
+    least = {}
+    for number, k in views.v_bom.select("part_number", "k").collect():
+        least[number] = min(k, least.get(number, k))
+    assert sorted(rows) == sorted((number, k + 2) for number, k in least.items() if k % 41)
