@@ -21,18 +21,31 @@ _local_shared: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a fresh local one where that is unset."""
+    """The folder all executors share (spark.checkpoint.dir); where that is unset, a fresh one of a local master only."""
     global _local_shared
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _local_shared is None:
         _local_shared = tempfile.mkdtemp(prefix="tessera-")
     return "file://" + _local_shared
 
 
+_swept: set[str] = set()
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder.  All that an application stages goes when its driver ends."""
+    root = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
+    if root not in _swept:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _swept.add(root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -54,9 +67,14 @@ def broadcast_if_small(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Small Arrow batches for this session: by Spark's defaults a batch of long texts takes hundreds of megabytes on both sides."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    """Small Arrow batches: by Spark's defaults a batch of long texts takes hundreds of megabytes on both sides.
+
+    Sizes given in the application's own configuration stay.  The session keeps these, as DataFrames read them when they run.
+    """
+    given = spark.sparkContext.getConf()
+    for name, size in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")):
+        if not given.contains(name):
+            spark.conf.set(name, size)
 
 
 # ---- Arrow batches -------------------------------------------------------------------------

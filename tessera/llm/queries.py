@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, decontam, exact_dedup, kneser_ney, langid, near_dedup, pii, substring_dedup, token_files
+from tessera.llm import bpe, chat, decontam, exact_dedup, kneser_ney, langid, near_dedup, oracles, pii, substring_dedup, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +69,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other queries hold tokens, likelihoods or learnt spans, which tests compare with brute force."""
+    return dict(oracles.SQL)

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, components, decontam, exact_dedup, kneser_ney, langid, near_dedup, pii, substring_dedup, token_files
+from tessera.llm import bpe, chat, components, decontam, exact_dedup, kneser_ney, langid, near_dedup, oracles, pii, queries, substring_dedup, token_files
 from tessera.llm.chunks import pack_ids
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -260,6 +260,28 @@ def test_exact_dedup(spark, texts):
     ties = exact_dedup.keep_one(table(spark, ["a", "a", "b", None, ""], [1, 1, None, None, None])).collect()
     assert sorted((r["text"] or "") for r in ties) == ["", "a", "b"]
     assert exact_dedup.exact_groups(table(spark, texts).limit(0)).count() == 0
+    alike = exact_dedup.exact_groups(table(spark, ["a", "a", None, "", "b"], [1, 1, None, None, None])).collect()
+    assert sorted((r["doc_id"] or 0, r["keep_id"] or 0, r["group_size"], r["kept"]) for r in alike) == [
+        (0, 0, 1, True), (0, 0, 2, False), (0, 0, 2, True), (1, 1, 2, False), (1, 1, 2, True)]
+
+
+def test_hash_index_is_the_path(spark, texts):
+    """Each bucket's file holds its own slots' texts, and documents are lost with it."""
+    import shutil
+
+    docs = table(spark, texts)
+    index = exact_dedup.build_index(docs, capacity=2000)
+    assert index.depth > 0 and index.entries.select("bucket").distinct().count() > 2
+    rows = exact_dedup._rows(docs, F.xxhash64)
+    assert index.probe(rows).count() == len(texts)
+    bucket = index.entries.first()["bucket"]
+    held = {r["h"] for r in index.entries.filter(F.col("bucket") == bucket).collect()}
+    gone = sum(r["h"] in held for r in rows.collect())
+    shutil.rmtree(f"{index.path.removeprefix('file:')}/entries/bucket={bucket}")
+    left = exact_dedup.Index(spark, index.path).probe(rows)
+    assert gone > 0 and left.count() == len(texts) - gone
+    chains = exact_dedup.build_index(docs, hash_of=lambda c: F.lit(5).cast("long")).entries.collect()
+    assert [len(r["chain"]) for r in chains] == [len({t or "" for t in texts})]
 
 
 def test_directory_doubling():
@@ -328,3 +350,22 @@ def test_decontamination(spark, texts):
     assert spans[len(texts)] == "a , !  " and spans[0] == texts[0]
     assert decontam.report(table(spark, cases), bench.limit(0)).filter("contaminated").count() == 0
     assert decontam.report(table(spark, cases).limit(0), bench).count() == 0
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(oracles.SQL))
+def test_query_matches_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = queries.queries()[name](spark, SF)
+    want = con.sql(oracles.SQL[name])
+    columns = sorted(df.columns)
+    assert sorted(want.columns) == columns
+    at = [want.columns.index(c) for c in columns]
+    got = sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+    assert got == sorted((tuple(r[k] for k in at) for r in want.fetchall()), key=repr)
