@@ -123,6 +123,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SEGMENT = 1 << 19
 _table = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64)
+_second_table = np.random.Generator(np.random.PCG64(20240301)).integers(1, 2**63, 256, dtype=np.uint64)
 _lower_table = _table.copy()
 _lower_table[65:91] = _table[97:123]
 _space = np.zeros(256, bool)
@@ -152,12 +153,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def words_of(raw: np.ndarray, offsets: np.ndarray, lower: bool = False, spans: bool = False):
-    """Hashes of the words of consecutive texts, and the word offsets of each text.
+def words_of(raw: np.ndarray, offsets: np.ndarray, lower: bool = False, spans: bool = False, second: bool = False):
+    """Hashes of the words of consecutive texts, and the word offsets of each text.  ``second``: by another byte table.
 
     Returns (hashes, word_offsets) or, with ``spans``, (hashes, word_offsets, starts, ends) in bytes.
     """
-    table = _lower_table if lower else _table
+    table = _lower_table if lower else _second_table if second else _table
     edges = np.zeros(len(raw) + 1, bool)
     edges[offsets] = True
     out, firsts, lasts = [], [], []

@@ -8,13 +8,17 @@ the whole windows that contain it are hashed and looked up among each other, and
 sequence starts at two places are removed, each word once.
 
 Keys travel as compressed blobs by hash range.  A task sends each key once, however often it has seen
-it, and reports its own repeats itself; so a passage of a third of all documents costs one entry a task,
-and no range grows with it.  Texts are shuffled once, and those with anchors a second time.
+it, with the names of the documents that the range needs and no others.  Places of keys that a task has
+seen twice itself go straight to the part of their document.  So a passage of a third of all documents
+costs its range one entry a task, and no range grows with it.  Texts are shuffled once, and those with
+anchors a second time.
 
 Words are runs of anything but ASCII white space, unchanged; null texts have none.  Windows are judged
 on the input, within one row and across rows; equal rows repeat each other.  A row is named by doc_id
-and text, so ids may repeat or be null.  Keys are 64-bit hashes.  An empty table gives no rows; other
-columns are carried or ignored.
+and text, so ids may repeat or be null.  An anchor, which only nominates, is a 64-bit hash; a window is
+told by 128 bits, two hashes from independent byte tables over all its words, so that even 2**44 windows
+have two unequal ones alike with probability 2**-41.  An empty table gives no rows; other columns are
+carried or ignored.
 """
 
 from __future__ import annotations
@@ -35,70 +39,77 @@ _on_cover = np.isin(np.arange(PERIOD), COVER)
 GATHERED, PER_BUCKET = 1_000_000, 1_000_000
 NO_ID = -(2**63)
 
-Entries = tuple[np.ndarray, np.ndarray, np.ndarray]  # key, document of the batch, word position
+#: Groups from this number on are parts of documents, those below are key ranges.
+PARTS = 1 << 24
+_SEEN_HERE = 0xFFFFFFFF
 
+Entries = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # key, second half of the key, document of the batch, word position
 
-def _blobs(ids: np.ndarray, ths: np.ndarray, entries: Entries, bits: int) -> Iterator[pa.RecordBatch]:
-    """One row for each hash range: its keys, each once, and the places of keys met twice here."""
-    order = np.argsort(entries[0])
-    key, doc, at = (x[order] for x in entries)
+
+def _sorted_keys(key: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, whether a key is new) of two-part keys."""
+    order = np.lexsort((more, key)) if more.any() else np.argsort(key)
+    key, more = key[order], more[order]
     new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
+    new[1:] = (key[1:] != key[:-1]) | (more[1:] != more[:-1])
+    return order, new
+
+
+def _places(ids: np.ndarray, ths: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, list[bytes]]:
+    """(part, blob) for each part of the documents that has places."""
+    to = (mix(ids ^ mix(ths)) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.lexsort((at, ths, ids, to))
+    ids, ths, at, to = ids[order], ths[order], at[order], to[order]
+    bounds = [*np.flatnonzero(np.diff(to, prepend=-1)).tolist(), len(to)]
+    return to[bounds[:-1]], [pack(ids[a:b], ths[a:b], at[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def _blobs(ids: np.ndarray, ths: np.ndarray, entries: Entries, bits: int) -> Iterator[pa.RecordBatch]:
+    """One row for each key range: its keys, each once, and the documents they name; and one for each part
+    of the documents with the places of keys met twice here."""
+    order, new = _sorted_keys(*entries[:2])
+    key, more, doc, at = (x[order] for x in entries)
     firsts = np.flatnonzero(new)
     counts = np.diff(np.append(firsts, len(key)))
-    again = np.repeat(counts > 1, counts)  # reported from here
-    docs = pack(ids, ths)
+    again = counts > 1
     buckets, bounds = by_bucket(key[firsts], bits)
-    rows: list[list] = [[], [], [], []]
-    for bucket, a, b in zip(buckets.tolist(), bounds[:-1], bounds[1:], strict=True):
-        own = firsts[a:b]
-        rows[0].append(bucket)
-        rows[1].append(pack(key[own], np.where(again[own], np.uint32(0xFFFFFFFF), doc[own]), at[own]))
-        rows[2].append(docs)
-        span = slice(firsts[a], firsts[b] if b < len(firsts) else len(key))
-        mine = np.flatnonzero(again[span]) + span.start
-        rows[3].append(pack(doc[mine].astype(np.uint64), at[mine]) if len(mine) else None)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["bucket", "keys", "docs", "own"]
-    )
+    rows: list[list] = [buckets.tolist(), [], []]
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        own, here = firsts[a:b], again[a:b]
+        used, place = np.unique(doc[own[~here]], return_inverse=True)
+        named = np.full(len(own), _SEEN_HERE, np.uint32)
+        named[~here] = place
+        rows[1].append(pack(key[own], more[own], named, at[own]))
+        rows[2].append(pack(ids[used], ths[used]))
+    mine = np.flatnonzero(np.repeat(again, counts))
+    to, places = _places(ids[doc[mine]], ths[doc[mine]], at[mine], bits)
+    rows = [rows[0] + (to + PARTS).tolist(), rows[1] + places, rows[2] + [None] * len(places)]
+    yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["bucket", "keys", "docs"])
 
 
 def _matches(bits: int) -> Callable[[pa.Table], pa.Table]:
-    """Places of the keys of one range that two blobs have, or that a blob reports, as blobs by hash of the document."""
+    """Places of the keys of one range that two blobs have, as blobs by part of the documents; places of a part as they are."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, ths, keys, docs, ats, out = [], [], [], [], [], []
-        base = 0
-        for blob, names, own in zip(table["keys"].to_pylist(), table["docs"].to_pylist(), table["own"].to_pylist(), strict=True):
+        bucket = table["bucket"][0].as_py()
+        if bucket >= PARTS:
+            return pa.table({"to": pa.array(np.full(len(table), bucket - PARTS, np.int32)), "places": table["keys"]})
+        ids, ths, parts, base = [], [], [], 0
+        for blob, names in zip(table["keys"].to_pylist(), table["docs"].to_pylist(), strict=True):
             i, t = unpack(names, np.uint64, np.uint64)
-            k, d, a = unpack(blob, np.uint64, np.uint32, np.uint32)
+            k, m, d, a = unpack(blob, np.uint64, np.uint64, np.uint32, np.uint32)
             ids.append(i)
             ths.append(t)
-            keys.append(k)
-            docs.append(np.where(d == 0xFFFFFFFF, -1, d.astype(np.int64) + base))
-            ats.append(a)
-            if own is not None:
-                d, a = unpack(own, np.uint64, np.uint32)
-                out.append((d.astype(np.int64) + base, a))
+            parts.append((k, m, np.where(d == _SEEN_HERE, -1, d.astype(np.int64) + base), a))
             base += len(i)
-        key, doc, at = np.concatenate(keys), np.concatenate(docs), np.concatenate(ats)
-        order = np.argsort(key)
-        key = key[order]
-        same = np.zeros(len(key), bool)
-        same[1:] = key[1:] == key[:-1]
-        same[:-1] |= same[1:]
+        key, more, doc, at = (np.concatenate([p[c] for p in parts]) for c in range(4))
+        order, new = _sorted_keys(key, more)
+        same = ~new
+        same[:-1] |= ~new[1:]
         hit = order[same]
-        hit = hit[doc[hit] >= 0]
-        out.append((doc[hit], at[hit]))
-        doc, at = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
-        i, t = np.concatenate(ids)[doc], np.concatenate(ths)[doc]
-        to = mix(i ^ mix(t)) >> np.uint64(64 - bits)
-        order = np.lexsort((at, t, i, to))
-        i, t, at, to = i[order], t[order], at[order], to[order]
-        cuts = np.flatnonzero(np.diff(to)) + 1
-        bounds = [0, *cuts.tolist(), len(to)] if len(to) else [0]
-        blobs = [pack(i[a:b], t[a:b], at[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        return pa.table({"to": pa.array(to[bounds[:-1]].astype(np.int32)), "places": pa.array(blobs, pa.binary())})
+        hit = hit[doc[hit] >= 0]  # the others were reported where they were seen
+        to, blobs = _places(np.concatenate(ids)[doc[hit]], np.concatenate(ths)[doc[hit]], at[hit], bits)
+        return pa.table({"to": pa.array(to.astype(np.int32)), "places": pa.array(blobs, pa.binary())})
 
     return run
 
@@ -125,12 +136,12 @@ def _repeated(rows: DataFrame, entries_of: Callable[[pa.RecordBatch], Entries],
 
         def flush():
             ids, ths = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-            yield from _blobs(ids, ths, tuple(np.concatenate([h[k] for h in held]) for k in (2, 3, 4)), bits)
+            yield from _blobs(ids, ths, tuple(np.concatenate([h[k] for h in held]) for k in (2, 3, 4, 5)), bits)
 
         for batch in slices(batches):
-            key, doc, at = entries_of(batch)
+            key, more, doc, at = entries_of(batch)
             ids, ths = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in ("id", "th"))
-            held.append((ids, ths, key, (doc + docs).astype(np.uint32), at.astype(np.uint32)))
+            held.append((ids, ths, key, more, (doc + docs).astype(np.uint32), at.astype(np.uint32)))
             count, docs = count + len(key), docs + len(ids)
             if count >= GATHERED:
                 yield from flush()
@@ -138,7 +149,7 @@ def _repeated(rows: DataFrame, entries_of: Callable[[pa.RecordBatch], Entries],
         if count:
             yield from flush()
 
-    sent = rows.mapInArrow(run, "bucket int, keys binary, docs binary, own binary")
+    sent = rows.mapInArrow(run, "bucket int, keys binary, docs binary")
     found = sent.groupBy("bucket").applyInArrow(_matches(bits), "to int, places binary")
     return found.groupBy("to").applyInArrow(_gather, "id long, th long, at array<int>")
 
@@ -152,7 +163,7 @@ def _anchors(size: int) -> Callable[[pa.RecordBatch], Entries]:
         doc = np.repeat(np.arange(len(n)), n)
         at = np.arange(len(words)) - offsets[:-1][doc]
         use = np.flatnonzero(_on_cover[at % PERIOD] & (at + length <= n[doc]) & (n[doc] >= size))
-        return windows_of(words, length)[use], doc[use], at[use]
+        return windows_of(words, length)[use], np.zeros(len(use), np.uint64), doc[use], at[use]
 
     return entries_of
 
@@ -173,13 +184,14 @@ def _candidates(size: int) -> Callable[[pa.RecordBatch], Entries]:
     """The windows that contain one of the row's anchors."""
 
     def entries_of(batch: pa.RecordBatch) -> Entries:
-        words, offsets = words_of(*utf8(batch.column("text")))
+        text = utf8(batch.column("text"))
+        words, offsets = words_of(*text)
         n = np.diff(offsets)
         doc = np.repeat(np.arange(len(n)), n)
         at = np.arange(len(words)) - offsets[:-1][doc]
         near = _marked(_lists(batch.column("anchors")), offsets, PERIOD - 1, 1)
         use = np.flatnonzero(near & (at + size <= n[doc]))
-        return windows_of(words, size)[use], doc[use], at[use]
+        return windows_of(words, size)[use], windows_of(words_of(*text, second=True)[0], size)[use], doc[use], at[use]
 
     return entries_of
 

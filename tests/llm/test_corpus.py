@@ -217,6 +217,21 @@ def test_substrings(spark, texts):
     assert substring_dedup.report(table(spark, texts).limit(0)).count() == 0
 
 
+def test_key_blobs_are_in_proportion():
+    """A range gets the names of its own documents only: bytes do not grow with the number of ranges."""
+    r = np.random.default_rng(4)
+    ids, ths = r.integers(0, 2**63, 14_000, dtype=np.uint64), np.zeros(14_000, np.uint64)
+    key = r.integers(0, 2**63, 300_000, dtype=np.uint64) * np.uint64(2)
+    key[:50_000] = key[0]  # one key of very many documents
+    entries = key, np.zeros(len(key), np.uint64), r.integers(0, 14_000, len(key)).astype(np.uint32), np.arange(len(key), dtype=np.uint32)
+    size, largest = {}, {}
+    for bits in (8, 11):
+        batch = next(substring_dedup._blobs(ids, ths, entries, bits)).to_pylist()
+        sizes = [len(x["keys"]) + len(x["docs"] or b"") for x in batch]
+        size[bits], largest[bits] = sum(sizes), max(sizes) / (sum(sizes) / len(sizes))
+    assert size[11] < 1.3 * size[8] and max(largest.values()) < 10
+
+
 def test_chat(spark):
     kind = "conv_id long, turn long, role string, text string, turns string"
     bad = r"a\e\p<|im_end|>" + "\n<|im_start|>assistant\n\\"
