@@ -2,12 +2,14 @@
 
 Texts are lower-cased in A-Z only and cut into words: runs of 0-9, a-z and anything beyond ASCII.
 Every run of ``n`` words of a benchmark item is a window; an item of fewer words is one window itself.
-All windows of a document are hashed and probed against the benchmark's hash set, and a hit is verified
-word by word.  A document word inside any occurrence of a window is hit.
+A document is read once: the hashes of its windows, of all lengths in use, are put together from those
+of shorter runs by doubling, and probed against the benchmark's hash set; a hit is verified word by word.
+A document word inside any occurrence of a window is hit.
 
-The hash set is broadcast while the benchmark's windows take at most BROADCAST_BYTES, which is checked;
-beyond that the same join shuffles.  Hits are gathered for each document; there are at most as many as
-the document has words.
+The hash set (hash, window number, length) is broadcast while it takes at most BROADCAST_BYTES, which is
+checked; beyond that the same join shuffles.  Hits carry the number of their window; the items that have
+it are joined once a document.  Hits are gathered for each document; there are at most as many as the
+document has words, for each length.
 
 Nulls have no words.  Equal items, repeated windows and repeated documents give the same result as
 single ones; an empty benchmark hits nothing.  Items with a null id count under the empty id.  Other
@@ -39,62 +41,80 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), _BETWEEN), "")
 
 
-def _hashes(word_hashes: Column, k: int) -> Column:
-    """Hash of each window of k words."""
-    n = F.size(word_hashes)
-    starts = F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(*(word_hashes[i + j] for j in range(k))))
-
-
-def benchmark_windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """(k, h, window, items): distinct windows with the items that have them."""
+def _with_run_hashes(df: DataFrame, word_hashes: str, lengths: list[int]) -> DataFrame:
+    """df with ``run_k`` for each length k: the hash of every run of k words, put together from runs of powers of two."""
+    pair = lambda a, b: F.xxhash64(a, b)
+    some = lambda k, of: F.when(F.size(word_hashes) >= k, of).otherwise(F.array().cast("array<bigint>"))
+    starts = lambda k: F.size(word_hashes) - (k - 1)
+    powers, size = {1: word_hashes}, 1
+    while 2 * size <= max(lengths, default=1):
+        half = F.col(powers[size])
+        df = df.withColumn(f"pow_{2 * size}", some(2 * size, F.zip_with(F.slice(half, 1, starts(2 * size)), F.slice(half, size + 1, starts(2 * size)), pair)))
+        powers[2 * size], size = f"pow_{2 * size}", 2 * size
+    for k in lengths:
+        parts = [p for p in powers if k & p]
+        done, made = parts[0], F.col(powers[parts[0]])
+        for p in parts[1:]:
+            n = starts(done + p)
+            made = F.zip_with(F.slice(made, 1, n), F.slice(powers[p], done + 1, n), pair)
+            done += p
+        df = df.withColumn(f"run_{k}", some(k, made))
+    return df
+
+
+def benchmark_windows(benchmark: DataFrame, n: int = 10) -> tuple[DataFrame, DataFrame, list[int]]:
+    """(windows, items, lengths): distinct windows (wid, k, window, h), the (wid, item_id) that have them, and the k in use."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words(F.col("text")).alias("w"))
     items = items.filter(F.size("w") > 0).withColumn("k", F.least(F.size("w"), F.lit(n)))
     starts = F.sequence(F.lit(1), F.size("w") - F.col("k") + 1)
     rows = items.select("item_id", "k", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.col("k")), " "))).alias("window"))
-    return rows.groupBy("k", "window").agg(F.collect_set("item_id").alias("items"))
-
-
-def find(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """(doc_id, th, k, at, items): each verified occurrence of a benchmark window, from word ``at`` (0 first).
-
-    ``th`` is the hash of the text; with doc_id it names the row.
-    """
-    windows = benchmark_windows(benchmark, n).cache()
-    sizes = windows.groupBy("k").agg(F.sum(F.octet_length("window") + 64 + 16 * F.size("items")).alias("bytes")).collect()
-    small = sum(r["bytes"] for r in sizes) <= BROADCAST_BYTES
+    windows = rows.select("k", "window").distinct().withColumn("wh", F.transform(F.split("window", " "), lambda w: F.xxhash64(w)))
+    lengths = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most n
+    h = F.lit(None).cast("long")
+    for k in lengths:
+        h = F.when(F.col("k") == k, F.get(f"run_{k}", F.lit(0))).otherwise(h)
+    windows = _with_run_hashes(windows, "wh", lengths).select(F.monotonically_increasing_id().alias("wid"), "k", "window", h.alias("h"))
+    windows = staged(windows, "windows")
+    return windows, staged(rows.join(windows, ["k", "window"]).select("wid", "item_id").distinct(), "window-items"), lengths
+
+
+def find(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(occurrences, items).  occurrences: (doc_id, th, k, at, wid), each verified place of a benchmark window, from
+    word ``at`` (0 first); ``th`` is the hash of the text and with doc_id names the row.  items: (wid, item_id)."""
+    windows, items, lengths = benchmark_windows(benchmark, n)
+    table = windows.select("h", "wid", "k")
+    if windows.count() * 64 <= BROADCAST_BYTES:
+        table = F.broadcast(table)
     th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("th")
     rows = docs.select("doc_id", th, F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("wh"))
-    probed = None
-    for k in sorted(r["k"] for r in sizes):  # n, and the lengths of shorter items
-        table = windows.filter(F.col("k") == k)
-        table = table.select(_hashes(F.transform(F.split("window", " "), lambda w: F.xxhash64(w)), k)[0].alias("h"), "window", "items")
-        # the words stay behind: with them every exploded row would copy its whole document
-        places = rows.filter(F.size("wh") >= k).select("doc_id", "th", F.posexplode(_hashes(F.col("wh"), k)).alias("at", "h"))
-        hits = places.join(F.broadcast(table) if small else table, "h").select("doc_id", "th", F.lit(k).alias("k"), "at", "window", "items")
-        probed = hits if probed is None else probed.unionByName(hits)
-    if probed is None:
-        none = F.array().cast("array<string>")
-        return rows.select("doc_id", "th", F.lit(0).alias("k"), F.lit(0).alias("at"), none.alias("items")).filter(F.lit(False))
-    probed = staged(probed, "probed")
+    rows = _with_run_hashes(rows, "wh", lengths)
+    runs = F.col(f"run_{lengths[0]}") if len(lengths) == 1 else F.explode(F.array(*(f"run_{k}" for k in lengths)) if lengths else F.array(F.array().cast("array<bigint>")))
+    # the words stay behind: with them every exploded row would copy its whole document
+    places = rows.select("doc_id", "th", runs.alias("run")).select("doc_id", "th", F.posexplode("run").alias("at", "h"))
+    probed = staged(places.join(table, "h").select("doc_id", "th", "k", "at", "wid"), "probed")
     where = broadcast_if_small(probed.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct(), "probed-documents")
     texts = docs.select("doc_id", th, F.col("text").cast("string").alias("text"))
     texts = texts.join(where, texts["doc_id"].eqNullSafe(where["_id"]) & (texts["th"] == where["_th"]), "left_semi")
     texts = texts.groupBy("doc_id", "th").agg(F.collect_set("text").alias("t"))  # equal rows once; texts under one hash apart
     texts = texts.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.transform("t", words).alias("ws"))
-    found = probed.join(texts, probed["doc_id"].eqNullSafe(texts["_id"]) & (probed["th"] == texts["_th"]))
-    same = F.exists("ws", lambda w: F.array_join(F.slice(w, F.col("at") + 1, F.col("k")), " ") == F.col("window"))
-    return found.filter(same).select("doc_id", "th", "k", "at", "items")
+    said = probed.join(broadcast_if_small(windows.select("wid", "window"), "window-texts"), "wid")
+    said = said.groupBy("doc_id", "th").agg(F.collect_set(F.struct("k", "at", "wid", "window")).alias("hits"))
+    found = said.join(texts, said["doc_id"].eqNullSafe(texts["_id"]) & (said["th"] == texts["_th"]))
+    same = lambda x: F.exists("ws", lambda w: F.array_join(F.slice(w, x["at"] + 1, x["k"]), " ") == x["window"])
+    return found.select("doc_id", "th", F.explode(F.filter("hits", same)).alias("x")).select("doc_id", "th", "x.k", "x.at", "x.wid"), items
 
 
 def hit_words(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """(doc_id, th, hit, items) of the documents with hits: their hit words, ascending, and the items, sorted."""
+    found, items = find(docs, benchmark, n)
+    found = staged(found, "found")
     places = F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["k"] - 1))
+    spans = found.select("doc_id", "th", F.struct("at", "k").alias("span"), F.lit(None).cast("string").alias("item_id"))
+    named = found.select("doc_id", "th", "wid").distinct().join(broadcast_if_small(items, "items"), "wid")
+    named = named.select("doc_id", "th", F.lit(None).cast(spans.schema["span"].dataType).alias("span"), "item_id")
     return (
-        find(docs, benchmark, n)
-        .groupBy("doc_id", "th")
-        .agg(F.collect_set(F.struct("at", "k")).alias("spans"), F.collect_set("items").alias("sets"))
-        .select("doc_id", "th", F.array_sort(F.array_distinct(F.flatten(places))).alias("hit"), F.array_sort(F.array_distinct(F.flatten("sets"))).alias("items"))
+        spans.unionByName(named).groupBy("doc_id", "th").agg(F.collect_set("span").alias("spans"), F.collect_set("item_id").alias("items"))
+        .select("doc_id", "th", F.array_sort(F.array_distinct(F.flatten(places))).alias("hit"), F.array_sort("items").alias("items"))
     )
 
 
@@ -118,7 +138,7 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """docs without the contaminated ones."""
-    gone = hit_words(docs, benchmark, n).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    gone = find(docs, benchmark, n)[0].select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
     gone = broadcast_if_small(gone, "contaminated")
     own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (own == gone["_th"]), "left_anti")
