@@ -6,14 +6,17 @@ all 40 bands of 5 with probability 1.2e-7.
 
 1. Documents of one shingle set are represented by the smallest doc_id.
 2. Representatives that share a band key are compared by counting equal bits.  The estimate is corrected
-   for chance collisions, 2**-BITS, and pairs six standard deviations below the threshold are left out.
-   A bucket reports the connected parts of what remains as stars, never its pairs.
+   for chance collisions, 2**-BITS, and pairs are left out whose equal bits are six standard deviations
+   below those of the threshold without any chance collision.  A bucket reports the connected parts of
+   what remains as stars, never its pairs.
 3. The connected parts of all buckets together are small families of like texts.  Each family's texts
-   are brought together once, and all pairs in it are compared exactly, as a product of sparse sets.
+   are brought together once, and its pairs are compared exactly, as a product of sparse sets.
 4. The components of the confirmed links name the groups.
 
-Buckets and families above BLOCK members are cut into blocks, and every pair of blocks is a task of its
-own, so no task grows with a group and no pair is left out.
+A bucket or family above BLOCK members is cut into blocks, each with a copy of the group's centre, its
+smallest member; all pairs of a block are compared.  Members that this ties to the centre need no more
+comparison with each other.  Those that it does not are compared with all blocks.  So a group of n like
+texts sends n rows and its blocks' centres, no task grows with a group, and no link is lost.
 
 Words are runs of anything but ASCII white space, with A-Z lower-cased; a shingle is ``size`` consecutive
 words, or the whole text where it has fewer.  Texts without words, and nulls, have no shingle and no
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, broadcast_if_small, mix, slices, staged, utf8, windows_of, words_of
+from tessera.llm.common import BROADCAST_ROWS, bounded_batches, broadcast_if_small, mix, slices, staged, utf8, windows_of, words_of
 from tessera.llm.components import connected_components
 
 ROWS, BANDS, BITS = 5, 40, 2
@@ -41,6 +44,7 @@ BLOCK = 1024
 _rng = np.random.Generator(np.random.PCG64(7))
 _mul = _rng.integers(0, 2**32, (HASHES, 1), dtype=np.uint32) | np.uint32(1)
 _add = _rng.integers(0, 2**32, (HASHES, 1), dtype=np.uint32)
+_salt = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)
 _band_mul = _rng.integers(0, 2**63, ROWS, dtype=np.uint64) | np.uint64(1)
 _band_add = _rng.integers(0, 2**63, BANDS, dtype=np.uint64)
 _WORDS = -(-HASHES // 64)  # of 64 bits in a bit plane
@@ -66,7 +70,15 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def packed(least: np.ndarray) -> np.ndarray:
-    """BITS planes of 64-bit words from the low bits of the minima."""
+    """BITS planes of 64-bit words from the low bits of the minima.
+
+    A minimum is mixed with its own salt first: bare, its low bits depend on those of the shingle alone,
+    so that in small sets the same chance collisions, or none, would repeat in all minima.
+    """
+    least = least ^ _salt
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        least = (least ^ least >> np.uint32(shift)) * np.uint32(factor)
+    least ^= least >> np.uint32(16)
     planes = [np.packbits((least >> np.uint32(b) & np.uint32(1)).astype(np.uint8), bitorder="little") for b in range(BITS)]
     return np.concatenate([np.pad(p, (0, _WORDS * 8 - len(p))).view(np.uint64) for p in planes])
 
@@ -85,10 +97,9 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def least_estimate(percent: int) -> float:
-    """Six standard deviations below the threshold."""
-    chance = 2.0**-BITS
-    equal = percent / 100 + (1 - percent / 100) * chance
-    return percent / 100 - 6 * (equal * (1 - equal) / HASHES) ** 0.5 / (1 - chance)
+    """Six standard deviations below the threshold, had no two different minima collided."""
+    p, chance = percent / 100, 2.0**-BITS
+    return (p - 6 * (p * (1 - p) / HASHES) ** 0.5 - chance) / (1 - chance)
 
 
 def _signatures(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -162,24 +173,14 @@ def _stars(ids: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return ids[root[other]], ids[other]
 
 
-def _blocks(rows: DataFrame, key: str, count: str) -> DataFrame:
-    """rows with (key, i, j): the pairs of blocks that each row takes part in; (0, 0) where one block will do."""
-    n = F.ceil(F.col(count) / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), n).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
-    rows = rows.withColumn("_p", F.explode(pairs))
-    return rows.select("*", F.col(key).alias("key"), F.col("_p.i").alias("i"), F.col("_p.j").alias("j")).drop("_p")
+def _all_pairs(matrix_of: Callable[[pa.Table], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links among the rows of each run, as stars; ``matrix_of`` tells which rows are linked."""
 
-
-def _bucket_stars(cut: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: list = []
         for table in _runs(batches):
-            ids = table["node"].to_numpy()
-            signs = np.frombuffer(b"".join(table["sign"].to_pylist()), np.uint64).reshape(len(ids), -1)
-            if len(ids) > 1:
-                linked = np.stack([estimate(signs[k], signs) >= cut for k in range(len(ids))])
-                pairs.append(_stars(ids, linked))
+            if len(table) > 1:
+                pairs.append(_stars(table["node"].to_numpy(), matrix_of(table)))
             if len(pairs) >= 5000:
                 yield from _edges(pairs)
                 pairs = []
@@ -188,6 +189,51 @@ def _bucket_stars(cut: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return run
 
 
+def _linked(rows: DataFrame, matrix_of: Callable[[pa.Table], np.ndarray], large: bool) -> DataFrame:
+    """Edges (u, v) whose components are those of all links within each key.
+
+    rows: key, n (rows of the key), centre (its smallest node), node, load.  ``large``: some key has more than BLOCK.
+    """
+    def compared(placed: DataFrame) -> DataFrame:
+        placed = placed.select("key", "i", "j", "node", "load").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        return placed.mapInArrow(_all_pairs(matrix_of), _EDGES)
+
+    alone = lambda df, i, j: df.withColumns({"i": i.cast("int"), "j": j.cast("int")})
+    small = compared(alone(rows.filter(F.col("n") <= BLOCK), F.lit(0), F.lit(0)))
+    if not large:
+        return small
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    rows = rows.filter(F.col("n") > BLOCK)
+    every = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
+    centres = rows.filter("node = centre").withColumn("i", every(blocks)).filter(F.col("i") != own)
+    within = staged(compared(alone(rows, own, F.lit(0)).unionByName(alone(centres, F.col("i"), F.lit(0)))), "within-blocks")
+
+    part = connected_components(within)
+    of = lambda node: part.select(F.col("node").alias(node), F.col("component").alias(f"{node}_part"))
+    told = rows.select("key", "n", "centre", "node").join(of("node"), "node", "left").join(broadcast_if_small(of("centre"), "centres"), "centre", "left")
+    far = told.filter(F.coalesce("node_part", "node") != F.coalesce("centre_part", "centre")).select("key", "node")
+    far = staged(far, "far")
+    if far.isEmpty():
+        return small.unionByName(within)
+    counts = broadcast_if_small(far.groupBy("key").agg(F.count("*").alias("n_far")), "far-counts")
+    rows = rows.join(counts, "key")
+    far_blocks = F.ceil(F.col("n_far") / BLOCK).cast("int")
+    far_rows = rows.join(broadcast_if_small(far, "far-nodes"), ["key", "node"], "left_semi")
+    far_rows = far_rows.withColumn("i", F.pmod(F.xxhash64("node"), far_blocks)).withColumn("j", every(blocks))
+    others = rows.withColumn("j", own).withColumn("i", every(far_blocks))
+    placed = [alone(df, F.col("i"), F.col("j")).select("key", "i", "j", "node", "load") for df in (far_rows, others)]
+    return small.unionByName(within).unionByName(compared(placed[0].unionByName(placed[1])))
+
+
+def _like(cut: float) -> Callable[[pa.Table], np.ndarray]:
+    def matrix(table: pa.Table) -> np.ndarray:
+        signs = np.frombuffer(b"".join(table["load"].to_pylist()), np.uint64).reshape(len(table), -1)
+        return np.stack([estimate(signs[k], signs) >= cut for k in range(len(signs))])
+
+    return matrix
+
+
 def _common(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections: the product of the 0/1 matrix with its transpose, over shared shingles."""
     n = len(sets)
@@ -214,23 +260,14 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _confirm(size: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: list = []
-        for table in _runs(batches):
-            ids = table["node"].to_numpy()
-            if len(ids) > 1:
-                sets = [s for chunk in table["text"].chunks for s in shingle_sets(chunk, size)]
-                common = _common(sets)
-                sizes = np.array([len(s) for s in sets])
-                linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
-                pairs.append(_stars(ids, linked))
-            if len(pairs) >= 5000:
-                yield from _edges(pairs)
-                pairs = []
-        yield from _edges(pairs)
+def _confirmed(size: int, percent: int) -> Callable[[pa.Table], np.ndarray]:
+    def matrix(table: pa.Table) -> np.ndarray:
+        sets = [s for chunk in table["load"].chunks for s in shingle_sets(chunk, size)]
+        common = _common(sets)
+        sizes = np.array([len(s) for s in sets])
+        return 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
 
-    return run
+    return matrix
 
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -247,19 +284,20 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         .select("digest", "node", "f.*"), "representatives",
     )
 
-    banded = nodes.select(F.explode("bands").alias("band"), "node")
-    shared = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    members = banded.join(shared, "band").join(nodes.select("node", "sign"), "node")
-    members = _blocks(members, "band", "n").select("key", "i", "j", "node", "sign")
-    like = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_bucket_stars(least_estimate(percent)), _EDGES)
-    families = connected_components(like)
-
-    sized = families.join(families.groupBy("component").agg(F.count("*").alias("n")), "component")
-    wanted = nodes.select(F.col("node").alias("doc_id"), "th").join(sized.withColumnRenamed("node", "doc_id"), "doc_id")
-    texts = rows.join(broadcast_if_small(wanted, "families"), ["doc_id", "th"])
-    texts = _blocks(texts.withColumnRenamed("doc_id", "node"), "component", "n").select("key", "i", "j", "node", "text")
-    links = texts.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_confirm(size, percent), _EDGES)
-    found = connected_components(links)
+    banded = nodes.select(F.explode("bands").alias("key"), "node")
+    shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).filter("n > 1")
+    members = banded.join(shared, "key").join(nodes.select("node", F.col("sign").alias("load")), "node")
+    members = staged(members.select("key", "n", "centre", "node", "load"), "buckets")
+    most = lambda df: (df.agg(F.max("n")).first()[0] or 0) > BLOCK
+    families = connected_components(_linked(members, _like(least_estimate(percent)), most(members)))
+
+    sized = families.groupBy("component").agg(F.count("*").alias("n"))
+    wanted = families.join(broadcast_if_small(sized, "family-sizes"), "component").withColumnRenamed("node", "doc_id")
+    wanted = nodes.select(F.col("node").alias("doc_id"), "th").join(wanted, "doc_id").select("doc_id", "th", F.col("component").alias("key"), "n")
+    wanted = staged(wanted, "families")
+    texts = rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, ["doc_id", "th"])
+    texts = texts.select("key", "n", F.col("key").alias("centre"), F.col("doc_id").alias("node"), F.col("text").alias("load")).dropDuplicates(["key", "node"])
+    found = connected_components(_linked(texts, _confirmed(size, percent), most(wanted)))
 
     named = nodes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     out = signed.select("doc_id", "th", "n_shingles", "digest").join(named, "digest", "left")
