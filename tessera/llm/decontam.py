@@ -89,8 +89,8 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> tuple[DataFrame,
     rows = docs.select("doc_id", th, F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("wh"))
     rows = _with_run_hashes(rows, "wh", lengths)
     runs = F.col(f"run_{lengths[0]}") if len(lengths) == 1 else F.explode(F.array(*(f"run_{k}" for k in lengths)) if lengths else F.array(F.array().cast("array<bigint>")))
-    # the words stay behind: with them every exploded row would copy its whole document
-    places = rows.select("doc_id", "th", runs.alias("run")).select("doc_id", "th", F.posexplode("run").alias("at", "h"))
+    # the words stay behind, and the hashes are exploded from a transform: a stored array would be copied with every row
+    places = rows.select("doc_id", "th", runs.alias("run")).select("doc_id", "th", F.posexplode(F.transform("run", lambda h: h)).alias("at", "h"))
     probed = staged(places.join(table, "h").select("doc_id", "th", "k", "at", "wid"), "probed")
     where = broadcast_if_small(probed.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct(), "probed-documents")
     texts = docs.select("doc_id", th, F.col("text").cast("string").alias("text"))
