@@ -305,35 +305,59 @@ def test_directory_doubling():
     assert exact_dedup.directory({}, 10, 3) == (0, [(0, 0)])
 
 
-def test_kneser_ney(spark, texts):
-    got = rows_by_id(kneser_ney.report(table(spark, texts)))
+@pytest.mark.parametrize("order", [2, 3])
+def test_kneser_ney(spark, texts, order):
+    got = rows_by_id(kneser_ney.report(table(spark, texts), order))
     toks = {k: [*re.findall("[^\x20\x09-\x0d]+", (t or "").translate(LOW)), "</s>"] for k, t in enumerate(texts)}
     held = {k: zlib.crc32(str(k).encode()) % 5 == 1 for k in toks}
-    one, two, ctx = collections.Counter(), collections.Counter(), collections.Counter()
-    for k, t in toks.items():
+    padded = {k: ["<s>"] * (order - 1) + t for k, t in toks.items()}
+    runs = lambda t, n: [tuple(t[i - n + 1 : i + 1]) for i in range(order - 1, len(t))]
+    one, top = collections.Counter(), collections.Counter()
+    for k in toks:
         if not held[k]:
-            one.update(t)
-            two.update(zip(["<s>", *t[:-1]], t, strict=True))
-            ctx.update(["<s>", *t[:-1]])
+            one.update(toks[k])
+            top.update(runs(padded[k], order))
+    counts = {order: top}  # of the longest runs; of shorter ones the kinds of longer runs they end
+    distinct = {order: set(top)}
+    for n in range(order - 1, 0, -1):
+        distinct[n] = {r for k in toks if not held[k] for r in runs(padded[k], n)}
+        counts[n] = collections.Counter(r[1:] for r in distinct[n + 1])
+    by, total, weight = {}, {}, {}
+    d = lambda n, c: by[n][min(c, 3) - 1] if c else 0
+    for n, c in counts.items():
+        cc = collections.Counter(c.values())
+        by[n] = kneser_ney.discounts(*(cc[k] for k in (1, 2, 3, 4)))
+        total[n], weight[n] = collections.Counter(), collections.Counter()
+        for r, m in c.items():
+            total[n][r[:-1]] += m
+            weight[n][r[:-1]] += d(n, m)
     n, v = one.total(), len(one)
-    cc = collections.Counter(two.values())
-    up = kneser_ney.discounts(*(cc[k] for k in (1, 2, 3, 4)))
-    ends = collections.Counter(w for _, w in two)
-    ce = collections.Counter(ends.values())
-    lo = kneser_ney.discounts(*(ce[k] for k in (1, 2, 3, 4)))
-    d = lambda c, by: by[min(c, 3) - 1] if c else 0
-    spare = sum(d(c, lo) for c in ends.values()) / len(two)
-    weight = collections.Counter()
-    for (a, _), c in two.items():
-        weight[a] += d(c, up)
-    low = lambda w: (ends[w] - d(ends[w], lo)) / len(two) + spare / (v + 1)
-    p = lambda a, w: (two[a, w] - d(two[a, w], up)) / ctx[a] + weight[a] / ctx[a] * low(w) if ctx[a] else low(w)
-    assert abs(sum(p("x", w) for w in one) + p("x", "never seen") - 1) < 1e-9
+
+    def p(run):
+        k = len(run)
+        lower = p(run[1:]) if k > 1 else 1 / (v + 1)
+        context, c = run[:-1], counts[k][run]
+        return (c - d(k, c) + weight[k][context] * lower) / total[k][context] if total[k][context] else lower
+
+    context = tuple(padded[next(k for k in toks if not held[k] and len(toks[k]) > 20)][9 : 9 + order - 1])
+    assert abs(sum(p((*context, w)) for w in one) + p((*context, "never seen")) - 1) < 1e-9
     for k, t in toks.items():
         assert (got[k]["held_out"], got[k]["n_tokens"], got[k]["n_known"], got[k]["train_tokens"]) == (held[k], len(t), sum(one[w] > 0 for w in t), n)
         assert math.isclose(got[k]["base_score"], sum(math.log10((one[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), rel_tol=1e-9)
-        assert math.isclose(got[k]["score"], sum(math.log10(p(a, w)) for a, w in zip(["<s>", *t[:-1]], t, strict=True)), rel_tol=1e-9)
-    assert kneser_ney.report(table(spark, texts).limit(0)).count() == 0
+        assert math.isclose(got[k]["score"], sum(math.log10(p(r)) for r in runs(padded[k], order)), rel_tol=1e-9)
+    assert kneser_ney.report(table(spark, texts).limit(0), order).count() == 0
+
+
+def test_lost_model_file(spark, texts):
+    """A range's file that is gone is an error, not an empty range."""
+    import os
+
+    model = kneser_ney.train(table(spark, texts))
+    for level in model.levels.values():
+        for f in os.listdir(level.files.folder):
+            os.remove(f"{level.files.folder}/{f}")
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        kneser_ney.score(table(spark, texts), model).collect()
 
 
 def test_decontamination(spark, texts):
