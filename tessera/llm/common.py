@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_shared: str | None = None
@@ -77,6 +77,37 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(name, size)
 
 
+# ---- long arrays in a row ------------------------------------------------------------------------
+
+#: Elements that are scanned together; an array of n takes about n * _CHUNK + (n / _CHUNK) ** 2 steps.
+_CHUNK = 256
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, as inside other lambdas it would be for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def before_each(values: Column, zero: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """array<bigint>: for each of the bigint values what ``add`` makes, from zero, of those before it.
+
+    ``add`` is associative and zero its neutral element.  The values are scanned by chunks, as one fold that
+    appends to an array copies the array for every element.
+    """
+    none = F.array().cast("array<bigint>")
+    fold = lambda xs: F.aggregate(
+        xs, F.struct(zero.cast("bigint").alias("at"), none.alias("out")),
+        lambda a, x: F.struct(add(a["at"], x).cast("bigint").alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
+
+    def scanned(xs: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(xs) / _CHUNK).cast("int") - 1, F.lit(0)))
+        folded = F.transform(numbers, lambda c: fold(F.slice(xs, c * _CHUNK + 1, F.lit(_CHUNK))))
+        return bound(folded, lambda parts: F.flatten(F.zip_with(
+            parts, fold(F.transform(parts, lambda p: p["at"]))["out"], lambda p, start: F.transform(p["out"], lambda x: add(start, x).cast("bigint")))))
+
+    return bound(values, scanned)
+
+
 # ---- Arrow batches -------------------------------------------------------------------------
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1_000_000) -> Iterator[pa.RecordBatch]:

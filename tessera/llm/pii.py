@@ -1,11 +1,12 @@
 """Personal data by weak supervision: labelers vote on candidate spans, EM weighs them, a classifier decides.
 
 Candidates are matches of the base rules (email, ip, card, phone) and of looser patterns (numbers in
-telephone form without a plus, social security numbers, titled names).  Four labelers vote for, against
-or not at all on every candidate:
+telephone form without a plus, social security numbers, names with or without a title).  Four labelers
+vote for, against or not at all on every candidate:
 
     rule        does the value pass the strict rule of its kind, or fail it?
-    gazetteer   is its domain ending, calling code, card issuer or title a listed one?
+    gazetteer   is its domain ending, calling code, number block, card issuer or given name listed, or is
+                it one of what is no such thing?
     context     do words just before it name such data, or something else (a version, an order)?
     boundary    does it stand alone, or run on into letters or digits?
 
@@ -18,7 +19,9 @@ the base rules find are reported in any case; the classifier adds others that do
 Spans count code points, end exclusive.  A null text is empty.  Rows are independent of each other, so
 repeated rows give repeated results; an empty table gives no rows.  Other columns are ignored.
 DataFrame operations only.  Patterns are written so that matching is linear in the text: a run is
-entered at its start and quantified possessively, which changes no match.
+entered at its start and quantified possessively, which changes no match.  Places are running sums over
+the matches and the gaps between them, and overlaps are told by running maxima, so a text of very many
+matches takes time in proportion.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import staged
+from tessera.llm.common import before_each, bound, staged
 
 #: Kinds in the order of reports, and their patterns.
 KINDS = ("email", "ip", "card", "phone", "ssn", "name")
@@ -41,12 +44,27 @@ BASE_PATTERNS = {
 LOOSE_PATTERNS = {
     "phone": r"(?<![0-9+().-])(?:\([0-9]{3}\)|[0-9]{3})[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra|Don)\.?\x20[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?",
+    "name": r"(?<![A-Za-z])(?:(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra|Don)\.?\x20[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?|[A-Z][a-z]{1,30}\x20[A-Z][a-z]{1,30})(?![A-Za-z])",
 }
+TITLED = r"^(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra|Don)\.?\x20"
 #: Gazetteers.
 DOMAIN_ENDINGS = ("com", "net", "org", "edu", "gov", "info", "io", "de", "fr", "es", "it", "uk", "us", "eu", "ch", "at", "nl")
 CALLING_CODES = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 CARD_ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35)"
+NUMBER_BLOCKS = r"^[2-9][0-9]{2}[2-9][0-9]{6}$"
+GIVEN_NAMES = (
+    "Alice", "Andreas", "Anna", "Antonio", "Barbara", "Carlos", "Carmen", "Charles", "Christine", "Claire", "Daniel", "David", "Elena",
+    "Elizabeth", "Emma", "Francois", "Hans", "Helen", "Isabel", "James", "Jane", "Jean", "Jennifer", "Johann", "John", "Jose", "Juan",
+    "Julia", "Karen", "Karl", "Klaus", "Laura", "Linda", "Louis", "Lucia", "Luis", "Maria", "Marie", "Mark", "Martin", "Mary", "Michael",
+    "Miguel", "Nancy", "Nicole", "Patricia", "Paul", "Pedro", "Peter", "Petra", "Philippe", "Pierre", "Richard", "Robert", "Sabine",
+    "Sarah", "Sofia", "Sophie", "Stefan", "Susan", "Thomas", "Ursula", "William", "Wolfgang",
+)
+NO_NAMES = (
+    "Act", "Avenue", "Bank", "Board", "Bridge", "Center", "City", "Club", "College", "Company", "Council", "County", "Court", "Day", "Department",
+    "East", "Group", "House", "Institute", "Island", "January", "July", "June", "Lake", "Law", "March", "Monday", "Mount", "Museum", "National",
+    "New", "North", "Park", "Press", "Republic", "River", "Road", "School", "South", "State", "Street", "Sunday", "The", "United", "University",
+    "Valley", "War", "West", "World", "York",
+)
 #: Words before a span that speak for its kind, or against personal data.
 CUES = {
     "email": r"(?i)(?:mail|correo|courriel|contact|write|schreib)",
@@ -60,21 +78,33 @@ COUNTER_CUES = r"(?i)(?:version|\bv|release|order|isbn|issn|page|chapter|section
 #: Code points before a span that the context labeler sees.
 BEFORE = 30
 
-SPAN = "struct<kind:string,start:bigint,end:bigint,value:string>"
+SPAN = "struct<kind:string,start:bigint,end:bigint,value:string,before:string,after:string>"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 
 
 def _matches(kind: str, text: str, pattern: str, guard: Column) -> Column:
-    """All leftmost non-overlapping matches as spans; gaps between them give their places."""
+    """All leftmost non-overlapping matches as spans, each with what stands before and after it.
+
+    Gaps between matches give their places, and with the matches next to them their surroundings.
+    """
     quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    found, gaps = f"regexp_extract_all({text}, '{quoted}', 0)", f"split({text}, '{quoted}', -1)"
-    return F.when(guard & F.expr(f"{text} rlike '{quoted}'"), F.expr(f"""
-        aggregate(zip_with({found}, {gaps}, (v, g) -> struct(v as value, g as gap)),
-            cast(struct(0L as at, array() as out) as struct<at:bigint,out:array<{SPAN}>>),
-            (a, m) -> if(m.value is null, a, struct(a.at + char_length(m.gap) + char_length(m.value) as at,
-                concat(a.out, array(struct('{kind}' as kind, a.at + char_length(m.gap) as start,
-                    a.at + char_length(m.gap) + char_length(m.value) as end, m.value as value))) as out)),
-            a -> a.out)""")).otherwise(F.array().cast(f"array<{SPAN}>"))
+    found, gaps = F.expr(f"regexp_extract_all({text}, '{quoted}', 0)"), F.expr(f"split({text}, '{quoted}', -1)")
+
+    def spans(p: Column) -> Column:
+        values, between, n = p["values"], p["gaps"], F.size(p["values"])
+        first = lambda c: F.substring(c, 1, 1)
+        length = F.zip_with(values, F.slice(between, F.lit(1), n), lambda v, g: (F.char_length(g) + F.char_length(v)).cast("bigint"))
+        zipped = F.arrays_zip(
+            values.alias("v"), F.slice(between, F.lit(1), n).alias("g"), F.slice(between, F.lit(2), n).alias("h"),
+            F.concat(F.array(F.lit("")), F.slice(values, F.lit(1), n - 1)).alias("last"), F.concat(F.slice(values, F.lit(2), n), F.array(F.lit(""))).alias("next"),
+            before_each(length, F.lit(0), lambda x, y: x + y).alias("at"))
+        return F.transform(zipped, lambda m: F.struct(
+            F.lit(kind).alias("kind"), (m["at"] + F.char_length(m["g"])).alias("start"),
+            (m["at"] + F.char_length(m["g"]) + F.char_length(m["v"])).alias("end"), m["v"].alias("value"),
+            F.substring(F.concat(m["last"], m["g"]), -BEFORE, BEFORE).alias("before"), first(F.concat(first(m["h"]), first(m["next"]))).alias("after")))
+
+    held = F.struct(found.alias("values"), gaps.alias("gaps"))
+    return F.when(guard & F.expr(f"{text} rlike '{quoted}'"), bound(held, spans)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def _digits(value: Column) -> Column:
@@ -115,45 +145,51 @@ def find_candidates(docs: DataFrame) -> DataFrame:
               "phone": digit & F.contains("text", F.lit("+"))}
     rows = rows.select("*", *(_matches(k, "text", p, guards[k]).alias(f"_{k}") for k, p in BASE_PATTERNS.items()))
     # failing matches of the base patterns stay candidates where they look like their kind
-    shown = lambda kind: lambda s: F.struct(
-        s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"),
-        _passes(kind, s).alias("strict"), F.lit(True).alias("tested"))
-    base = [F.transform(f"_{k}", shown(k)) for k in BASE_PATTERNS]
+    shown = lambda strict, tested: lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"),
+        strict(s).alias("strict"), F.lit(tested).alias("tested"), s["before"].alias("before"), s["after"].alias("after"))
+    base = [F.transform(f"_{k}", shown(lambda s, k=k: _passes(k, s), True)) for k in BASE_PATTERNS]
     plausible = lambda s: s["strict"] | (
         (s["kind"] != "card") | F.char_length(_digits(s["value"])).between(12, 19))
     loose_guard = {"phone": digit, "ssn": digit, "name": F.lit(True)}
-    loose = [
-        F.transform(_matches(k, "text", p, loose_guard[k]), lambda s: F.struct(
-            s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"),
-            F.lit(False).alias("strict"), F.lit(False).alias("tested")))
-        for k, p in LOOSE_PATTERNS.items()
-    ]
-    rows = rows.select("doc_id", "text", F.filter(F.concat(*base), plausible).alias("b"), F.concat(*loose).alias("l"))
-    free = F.filter("l", lambda s: ~F.exists("b", lambda t: (t["strict"]) & (t["start"] < s["end"]) & (s["start"] < t["end"])))
-    seen = lambda s: F.struct(
-        s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"),
-        s["strict"].alias("strict"), s["tested"].alias("tested"),
-        F.substring(F.col("text"), F.greatest(F.lit(1), s["start"] - BEFORE + 1).cast("int"), F.least(F.lit(BEFORE), s["start"]).cast("int")).alias("before"),
-        F.substring(F.col("text"), (s["end"] + 1).cast("int"), F.lit(1)).alias("after"))
-    return rows.select("doc_id", F.transform(F.concat(F.col("b"), free), seen).alias("spans"))
+    loose = [F.transform(_matches(k, "text", p, loose_guard[k]), shown(lambda s: F.lit(False), False)) for k, p in LOOSE_PATTERNS.items()]
+    rows = rows.select("doc_id", F.filter(F.concat(*base), plausible).alias("b"), F.concat(*loose).alias("l"))
+    return rows.select("doc_id", F.when(F.size("l") == 0, F.col("b")).otherwise(F.concat("b", _free(F.col("l"), F.filter("b", lambda s: s["strict"])))).alias("spans"))
+
+
+def _free(loose: Column, strict: Column) -> Column:
+    """The loose spans that no strict one overlaps: no earlier one ends after their start, and no later one begins before their end."""
+    never = F.lit(2**62)
+
+    def kept(spans: Column) -> Column:
+        ended = before_each(F.transform(spans, lambda s: F.when(s["strict"], s["end"]).otherwise(F.lit(0))), F.lit(0), F.greatest)
+        begun = before_each(F.transform(F.reverse(spans), lambda s: F.when(s["strict"], s["start"]).otherwise(never)), never, F.least)
+        zipped = F.arrays_zip(spans.alias("s"), ended.alias("ended"), F.reverse(begun).alias("begun"))
+        free = F.filter(zipped, lambda z: ~z["s"]["strict"] & (z["ended"] <= z["s"]["start"]) & (z["begun"] >= z["s"]["end"]))
+        return F.transform(free, lambda z: z["s"])
+
+    return bound(F.array_sort(F.concat(loose, strict)), kept)
 
 
 def _votes(s: Column) -> dict[str, Column]:
     value, kind = s["value"], s["kind"]
     vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
+    titled = value.rlike(TITLED)
+    parts = lambda names: F.arrays_overlap(F.split(value, " "), F.array(*map(F.lit, names)))
     listed = (
         F.when(kind == "email", F.lower(F.substring_index(value, ".", -1)).isin(*DOMAIN_ENDINGS))
         .when(kind == "card", value.rlike(CARD_ISSUERS))
         .when((kind == "phone") & value.startswith("+"), value.rlike(CALLING_CODES))
+        .when(kind == "phone", _digits(value).rlike(NUMBER_BLOCKS))
         .when(kind == "ssn", ~value.rlike("^(?:000|666|9)"))
-        .when(kind == "name", F.lit(True))
+        .when(kind == "name", F.when(parts(NO_NAMES), False).when(parts(GIVEN_NAMES), True).when(~titled, False))
     )
     cue = F.lit(False)
     for k, p in CUES.items():
         cue = F.when(kind == k, s["before"].rlike(p)).otherwise(cue)
     alone = ~(F.substring(s["before"], -1, 1).rlike("[A-Za-z0-9]") | s["after"].rlike("[A-Za-z0-9]"))
     return {
-        "rule": vote(s["tested"] & s["strict"], s["tested"] & ~s["strict"]),
+        "rule": vote((s["tested"] & s["strict"]) | ((kind == "name") & titled), s["tested"] & ~s["strict"]),
         "gazetteer": vote(listed, ~listed),
         "context": vote(cue, s["before"].rlike(COUNTER_CUES)),
         "boundary": vote(alone, ~alone),
@@ -248,17 +284,28 @@ def report(docs: DataFrame) -> DataFrame:
     return detect(docs).select("doc_id", *map(count, BASE_PATTERNS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+#: Code points of a block of a masked text, in which pieces of it are looked up.
+_BLOCK = 4096
+
+
 def mask(docs: DataFrame) -> DataFrame:
     """docs with every span in the text replaced by its kind in brackets; spans that overlap an earlier one are covered with it."""
     rows = docs.withColumn("_row", F.struct("doc_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))))
     found = detect(rows.select(F.col("_row").alias("doc_id"), "text")).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_found"), "spans")
-    out = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text")),
-        lambda a, s: F.when(s["start"] < a["at"], F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["text"].alias("text"))).otherwise(F.struct(
-            s["end"].alias("at"),
-            F.concat(a["text"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("["), s["kind"], F.lit("]")).alias("text"))),
-        lambda a: F.concat(a["text"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.char_length("text"))),
-    )
     rows = rows.join(found, F.col("_row").eqNullSafe(F.col("_found")), "left")
-    return rows.withColumn("text", F.when(F.size("spans") > 0, out).otherwise(F.col("text"))).select(*docs.columns)
+    rows = rows.withColumn("_blocks", F.when(F.size("spans") > 0, F.transform(
+        F.sequence(F.lit(0), F.floor(F.char_length("text") / _BLOCK).cast("int")), lambda i: F.substring(F.col("text"), i * _BLOCK + 1, F.lit(_BLOCK)))))
+
+    def piece(start: Column, end: Column) -> Column:
+        first = F.floor(start / _BLOCK).cast("int")
+        held = F.slice("_blocks", first + 1, F.floor(end / _BLOCK).cast("int") - first + 1)
+        return F.substring(F.array_join(held, ""), (start - first * _BLOCK + 1).cast("int"), (end - start).cast("int"))
+
+    def cut(spans: Column) -> Column:
+        zipped = F.arrays_zip(spans.alias("s"), before_each(F.transform(spans, lambda s: s["end"]), F.lit(0), F.greatest).alias("at"))
+        shown = F.transform(zipped, lambda z: F.when(z["s"]["start"] < z["at"], F.lit("")).otherwise(
+            F.concat(piece(z["at"], z["s"]["start"]), F.lit("["), z["s"]["kind"], F.lit("]"))))
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(shown, ""), piece(last, F.char_length("text").cast("bigint")))
+
+    return rows.withColumn("text", F.when(F.size("spans") > 0, bound(F.col("spans"), cut)).otherwise(F.col("text"))).select(*docs.columns)

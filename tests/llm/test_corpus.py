@@ -69,6 +69,48 @@ def test_pii_base_spans(spark):
     assert pii.report(table(spark, ["a"]).limit(0)).count() == 0
     masked = {r["doc_id"]: r["text"] for r in pii.mask(table(spark, ["to a@b.cd now", None, "plain"])).collect()}
     assert masked == {0: "to [email] now", 1: None, 2: "plain"}
+    long = pii.mask(table(spark, ["wörter ohne zahl " * 500 + "a@b.cd 1.2.3.4" + " ende" * 900])).first()["text"]
+    assert long == "wörter ohne zahl " * 500 + "[email] [ip]" + " ende" * 900
+
+
+def test_pii_added_spans(spark):
+    """Precision and recall of the spans that the classifier adds, on texts whose personal data are known."""
+    r = random.Random(11)
+    given, family = ["John", "Maria", "Klaus", "Sophie"], ["Keller", "Moreau", "Lopez", "Harris"]
+    real = [
+        lambda: ("name", f"Dr. {r.choice(given)} {r.choice(family)}"), lambda: ("name", f"{r.choice(given)} {r.choice(family)}"),
+        lambda: ("phone", f"{r.randint(200, 999)}-{r.randint(200, 999)}-{r.randint(1000, 9999)}"), lambda: ("ssn", f"{r.randint(100, 660)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}"),
+    ]
+    decoy = [
+        lambda: ("", f"{r.choice(['New', 'North', 'United'])} {r.choice(['York', 'River', 'Street'])}"),
+        lambda: ("", f"order {r.randint(100, 199)}-{r.randint(100, 199)}-{r.randint(1000, 9999)}"), lambda: ("", f"isbn 9{r.randint(10, 99)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}"),
+    ]
+    cue = {"name": "signed by ", "phone": "call ", "ssn": "social security ", "": ""}
+    texts, want = [], set()
+    for k in range(600):
+        text = "it was said here "
+        for _ in range(3):
+            kind, value = r.choice(real if r.random() < 0.6 else decoy)()
+            text += cue[kind] if r.random() < 0.7 else "and then "
+            if kind:
+                want.add((k, f"{kind}:{len(text)}:{len(text) + len(value)}"))
+            text += value + " was found, "
+        texts.append(text)
+    got = {(r["doc_id"], x) for r in pii.report(table(spark, texts)).collect() for x in r["spans"].split(",") if x}
+    precision, recall = len(got & want) / len(got), len(got & want) / len(want)
+    assert precision > 0.95 and recall > 0.95, (precision, recall)
+
+
+def test_pii_takes_time_in_proportion(spark):
+    import time
+
+    spent = {}
+    for n in (10_000, 100_000):
+        docs = table(spark, ["1.2.3.4 " * n])
+        began = time.perf_counter()
+        assert pii.report(docs).first()["n_ip"] == n
+        spent[n] = time.perf_counter() - began
+    assert spent[100_000] < 15 * spent[10_000] + 10, spent
 
 
 def test_pii_reliabilities():
