@@ -294,17 +294,30 @@ def test_chat_layouts(spark):
         ('{"instruction":"i","input":"n","output":"o"}', [("user", "i\n\nn"), ("assistant", "o")]),
         ('{"messages":[{"role":"user","content":"x"},{"role":"assistant","content":null}]}', [("user", "x"), ("assistant", "")]),
         ('{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"w"}]}', [("user", "q"), ("assistant", "w")]),
-        ('{"other":1}', []), ("no json", []), (None, []),
+        ('{"messages":[{"role":"user"},{"content":"x"},{"role":"assistant","content":"y"}]}', [("user", ""), ("", "x"), ("assistant", "y")]),
+        ('{"messages":[{"role":"user","content":"x"}],"prompt":"p","output":"o","input":[1]}', [("user", "x")]),
+        ('{"question":"q","answer":"a","prompt":"p","response":"r"}', [("user", "p"), ("assistant", "r")]),
+        ('{"prompt":"[a","response":"[{\\"b\\":1}]"}', [("user", "[a"), ("assistant", '[{"b":1}]')]),
+        ('{"messages":[]}', []), ('{"prompt":"a"}', []), ('{"other":1}', []), ("no json", []), (None, []),
     ]
     df = spark.createDataFrame([(k, j) for k, (j, _) in enumerate(records)], "id long, j string")
     got = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in chat.canonical_json(df, "id", "j").collect()}
     assert got == {k: t for k, (_, t) in enumerate(records)}
     nested = spark.createDataFrame([(1, [("user", "x"), ("assistant", "y")])], "id long, messages array<struct<role string, content string>>")
     assert [tuple(t) for t in chat.canonical(nested, "id").first()["turns"]] == [("user", "x"), ("assistant", "y")]
+    clashing = spark.createDataFrame([(1, 0, "user", "x", "p", "s", "o")], "conv_id long, turn long, role string, text string, prompt string, system string, output string")
+    assert [tuple(t) for t in chat.canonical(clashing).first()["turns"]] == [("user", "x")]
     with pytest.raises(ValueError):
         chat.canonical(spark.range(1), "id")
 
 
+def test_chat_of_many_turns(spark):
+    rows = spark.range(30_000).selectExpr("1 AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('é', id) AS text")
+    got = chat.digest(chat.write_formatted(rows)).first()
+    said = "".join(f"é{k}" for k in range(1, 30_000, 2))
+    assert (got["n_turns"], got["loss_chars"], got["loss_sha256"]) == (30_000, len(said), sha(said))
+
+
 def test_exact_dedup(spark, texts):
     for hash_of in (F.xxhash64, lambda c: F.lit(5).cast("long")):  # all texts collide in the second
         got = rows_by_id(exact_dedup.exact_groups(table(spark, texts), capacity=2000, hash_of=hash_of))
