@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, broadcast_if_small, slices, staged, utf8
+from tessera.llm.common import BROADCAST_ROWS, bounded_batches, broadcast_if_small, slices, staged, utf8
 
 TRAIN_ROWS = 20_000
 BUCKETS = 1 << 14
@@ -38,6 +38,8 @@ TEMPER = 1 / 3
 #: Pseudo-rows of the parent in the priors of a suffix and of a host.
 SMOOTH = 20.0
 
+#: Hosts of more rows than this, at most one for so many rows, have their priors broadcast, so that no join task grows with a host.
+HOT_ROWS = 1_000_000
 #: A rejection needs at least this probability of ``und``.
 REJECT = 0.999
 
@@ -152,12 +154,13 @@ def identify(rows: DataFrame, languages: list[str]) -> DataFrame:
     for d, logs in given.items():
         declared = F.when(F.col("declared") == d, F.array(*map(F.lit, logs))).otherwise(declared)
 
-    by_host = seen.groupBy("suffix", "host").agg(*_sums(n))
+    by_host = staged(seen.groupBy("suffix", "host").agg(F.count("*").alias("n"), *_sums(n)), "hosts")
     by_suffix = by_host.groupBy("suffix").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(n)))
     by_suffix = by_suffix.select("suffix", _smoothed(_vector(n), overall).alias("parent"))
-    prior = by_host.join(by_suffix, "suffix").select("suffix", "host", _smoothed(_vector(n), F.col("parent")).alias("prior"))
+    prior = by_host.join(broadcast_if_small(by_suffix, "suffixes"), "suffix")
+    prior = staged(prior.select("suffix", "host", "n", _smoothed(_vector(n), F.col("parent")).alias("prior")), "priors")
 
-    fused = seen.join(prior, ["suffix", "host"]).select(
+    fused = _with_prior(seen, prior).select(
         "id", "th", "logs",
         F.zip_with(F.zip_with("logs", declared, lambda a, b: a + b), F.transform("prior", lambda p: F.log(p)), lambda a, b: a + b).alias("z"),
     )
@@ -167,16 +170,31 @@ def identify(rows: DataFrame, languages: list[str]) -> DataFrame:
     return out.withColumn("kept", (F.col("lang") != "und") | (F.col("confidence") < REJECT))
 
 
+def _with_prior(seen: DataFrame, prior: DataFrame) -> DataFrame:
+    """seen with the prior of its host.  What is broadcast is counted, or bounded by HOT_ROWS."""
+    keys = ["suffix", "host"]
+    if prior.count() <= BROADCAST_ROWS:
+        return seen.join(F.broadcast(prior.drop("n")), keys)
+    hot = prior.filter(F.col("n") > HOT_ROWS).drop("n")
+    told = seen.join(F.broadcast(hot), keys, "left")
+    rest = told.filter("prior IS NULL").drop("prior").join(prior.filter(F.col("n") <= HOT_ROWS).drop("n"), keys)
+    return told.filter("prior IS NOT NULL").unionByName(rest)
+
+
 def of_documents(docs: DataFrame, languages: list[str]) -> DataFrame:
     """Documents declare ``lang`` and come from ``source``; they have no address."""
     rows = docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"), F.lit("").alias("suffix"), F.col("source").alias("host"))
     return identify(rows, languages).withColumnRenamed("id", "doc_id")
 
 
+#: Scripts, styles, comments and tags; what is never closed goes to the end of the page.
+MARKUP = r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)|</?[a-z!?][^>]*(?:>|\z)"
+
+
 def of_pages(pages: DataFrame, languages: list[str]) -> DataFrame:
     """Pages declare <html lang>; the address gives host and suffix.  Tags, scripts and styles are no text."""
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/:?#]+)", 1))
-    text = F.regexp_replace("html", r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ")
+    text = F.regexp_replace("html", MARKUP, " ")
     rows = pages.select(
         F.col("page_id").alias("id"), text.alias("text"), F.lower(F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([a-zA-Z]+)", 1)).alias("declared"),
         F.substring_index(host, ".", -1).alias("suffix"), host.alias("host"),
