@@ -103,7 +103,7 @@ def _resolved(v):
 add("sp_resolve_parent", _resolved,
     """WITH n AS (SELECT page, floor(x / 120)::BIGINT AS cx, floor(y / 120)::BIGINT AS cy, substr(txt, 1, 4) AS parent, count(*) AS hits FROM v_words GROUP BY 1, 2, 3, 4),
     r AS (SELECT *, row_number() OVER w AS rn, lead(hits) OVER w AS nx FROM n WINDOW w AS (PARTITION BY page, cx, cy ORDER BY hits DESC, parent)) SELECT page, cx, cy, CASE WHEN nx IS NULL OR nx < hits THEN parent END AS parent FROM r WHERE rn = 1""", WD)
-_pages = lambda v: v._spark.range(45).withColumnRenamed("id", "page")
+_pages = lambda v: v.spark.range(45).withColumnRenamed("id", "page")
 _few = lambda v: words(v).join(S.near(words(v), boxes(v).filter("box % 8 = 0"), 10.0).select("word").distinct().withColumn("near", F.lit(True)), "word", "left").withColumn("near", F.coalesce("near", F.lit(False)))
 _metrics = lambda v: S.page_metrics(_pages(v), _few(v).filter("txt LIKE 'U%'").select("page", F.col("near").alias("parented")))
 _mt = f"nr AS (SELECT DISTINCT w.word FROM v_words w JOIN v_boxes b ON w.page = b.page AND {_gap} <= 10 AND b.box % 8 = 0), mt AS (SELECT p.page, count(w.word) AS pins, count(nr.word) AS parented FROM (SELECT unnest(range(45)) AS page) p LEFT JOIN (SELECT * FROM v_words WHERE txt LIKE 'U%') w ON p.page = w.page LEFT JOIN nr ON w.word = nr.word GROUP BY 1), mm AS (SELECT *, pins - parented AS orphans, coalesce((pins - parented) / nullif(pins, 0), 0)::DOUBLE AS ratio FROM mt)"

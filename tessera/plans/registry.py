@@ -13,7 +13,8 @@ from tessera.sources.fixtures import Views, duck
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
-_modules = ("scalars", "tables", "audits", "comparisons", "rates", "generation", "layout")
+_whole: dict[str, Callable[[], str]] = {}
+_modules = ("scalars", "tables", "audits", "comparisons", "rates", "generation", "layout", "reports")
 
 
 def add(name: str, build: Callable[[Views], DataFrame], sql: str | None = None, views: tuple[str, ...] = ()) -> None:
@@ -25,6 +26,24 @@ def add(name: str, build: Callable[[Views], DataFrame], sql: str | None = None,
         _oracles[name] = duck(sql, *views)
 
 
+def add_whole(name: str, build: Callable[[Views], DataFrame], sql: Callable[[], str]) -> None:
+    """Register a query that is made of other queries, with whole SQL, made when it is asked for."""
+    if name in _queries:
+        raise ValueError(f"{name} is registered twice")
+    _queries[name] = lambda spark, sf_dir: build(Views(spark, sf_dir))
+    _whole[name] = sql
+
+
+def query(name: str) -> Query:
+    _load()
+    return _queries[name]
+
+
+def oracle(name: str) -> str:
+    _load()
+    return _oracles[name]
+
+
 def _load() -> None:
     for module in _modules:
         if importlib.util.find_spec(f"tessera.plans.{module}"):
@@ -38,4 +57,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     _load()
-    return dict(_oracles)
+    return _oracles | {name: sql() for name, sql in _whole.items()}

@@ -108,6 +108,8 @@ def duck(body: str, *names: str) -> str:
     """body for DuckDB, with the named views before it."""
     heads = [f"{n} AS ({VIEWS[n][1].format(**{t: t for t in TABLES})})" for n in _ordered(names)]
     inner = body.lstrip()
+    if not heads:
+        return inner
     if inner[:5].upper() == "WITH ":
         return "WITH " + ", ".join(heads) + ", " + inner[5:]
     return "WITH " + ", ".join(heads) + " " + inner
@@ -117,14 +119,14 @@ class Views:
     """The views as DataFrames, by attribute."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self._spark, self._sf_dir = spark, sf_dir
+        self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._sf_dir}/{name}.parquet")
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS:
             raise AttributeError(name)
         heads = [f"{n} AS ({VIEWS[n][0]})" for n in _ordered([name])]
         used = {t: self.table(t) for t in TABLES if any("{" + t + "}" in h for h in heads)}
-        return self._spark.sql("WITH " + ", ".join(heads) + f" SELECT * FROM {name}", **used)
+        return self.spark.sql("WITH " + ", ".join(heads) + f" SELECT * FROM {name}", **used)

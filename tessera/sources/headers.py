@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Header synonyms of the canonical columns.
@@ -21,6 +21,12 @@ SYNONYMS = {
     "ratio": ("failure mode ratio", "ratio", "fmr"),
     "page": ("schematic page", "page", "sheet"),
 }
+# What the headers of an FMEA sheet contain.
+CONTAINED = {
+    "fmea_refdes": ("failure mode causes", "failure mode cause", "fmcs", "refdes", "reference designator", "ref des", "ref_des", "parts", "components", "affected parts"),
+    "fmea_id": ("fmea id", "fmea-id", "fmea_id", "fmeaid"),
+    "circuit_block": ("circuit block", "function block", "component group", "function group", "circuit_block", "function_block", "fmea level", "fmea_level", "row type"),
+}
 DO_NOT_MAP = "__do_not_map__"
 
 
@@ -85,6 +91,19 @@ def containing(columns: Iterable[str], synonyms: Iterable[str]) -> str | None:
     return next((c for c in columns if any(s in c.lower() for s in synonyms)), None)
 
 
+def description_column(columns: Iterable[str], given: str | None, ignore_dnp: bool) -> str | None:
+    """The given column if it exists; else one is looked for only where unplaced parts are left out by their description."""
+    columns = list(columns)
+    if given in columns:
+        return given
+    return detect_column(columns, SYNONYMS["description"]) if ignore_dnp else None
+
+
+def plain_header(name: Column) -> Column:
+    """A header's letters and digits, in small letters."""
+    return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
+
+
 def ensure_columns(df: DataFrame, columns: Iterable[str], source: str) -> None:
     for c in columns:
         if c not in df.columns:

@@ -6,6 +6,8 @@ Workbooks and PDFs need readers this environment lacks; their words, drawings an
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,12 +40,29 @@ def inspect(df: DataFrame) -> dict:
     return {"columns": head.columns, "rows": df.limit(MOST_ROWS).count(), "preview": [r.asDict() for r in head.limit(3).collect()]}
 
 
+def inspect_table(df: DataFrame) -> DataFrame:
+    """(column, position, rows): the first MOST_COLUMNS columns, and the number of rows up to MOST_ROWS."""
+    names = F.array(*(F.struct(F.lit(c).alias("column"), F.lit(k).cast("long").alias("position")) for k, c in enumerate(df.columns[:MOST_COLUMNS])))
+    counted = df.select(F.lit(1).alias("one")).limit(MOST_ROWS).agg(F.count("*").alias("rows"))
+    return counted.select(F.explode(names).alias("c"), "rows").select("c.column", "c.position", "rows")
+
+
 def preview(df: DataFrame, columns: dict[str, list[str]], rows: int = PREVIEW_ROWS) -> DataFrame:
     """display name -> the first candidate column that exists, for the first rows."""
     picked = [(name, next((c for c in cs if c in df.columns), None)) for name, cs in columns.items()]
     return df.select(*(F.col(f"`{c}`").alias(name) for name, c in picked if c)).limit(rows)
 
 
+def report_path(spark: SparkSession) -> str:
+    """A new folder for a report, where executors share one; a local folder for a local master only."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = "file://" + tempfile.gettempdir()
+    return f"{shared.rstrip('/')}/tessera-reports/{uuid.uuid4().hex}"
+
+
 def write_report(tables: dict[str, DataFrame], path: str, form: str = "parquet") -> list[str]:
     """One folder for each table that has rows; private columns are dropped and text made printable."""
     written = []
