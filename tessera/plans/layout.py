@@ -22,17 +22,17 @@ _gap = "sqrt(pow(greatest(b.x0 - w.x, 0, w.x - b.x1), 2) + pow(greatest(b.y0 - w
 _sm = f"sm AS (SELECT word, box FROM (SELECT w.word, b.box, row_number() OVER (PARTITION BY w.word ORDER BY {_area}, x0, y0, box) AS n FROM v_words w JOIN v_boxes b ON w.page = b.page AND {_in}) q WHERE n = 1)"
 inside = lambda v: S.smallest_box(words(v), boxes(v), "word")
 add("sj_point_in_rect", inside, f"WITH {_sm} SELECT word, box FROM sm", WB)
-_labels = "word % 40 = 1"
+_labels = "role = 'label'"
 add("sj_label_to_box", lambda v: S.smallest_box(words(v).filter(_labels), boxes(v), "word").join(words(v).select("word", "txt"), "word").groupBy("box").agg(F.min("txt").alias("label")),
     f"WITH {_sm} SELECT box, min(txt) AS label FROM sm JOIN v_words USING (word) WHERE {_labels} GROUP BY 1", WB)
 _band = "w.x BETWEEN b.x0 AND b.x1 AND w.y BETWEEN b.y0 - 20 AND b.y0 + 30"
 _banded = lambda v: boxes(v).filter("(x1 - x0) * (y1 - y0) > 20000").select("page", "box", "x0", (F.col("y0") - 20).alias("y0"), "x1", (F.col("y0") + 30).alias("y1"))
-add("sj_box_from_drawing", lambda v: S.best(S.near(words(v), _banded(v)), ["box"], [F.col("y"), F.col("word")], ["txt"]),
-    f"SELECT box, txt FROM (SELECT b.box, w.txt, row_number() OVER (PARTITION BY b.box ORDER BY w.y, w.word) AS n FROM v_boxes b JOIN v_words w ON w.page = b.page AND {_band} WHERE {_area} > 20000) q WHERE n = 1", WB)
+add("sj_box_from_drawing", lambda v: S.best(S.near(words(v), _banded(v)), ["box"], [F.col("y"), F.col("word"), F.col("txt")], ["txt"]),
+    f"SELECT box, txt FROM (SELECT b.box, w.txt, row_number() OVER (PARTITION BY b.box ORDER BY w.y, w.word, w.txt) AS n FROM v_boxes b JOIN v_words w ON w.page = b.page AND {_band} WHERE {_area} > 20000) q WHERE n = 1", WB)
 add("sj_prov", lambda v: S.point_pairs(refs(v), words(v).filter(_labels), 15.0).select("word").distinct(),
     f"SELECT DISTINCT a.word FROM v_words a JOIN v_words b ON a.page = b.page AND a.x BETWEEN b.x - 15 AND b.x + 15 AND a.y BETWEEN b.y - 15 AND b.y + 15 AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 15 WHERE a.txt LIKE 'R%' AND b.{_labels}", WD)
-add("sj_pin_body", lambda v: S.nearest_box(pins(v), boxes(v).filter("box % 3 = 1"), "word", 50.0).select("word", "box", F.round("d", 6).alias("d")),
-    f"SELECT word, box, round(d, 6) AS d FROM (SELECT w.word, b.box, {_gap} AS d, row_number() OVER (PARTITION BY w.word ORDER BY {_gap}, b.box) AS n FROM v_words w JOIN v_boxes b ON w.page = b.page AND {_gap} <= 50 WHERE w.txt LIKE 'U%' AND b.box % 3 = 1) q WHERE n = 1", WB)
+add("sj_pin_body", lambda v: S.nearest_box(pins(v), boxes(v), "word", 50.0).select("word", "box", F.round("d", 6).alias("d")),
+    f"SELECT word, box, round(d, 6) AS d FROM (SELECT w.word, b.box, {_gap} AS d, row_number() OVER (PARTITION BY w.word ORDER BY {_gap}, b.box) AS n FROM v_words w JOIN v_boxes b ON w.page = b.page AND {_gap} <= 50 WHERE w.txt LIKE 'U%') q WHERE n = 1", WB)
 _bias = "sqrt(pow(w.x - (b.x0 + b.x1) / 2, 2) + pow(w.y - (b.y0 + b.y1) / 2, 2)) * CASE WHEN w.x <= (b.x0 + b.x1) / 2 AND w.y <= (b.y0 + b.y1) / 2 THEN 0.8 ELSE 1 END"
 _biased = lambda: G.biased_distance(F.col("x"), F.col("y"), *G.centre(G.rect()))
 add("sj_refdes_body", lambda v: S.best(S.near(refs(v), boxes(v), 40.0).withColumn("d", F.round(_biased(), 6)), ["box"], [F.col("d"), F.col("word")], ["word", "d"]),
@@ -58,8 +58,8 @@ def _nearest_in_box(v):
 
 
 add("sj_nearest_in_box", _nearest_in_box, f"WITH {_sm}, pw AS (SELECT w.*, box FROM v_words w JOIN sm USING (word)) SELECT word, ref FROM (SELECT a.word, b.word AS ref, row_number() OVER (PARTITION BY a.word ORDER BY pow(a.x - b.x, 2) + pow(a.y - b.y, 2), b.word) AS n FROM pw a JOIN pw b ON a.box = b.box WHERE a.txt LIKE 'U%' AND b.txt LIKE 'R%') q WHERE n = 1", WB)
-_bbox = lambda v: words(v).filter("word % 9 = 1").groupBy("page").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
-_bb = "SELECT page, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM v_words WHERE word % 9 = 1 GROUP BY 1"
+_bbox = lambda v: pins(v).groupBy("page").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+_bb = "SELECT page, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM v_words WHERE txt LIKE 'U%' GROUP BY 1"
 add("agg_group_bbox", _bbox, _bb, WD)
 add("sj_near_bbox", lambda v: S.near(refs(v), _bbox(v), 25.0).select("word"), f"WITH b AS ({_bb}) SELECT w.word FROM v_words w JOIN b ON w.page = b.page AND {_gap} <= 25 WHERE w.txt LIKE 'R%'", WD)
 
@@ -69,9 +69,9 @@ add("sp_bodies", lambda v: boxes(v).filter("x1 - x0 BETWEEN 20 AND 500 AND y1 -
 add("sp_nms", lambda v: P.suppress_overlaps(boxes(v)))
 add("sp_cluster", lambda v: P.cluster_pins(pins(v)))
 add("sp_ticks", lambda v: S.best(S.near(words(v).filter("shape = 'tick'"), boxes(v), 5.0), ["word"], [F.col("box")], ["box"]),
-    f"SELECT w.word, min(b.box) AS box FROM v_words w JOIN v_boxes b ON w.page = b.page AND {_gap} <= 5 WHERE w.word % 10 = 2 GROUP BY 1", WB)
+    f"SELECT w.word, min(b.box) AS box FROM v_words w JOIN v_boxes b ON w.page = b.page AND {_gap} <= 5 WHERE w.shape = 'tick' GROUP BY 1", WB)
 add("sp_bga", lambda v: S.best(S.near(words(v).filter("shape = 'circle'"), boxes(v), 15.0), ["word"], [F.col("box")], ["box"]),
-    f"SELECT w.word, min(b.box) AS box FROM v_words w JOIN v_boxes b ON w.page = b.page AND {_gap} <= 15 WHERE w.word % 10 = 3 GROUP BY 1", WB)
+    f"SELECT w.word, min(b.box) AS box FROM v_words w JOIN v_boxes b ON w.page = b.page AND {_gap} <= 15 WHERE w.shape = 'circle' GROUP BY 1", WB)
 _class = "CASE WHEN txt LIKE 'R%' THEN 'REFDES' WHEN near THEN 'PIN' WHEN length(txt) > 5 THEN 'NET' ELSE 'JUNK' END"
 _near = lambda v: S.near(words(v), boxes(v), 10.0).select("word").distinct().withColumn("near", F.lit(True))
 _flagged = lambda v: words(v).join(_near(v), "word", "left").withColumn("near", F.coalesce("near", F.lit(False)))
@@ -104,9 +104,10 @@ add("sp_resolve_parent", _resolved,
     """WITH n AS (SELECT page, floor(x / 120)::BIGINT AS cx, floor(y / 120)::BIGINT AS cy, substr(txt, 1, 4) AS parent, count(*) AS hits FROM v_words GROUP BY 1, 2, 3, 4),
     r AS (SELECT *, row_number() OVER w AS rn, lead(hits) OVER w AS nx FROM n WINDOW w AS (PARTITION BY page, cx, cy ORDER BY hits DESC, parent)) SELECT page, cx, cy, CASE WHEN nx IS NULL OR nx < hits THEN parent END AS parent FROM r WHERE rn = 1""", WD)
 _pages = lambda v: v.spark.range(45).withColumnRenamed("id", "page")
-_few = lambda v: words(v).join(S.near(words(v), boxes(v).filter("box % 8 = 0"), 10.0).select("word").distinct().withColumn("near", F.lit(True)), "word", "left").withColumn("near", F.coalesce("near", F.lit(False)))
+_square = "(x1 - x0) / (y1 - y0) BETWEEN 0.8 AND 1.5"
+_few = lambda v: words(v).join(S.near(words(v), boxes(v).filter(_square), 10.0).select("word").distinct().withColumn("near", F.lit(True)), "word", "left").withColumn("near", F.coalesce("near", F.lit(False)))
 _metrics = lambda v: S.page_metrics(_pages(v), _few(v).filter("txt LIKE 'U%'").select("page", F.col("near").alias("parented")))
-_mt = f"nr AS (SELECT DISTINCT w.word FROM v_words w JOIN v_boxes b ON w.page = b.page AND {_gap} <= 10 AND b.box % 8 = 0), mt AS (SELECT p.page, count(w.word) AS pins, count(nr.word) AS parented FROM (SELECT unnest(range(45)) AS page) p LEFT JOIN (SELECT * FROM v_words WHERE txt LIKE 'U%') w ON p.page = w.page LEFT JOIN nr ON w.word = nr.word GROUP BY 1), mm AS (SELECT *, pins - parented AS orphans, coalesce((pins - parented) / nullif(pins, 0), 0)::DOUBLE AS ratio FROM mt)"
+_mt = f"nr AS (SELECT DISTINCT w.word FROM v_words w JOIN v_boxes b ON w.page = b.page AND {_gap} <= 10 AND {_square}), mt AS (SELECT p.page, count(w.word) AS pins, count(nr.word) AS parented FROM (SELECT unnest(range(45)) AS page) p LEFT JOIN (SELECT * FROM v_words WHERE txt LIKE 'U%') w ON p.page = w.page LEFT JOIN nr ON w.word = nr.word GROUP BY 1), mm AS (SELECT *, pins - parented AS orphans, coalesce((pins - parented) / nullif(pins, 0), 0)::DOUBLE AS ratio FROM mt)"
 _r = lambda df, c="ratio": df.withColumn(c, F.round(c, 9))
 add("agg_page_metrics", lambda v: _r(_metrics(v)), f"WITH {_mt} SELECT page, pins, parented, orphans, round(ratio, 9) AS ratio FROM mm", WB)
 add("sp_gate", lambda v: S.gated_pages(_metrics(v), 5, 0.30).select("page"), f"WITH {_mt} SELECT page FROM mm WHERE orphans >= 5 AND ratio >= 0.30 AND pins >= 3", WB)

@@ -83,7 +83,8 @@ VIEWS: dict[str, tuple[str, str]] = {
     "v_words": _both(
         f"""SELECT l_orderkey * 10 + l_linenumber AS word, CAST(l_orderkey % 40 AS BIGINT) AS page, CAST((l_partkey * 37) % 800 AS DOUBLE) AS x, CAST((l_suppkey * 53 + l_linenumber * 11) % 600 AS DOUBLE) AS y,
         CASE l_partkey % 3 WHEN 0 THEN 'R' ELSE 'U' END || {_s('l_partkey + 1')} AS txt,
-        CASE (l_orderkey * 10 + l_linenumber) % 10 WHEN 2 THEN 'tick' WHEN 3 THEN 'circle' ELSE 'text' END AS shape FROM {{lineitem}}"""
+        CASE (l_orderkey * 10 + l_linenumber) % 10 WHEN 2 THEN 'tick' WHEN 3 THEN 'circle' ELSE 'text' END AS shape,
+        CASE (l_orderkey * 10 + l_linenumber) % 40 WHEN 1 THEN 'label' ELSE 'other' END AS role FROM {{lineitem}}"""
     ),
 }
 TABLES = ("part", "orders", "lineitem")
