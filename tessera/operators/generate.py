@@ -58,34 +58,37 @@ def fan_out(rows: DataFrame, modes: DataFrame) -> DataFrame:
     """rows with every failure mode of their types, in order, and one placeholder where there is none.
 
     Types compare in any case.  A row with a first type only takes the modes of that type if no mode has
-    an empty second type.  Adds failure_mode, ratio, suffix (A, B, ...) and no_match (why there is none).
+    an empty second type.  Adds failure_mode, ratio, ratio_total (of the row's modes), suffix (A, B, ...)
+    and no_match (why there is none).
+
+    The modes of a type, a few, are gathered into one list, so rows are joined once and spread in place.
     """
-    modes = modes.select(F.lower("commodity1").alias("m1"), F.lower("commodity2").alias("m2"), "failure_mode", F.col("ratio").alias("fm_ratio"), "fm_row")
+    modes = modes.select(F.lower("commodity1").alias("m1"), F.lower("commodity2").alias("m2"), F.struct("failure_mode", F.col("ratio").cast("double").alias("ratio")).alias("mode"), "fm_row")
+    listed = lambda *order: F.transform(F.array_sort(F.collect_list(F.struct(*order, "mode.failure_mode", "mode"))), lambda m: m["mode"])
+    pairs = modes.groupBy("m1", "m2").agg(listed("fm_row").alias("of_pair"))
+    firsts = modes.groupBy("m1").agg(listed("m2", "fm_row").alias("of_first"))
+    keep = rows.columns
     rows = rows.withColumn("m1", F.lower("type1")).withColumn("m2", F.lower("type2"))
-    pairs = modes.select("m1", "m2").distinct()
-    kinds = pairs.withColumn("pair", F.lit(True))
-    known1 = pairs.select("m1").distinct().withColumn("one", F.lit(True))
-    rows = rows.join(kinds, ["m1", "m2"], "left").join(known1, "m1", "left")
-    both = rows.filter("pair").join(modes, ["m1", "m2"])
-    only = rows.filter("pair IS NULL AND one AND m1 <> '' AND m2 = ''").join(modes.withColumnRenamed("m2", "mode_type2"), "m1").withColumn("fm_row", F.struct(F.col("mode_type2"), "fm_row"))
-    none = rows.filter("pair IS NULL AND NOT (one IS NOT NULL AND m1 <> '' AND m2 = '')")
-    reason = F.when((F.col("m1") == "") & (F.col("m2") == ""), "no types").when(F.col("one").isNull(), "type 1 unknown").otherwise("pair unknown")
-    keep = [c for c in rows.columns if c not in ("m1", "m2", "pair", "one")]
-    nth = lambda order: F.row_number().over(Window.partitionBy("row_no", "pos", "token").orderBy(*order)) - 1
-    shape = lambda df, n: df.select(*keep, "failure_mode", F.col("fm_ratio").alias("ratio"), T.suffix_letters(n).alias("suffix"), F.lit(None).cast("string").alias("no_match"))
-    return (
-        shape(both, nth(["fm_row", "failure_mode"])).unionByName(shape(only, nth(["fm_row", "failure_mode"])))
-        .unionByName(none.select(*keep, F.lit("No failure mode match found").alias("failure_mode"), F.lit(None).cast("double").alias("ratio"), F.lit("A").alias("suffix"), reason.alias("no_match")))
+    rows = rows.join(pairs, ["m1", "m2"], "left").join(firsts, "m1", "left")
+    only = F.col("of_first").isNotNull() & (F.col("m1") != "") & (F.col("m2") == "")
+    reason = F.when((F.col("m1") == "") & (F.col("m2") == ""), "no types").when(F.col("of_first").isNull(), "type 1 unknown").otherwise("pair unknown")
+    none = F.array(F.struct(F.lit("No failure mode match found").alias("failure_mode"), F.lit(None).cast("double").alias("ratio")))
+    rows = rows.select(
+        *keep, F.coalesce("of_pair", F.when(only, F.col("of_first")), none).alias("picked"),
+        F.when(F.col("of_pair").isNull() & ~only, reason).alias("no_match"),
     )
+    total = F.aggregate(F.transform("picked", lambda m: F.coalesce(m["ratio"], F.lit(0.0))), F.lit(0.0), lambda x, y: x + y)
+    rows = rows.select(*keep, "no_match", total.alias("ratio_total"), F.posexplode("picked").alias("n", "m"))
+    return rows.select(*keep, "m.failure_mode", "m.ratio", "ratio_total", T.suffix_letters(F.col("n")).alias("suffix"), "no_match")
 
 
 def components(source: DataFrame, bom: DataFrame, parts: DataFrame, modes: DataFrame) -> DataFrame:
     """The piece-part rows of a source; designators without a BOM row are left out (see ``with_bom``)."""
     rows = with_bom(source, bom).filter("found IS NOT NULL")
     rows = fan_out(with_usage(with_types(rows, parts)), modes)
-    issue = F.abs(F.sum("ratio").over(Window.partitionBy("row_no", "pos", "token")) - 1) > N.RATIO_TOLERANCE
+    issue = F.abs(F.col("ratio_total") - 1) > N.RATIO_TOLERANCE
     kind = F.when(F.col("no_match").isNotNull(), "no_match").when(issue, "validation_warning").otherwise("piece_part")
-    return rows.withColumn("fmea_id", T.fmea_id(F.col("label"), F.col("token"), F.col("suffix"))).withColumn("kind", kind)
+    return rows.withColumn("fmea_id", T.fmea_id(F.col("label"), F.col("token"), F.col("suffix"))).withColumn("kind", kind).drop("ratio_total")
 
 
 def piece_parts(source: DataFrame, bom: DataFrame, parts: DataFrame, modes: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from tessera.operators import classify as K
 from tessera.operators import link as R
 from tessera.plans import duck_expr as D
 from tessera.plans.registry import add
+from tessera.sources.readers import once
 
 VIEWS = ("v_fmea", "v_pred")
 rates = lambda v: R.rates(v.v_pred)
@@ -44,8 +45,10 @@ add("join_children_by_list", lambda v: R.children_by_list(_listed(v)),
 
 
 def _rolled(v):
-    rows = linked(v)
-    out = R.roll_up(rows, R.children_by_id(rows), rates(v))
+    """The linked rows serve the children and the roll-up, the rates the link and the lists."""
+    rate = once(rates(v))
+    rows = once(R.link(K.row_types(v.v_fmea, ["func"], "level", "cause", ["ratio"]), rate))
+    out = R.roll_up(rows, R.children_by_id(rows), rate)
     return out.select("row_no", "rolled", F.round("mode_fr", 4).alias("mode_fr"), F.round("function_fr", 4).alias("function_fr"))
 
 

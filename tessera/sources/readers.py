@@ -63,6 +63,13 @@ def report_path(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/tessera-reports/{uuid.uuid4().hex}"
 
 
+def once(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read back: for what a query uses several times, computed once."""
+    spark, schema, path = df.sparkSession, df.schema, report_path(df.sparkSession)
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def write_report(tables: dict[str, DataFrame], path: str, form: str = "parquet") -> list[str]:
     """One folder for each table that has rows; private columns are dropped and text made printable."""
     written = []
