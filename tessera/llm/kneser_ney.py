@@ -6,7 +6,8 @@ compressed blobs by key range, and the owner of a range merges them into a file
 and counts.  Each further pass makes the next shorter level.  It reads the text again and looks the
 longer runs up: a run seen c times counts 1/c at each of its places, so sums over places give, for every
 shorter run, how many kinds of longer runs it ends (its continuation count), and how many of each count
-it begins.  These become files too.  Workers map the files into memory and look whole batches up in
+it begins (in single precision, added up in double, so exact up to some 2**23 kinds and good to one
+part in 2**24 beyond).  These become files too.  Workers map the files into memory and look whole batches up in
 order, so that the operating system keeps what is needed and no worker loads the model; a worker keeps
 MOST_OPEN maps at a time.  The model's size grows with the corpus; of it nothing passes through the
 driver but sums and one bit for each range, by which a lost file is an error and not an empty range.
@@ -297,9 +298,9 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
                 ends = run_keys(stream, places[first], k)
                 runs, at = np.unique(np.concatenate([ends, run_keys(stream, places[first] - 1, k)]), return_inverse=True)
                 ends, begins = at[: len(longer)], at[len(longer) :]
-                add = lambda to, w: np.bincount(to, w, len(runs))
+                add = lambda to, w: np.bincount(to, w, len(runs)).astype(np.float32)
                 yield _sent([
-                    runs, add(ends, here).astype(np.uint32), add(ends, share), add(begins, share * (count == 1)),
+                    runs, np.bincount(ends, here, len(runs)).astype(np.uint32), add(ends, share), add(begins, share * (count == 1)),
                     add(begins, share * (count == 2)), add(begins, share * (count > 2)), add(begins, share * count),
                 ], bits)
 
@@ -307,7 +308,7 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
 
     for k in range(order - 1, 0, -1):
         sent = texts.mapInArrow(sender(k, levels[k + 1].files), "bucket int, blob binary").groupBy("bucket")
-        kinds = (np.uint64, np.uint32, *[np.float64] * 5)
+        kinds = (np.uint64, np.uint32, *[np.float32] * 5)
         levels[k] = _level(sent.applyInArrow(owner(k, kinds, LOWER), schema), f"{folder}/{k}", bits, LOWER)
     return Model(folder, order, levels)
 
