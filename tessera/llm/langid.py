@@ -16,7 +16,8 @@ Trigrams of letters and spaces count, not those with digits or marks.  A row is
 the most likely and at least REJECT probable; short or mixed texts stay.  A text without trigrams, or null, has no text evidence
 and follows the others.  Null or unknown declarations count as "other"; a null host is a host of its
 own.  Repeated rows count repeatedly and get equal results.  An empty table gives no rows.  With no
-labelled row all languages are alike.  Other columns are ignored.
+labelled row all languages are alike; a language without one, beside others that have some, is never
+more likely by its text than ``und``.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -90,6 +91,9 @@ def fit(rows: DataFrame, languages: list[str]) -> np.ndarray:
         counts[r["lang"], r["bucket"]] = r["n"]
     smoothed = counts + 0.1
     logs = np.log(smoothed / smoothed.sum(1, keepdims=True))
+    trained = counts.any(1)
+    if trained.any():  # what no text has shown is less likely than no language
+        logs[~trained] = -math.log(BUCKETS) - 1
     return np.vstack([logs, np.full((1, BUCKETS), -math.log(BUCKETS))]).astype(np.float32)
 
 
