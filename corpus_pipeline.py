@@ -5,6 +5,11 @@ exact_dedup      of equal texts keeps the row with the largest doc_id
 near_dedup       of documents linked by 5-word shingles at a similarity of 0.8 keeps the smallest doc_id
 decontamination  drops documents that hold a 10-word window of a benchmark item
 byte_bpe         encodes what is left, and decodes it again
+
+A null or empty text has no words and no likelihood: language_id keeps it, exact_dedup takes nulls and
+empty texts for equal, the others leave it alone, and it has no tokens.  Of rows that repeat both doc_id
+and text exact_dedup leaves one.  A null doc_id is smaller than any other.  Texts are taken whole, however
+long.  Other columns are carried, whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
