@@ -138,7 +138,7 @@ def _parts(linked: np.ndarray) -> np.ndarray:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each key (columns key, i, j), from batches sorted by it.  A key has at most 2 * BLOCK rows."""
+    """The rows of each key (columns key, i, j), from batches sorted by it and by node.  A key has at most 2 * BLOCK rows."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
@@ -174,7 +174,7 @@ def _stars(ids: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _all_pairs(matrix_of: Callable[[pa.Table], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Links among the rows of each run, as stars; ``matrix_of`` tells which rows are linked."""
+    """Links among the rows of each run, as stars around the smallest nodes; ``matrix_of`` tells which rows are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: list = []
@@ -195,7 +195,7 @@ def _linked(rows: DataFrame, matrix_of: Callable[[pa.Table], np.ndarray], large:
     rows: key, n (rows of the key), centre (its smallest node), node, load.  ``large``: some key has more than BLOCK.
     """
     def compared(placed: DataFrame) -> DataFrame:
-        placed = placed.select("key", "i", "j", "node", "load").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        placed = placed.select("key", "i", "j", "node", "load").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
         return placed.mapInArrow(_all_pairs(matrix_of), _EDGES)
 
     alone = lambda df, i, j: df.withColumns({"i": i.cast("int"), "j": j.cast("int")})

@@ -216,6 +216,17 @@ def test_components(spark):
     assert got == {k: c for k, c in root.items() if any(k in e and e[0] != e[1] for e in edges)}
 
 
+def test_stars_take_no_round(spark, monkeypatch):
+    names, staged = [], components.staged
+    monkeypatch.setattr(components, "staged", lambda df, name: names.append(name) or staged(df, name))
+    stars = [(k, k % 7) for k in range(7, 90)]
+    got = components.connected_components(spark.createDataFrame(stars + stars[:5], "u long, v long"))
+    assert {r["node"]: r["component"] for r in got.collect()} == {k: k % 7 for k in range(90)} and names == ["edges", "least"]
+    path = random.Random(4).sample(range(300), 300)
+    far = components.connected_components(spark.createDataFrame(list(zip(path, path[1:], strict=False)), "u long, v long"))
+    assert {(r["node"], r["component"]) for r in far.collect()} == {(k, 0) for k in range(300)}
+
+
 def test_langid(spark):
     r = random.Random(7)
     vocab = {"en": "the and thing of with that ation ering".split(), "de": "der und schau nicht über ein keit zu".split()}
