@@ -48,11 +48,19 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage and survives lost executors."""
+#: Rows of a few numbers that one task writes with ease.
+TASK_ROWS = 20_000
+
+
+def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df once to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    ``rows``: a bound on its rows, all of a few numbers, for as many tasks and files as they need; hundreds of
+    files of a few rows take longer to open than the work of a round.
+    """
     spark, schema = df.sparkSession, df.schema
     path = staging_path(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // TASK_ROWS)))).write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -60,9 +68,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 BROADCAST_ROWS = 400_000
 
 
-def broadcast_if_small(df: DataFrame, name: str) -> DataFrame:
+def broadcast_if_small(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """df, staged, for the smaller side of a join: marked for broadcast only if its counted rows are few."""
-    df = staged(df, name)
+    df = staged(df, name, rows)
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 

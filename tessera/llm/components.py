@@ -20,17 +20,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = staged(edges, "edges")
     while True:
+        n = edges.count()
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") < F.col("u")).alias("below"), F.bool_or(F.col("v") > F.col("u")).alias("above"))
-        least = staged(least.select("u", F.least("u", "m").alias("m"), "below", "above"), "least")
+        least = staged(least.select("u", F.least("u", "m").alias("m"), "below", "above"), "least", 2 * n)
         # stars: each node has either larger neighbours only, or one smaller neighbour only
         if least.filter("below > 1 OR (below = 1 AND above)").isEmpty():
             return least.select(F.col("u").alias("node"), F.col("m").alias("component"))
         least = least.select("u", "m")
         # large star: every larger neighbour is tied to the smallest neighbour
         large = both.join(F.broadcast(least) if least.count() <= BROADCAST_ROWS else least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = staged(large.distinct(), "edges")
+        large = staged(large.distinct(), "edges", n)
         # small star: a node and its smaller neighbours are tied to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(broadcast_if_small(least, "least"), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = staged(small.select("e.u", "e.v").filter("u <> v").distinct(), "edges")
+        small = large.join(broadcast_if_small(least, "least", n), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        edges = staged(small.select("e.u", "e.v").filter("u <> v").distinct(), "edges", 2 * n)
