@@ -80,7 +80,8 @@ def by_standard(rows, selector, standard):
 
 
 add("flt_standard", lambda v: by_standard(v.v_fm.selectExpr("*", f"{_standards} AS standard"), "standard", "FMD-2016").select("commodity1", "commodity2", "failure_mode", "standard"),
-    f"SELECT * FROM (SELECT commodity1, commodity2, failure_mode, {_standards} AS standard FROM v_fm) q WHERE standard <> 'FMD-91'", ("v_fm",))
+    rf"""WITH p AS (SELECT *, regexp_replace(upper(standard), '[-\s]', '', 'g') = 'FMD2016' AS m FROM (SELECT commodity1, commodity2, failure_mode, {_standards} AS standard FROM v_fm) q)
+SELECT commodity1, commodity2, failure_mode, standard FROM p WHERE m OR NOT (SELECT coalesce(bool_or(m), false) FROM p)""", ("v_fm",))
 
 
 def blacklisted(c, exact=("GND", "VCC"), user=(), white=()):
@@ -90,7 +91,8 @@ def blacklisted(c, exact=("GND", "VCC"), user=(), white=()):
 
 
 _net = "CASE k % 5 WHEN 0 THEN 'GND' WHEN 1 THEN '3.3V' WHEN 2 THEN 'vcc' WHEN 3 THEN ref ELSE '5V0' END"
-add("flt_blacklist", lambda v: v.v_part.selectExpr("k", f"{_net} AS t").filter(~blacklisted(F.col("t"), white=("VCC",))), f"SELECT k, {_net} AS t FROM v_part WHERE k % 5 IN (2, 3, 4)", ("v_part",))
+add("flt_blacklist", lambda v: v.v_part.selectExpr("k", f"{_net} AS t").filter(~blacklisted(F.col("t"), white=("VCC",))),
+    rf"SELECT k, t FROM (SELECT k, t, upper(trim(coalesce(t, ''))) AS u FROM (SELECT k, {_net} AS t FROM v_part) p) q WHERE u IN ('VCC', '') OR NOT (u = 'GND' OR regexp_matches(u, '^\d+\.?\d*V$'))", ("v_part",))
 _note = "CASE k % 4 WHEN 0 THEN 'Block roll-up of 3; ' WHEN 1 THEN 'Block roll-up of 3; Invalid Ratio' WHEN 2 THEN '' ELSE 'Circuit-block roll-up of 2; Block roll-up of 1' END"
 
 
@@ -100,7 +102,9 @@ def informational(note):
     return (F.size(parts) > 0) & F.forall(parts, lambda s: s.rlike("^(?:Circuit-block|Block) roll-up of"))
 
 
-add("flt_informational", lambda v: v.v_part.selectExpr("k", f"{_note} AS n").select("k", informational(F.col("n")).alias("value")), "SELECT k, k % 4 IN (0, 3) AS value FROM v_part", ("v_part",))
+add("flt_informational", lambda v: v.v_part.selectExpr("k", f"{_note} AS n").select("k", informational(F.col("n")).alias("value")),
+    f"""SELECT k, len(parts) > 0 AND len([s FOR s IN parts IF NOT regexp_matches(s, '^(?:Circuit-block|Block) roll-up of')]) = 0 AS value
+FROM (SELECT k, [trim(s) FOR s IN string_split({_note}, ';') IF trim(s) <> ''] AS parts FROM v_part) q""", ("v_part",))
 
 # duplicates, ratios, usages
 _double = "SELECT row_no, label, refs FROM v_grouping UNION ALL SELECT row_no + 100000, label, refs FROM v_grouping WHERE row_no % 5 = 0"

@@ -41,7 +41,10 @@ def _listed(v):
 
 
 add("join_children_by_list", lambda v: R.children_by_list(_listed(v)),
-    "WITH l AS (SELECT ref, min(g * 100 + 2) AS block_row FROM v_group_item WHERE k % 2 = 0 GROUP BY 1) SELECT row_no, block_row FROM v_fmea JOIN l ON cause = ref WHERE level <> 'Circuit Block'", ("v_fmea", "v_group_item"))
+    """WITH r AS (SELECT g, string_agg(ref, ', ' ORDER BY ref) AS refs FROM v_group_item WHERE k % 2 = 0 GROUP BY g),
+f AS (SELECT row_no, level, CASE WHEN level = 'Circuit Block' THEN coalesce(refs, '') ELSE cause END AS cause FROM v_fmea LEFT JOIN r ON row_no // 100 = g),
+l AS (SELECT trim(t) AS ref, min(row_no) AS block_row FROM (SELECT row_no, unnest(string_split(cause, ',')) AS t FROM f WHERE level = 'Circuit Block') q WHERE trim(t) <> '' GROUP BY 1)
+SELECT f.row_no, block_row FROM f JOIN l ON cause = ref WHERE level <> 'Circuit Block'""", ("v_fmea", "v_group_item"))
 
 
 def _rolled(v):
