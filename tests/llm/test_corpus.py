@@ -218,7 +218,7 @@ def test_components(spark):
 
 def test_stars_take_no_round(spark, monkeypatch):
     names, staged = [], components.staged
-    monkeypatch.setattr(components, "staged", lambda df, name: names.append(name) or staged(df, name))
+    monkeypatch.setattr(components, "staged", lambda df, name, rows=None: names.append(name) or staged(df, name, rows))
     stars = [(k, k % 7) for k in range(7, 90)]
     got = components.connected_components(spark.createDataFrame(stars + stars[:5], "u long, v long"))
     assert {r["node"]: r["component"] for r in got.collect()} == {k: k % 7 for k in range(90)} and names == ["edges", "least"]
