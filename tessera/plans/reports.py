@@ -64,7 +64,7 @@ add("prj_desc_col",
 # ---- inspection and caps ----
 _wide = lambda v: v.v_words.select("word", *(F.lit(k).alias(f"c{k}") for k in range(1, 120)))
 _capped = f"least(count(*), {R.MOST_ROWS})"
-add("src_inspect", lambda v: R.inspect_table(v.v_words), f"""SELECT unnest(['word', 'page', 'x', 'y', 'txt', 'shape']) AS "column", unnest(range(0, 6)) AS "position", n AS "rows" FROM (SELECT {_capped} AS n FROM v_words) q""", ("v_words",))
+add("src_inspect", lambda v: R.inspect_table(v.v_words), f"""SELECT unnest(['word', 'page', 'x', 'y', 'txt', 'shape', 'role']) AS "column", unnest(range(0, 7)) AS "position", n AS "rows" FROM (SELECT {_capped} AS n FROM v_words) q""", ("v_words",))
 add("lim_caps", lambda v: R.inspect_table(_wide(v)).groupBy("rows").agg(F.count("*").alias("columns"), F.max("column").alias("last_name")),
     f"""SELECT {_capped} AS "rows", {R.MOST_COLUMNS} AS "columns", 'word' AS last_name FROM v_words""", ("v_words",))
 
