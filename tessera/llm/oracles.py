@@ -59,10 +59,46 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, c
        sha256(coalesce(items, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
 FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
+FILTER_AUDIT = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (SELECT doc_id, part,
+        CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(t) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+        || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails FROM d),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), FALSE) AS good, coalesce(bool_or(toxic = 1), FALSE) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM f LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+a AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT p.c || q.c || r.c || s.c || t.c AS filter_order FROM a p, a q, a r, a s, a t
+      WHERE len(list_distinct([p.c, q.c, r.c, s.c, t.c])) = 5),
+s AS (SELECT filter_order, step, filter_order[step] AS own, '[' || filter_order[1:step - 1] || '.]' AS before FROM o, (SELECT unnest(range(1, 6))::INT AS step) q),
+r AS (SELECT part, filter_order, step, own,
+        coalesce(sum(n) FILTER (NOT contains(fails, own) AND NOT regexp_matches(fails, before)), 0)::BIGINT AS kept,
+        coalesce(sum(n) FILTER (contains(fails, own) AND NOT regexp_matches(fails, before)), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (contains(fails, own) AND regexp_matches(fails, before)), 0)::BIGINT AS redundant,
+        coalesce(sum(n) FILTER (fails = own), 0)::BIGINT AS unique_fails,
+        coalesce(sum(g) FILTER (contains(fails, own) AND NOT regexp_matches(fails, before)), 0)::BIGINT AS good_lost,
+        coalesce(sum(x) FILTER (contains(fails, own) AND NOT regexp_matches(fails, before)), 0)::BIGINT AS toxic_lost
+      FROM m, s GROUP BY ALL)
+SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r"""
+
+FILL_IN_MIDDLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+k AS (SELECT *, len(u)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+        least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM k),
+p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:n], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p"""
+
 SQL = {
     "op4_near_dedup": NEAR,
     "op6_substrings": SUBSTRINGS,
     "op7_chat": CHAT,
     "op8_exact_dedup": EXACT,
     "op10_decontamination": DECONTAMINATION,
+    "op12_filter_audit": FILTER_AUDIT,
+    "op13_fill_in_middle": FILL_IN_MIDDLE,
 }

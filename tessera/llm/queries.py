@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, decontam, exact_dedup, kneser_ney, langid, near_dedup, oracles, pii, substring_dedup, token_files, trie_bpe
+from tessera.llm import bpe, chat, decontam, exact_dedup, filter_audit, fim, kneser_ney, langid, near_dedup, oracles, pii, substring_dedup, token_files, trie_bpe
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,8 +73,16 @@ def op11_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.digests(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.report(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_token_files, op3_byte_bpe, op4_near_dedup, op5_langid, op6_substrings, op7_chat, op8_exact_dedup, op9_kneser_ney, op10_decontamination, op11_trie_bpe)}
+    return {f.__name__: f for f in (op1_pii, op2_token_files, op3_byte_bpe, op4_near_dedup, op5_langid, op6_substrings, op7_chat, op8_exact_dedup, op9_kneser_ney, op10_decontamination, op11_trie_bpe, op12_filter_audit, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
