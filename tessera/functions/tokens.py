@@ -23,6 +23,10 @@ NO_PIN_PREFIXES = (
 )
 # The most tokens a range may expand to, and the pattern of parts that are not fitted.
 MAX_RANGE = 5000
+# Prefixes of parts that pins may belong to, labels of two-terminal parts, and texts that are values.
+PARENT_PREFIXES = ("U", "IC", "J", "P", "CN", "CONN", "X", "XPSJ", "AR")
+TERMINALS = ("1", "2")
+VALUE_TEXT = r"(?i)^(?:\d+(?:\.\d+)?[munpkMG]?[FfHhVvAaWwRrΩ]+|\d+(?:\.\d+)?(?:uF|nF|pF|mF|uH|nH|mH|ohm|OHM|Ohm|[kK]|[mM]eg))$"
 DNP_PATTERN = r"(?:\bDNP\b|\bNF\b|NOT\s*FITTED|NO[-\s]?LOAD|DO\s*NOT\s*POPULATE)"
 
 _CONTROL = r"[\x00-\x1f\x7f-\x9f]"
@@ -61,6 +65,12 @@ def valid_designator(c: Column) -> Column:
     return F.coalesce(F.upper(clean(c)).rlike(r"^[A-Z]{1,6}\d{1,5}[A-Z]?$"), F.lit(False))
 
 
+def pin_candidate(c: Column, most: int = 4) -> Column:
+    """A short alphanumeric label, or two bonded ones, that is no value with a unit."""
+    valued = c.rlike(r"(?i)^\d+(?:\.\d+)?(?:[VAKMRUNPF]|OHM|HZ|MHZ|UF|NF|PF|UH|MH)$")
+    return (F.char_length(c) <= most) & c.rlike("^[A-Za-z0-9]+(?:/[A-Za-z0-9]+)?$") & ~valued
+
+
 def pin_notation(t: Column) -> Column:
     """Connector and pin, as J1-4."""
     return F.regexp_extract(F.upper(t), r"^([A-Z]+)\d+-.+$", 1).isin(*PIN_PREFIXES)

@@ -3,23 +3,19 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import geometry as G
 from tessera.operators import spatial as S
+from tessera.operators.components import connected
+from tessera.sources.readers import once
 
 #: The grid and reach of pin clusters, and the parts of a grid cell along each side.
 PIN_CELL, PIN_REACH, PIN_PARTS = 120.0, 150.0, 3
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df, computed once and without its lineage; in the checkpoint folder where there is one."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def suppress_overlaps(boxes: DataFrame, most_iou: float = 0.8, most: int | None = None) -> DataFrame:
     """(page, box) kept of boxes (page, box, x0, y0, x1, y1): largest first, none that overlaps a kept one more.
 
@@ -36,84 +32,61 @@ def suppress_overlaps(boxes: DataFrame, most_iou: float = 0.8, most: int | None
     small = small.select("page", "box", "a", *(F.col(c).alias(f"s_{c}") for c in ("x0", "y0", "x1", "y1")), (F.col("x0") - F.col("dx")).alias("x0"), (F.col("y0") - F.col("dy")).alias("y0"), (F.col("x0") + F.col("dx")).alias("x1"), (F.col("y0") + F.col("dy")).alias("y1"))
     both = G.intersection(G.rect("s_"), G.rect("b_"))
     pairs = S.near(large, small, cell=S.CELL / 2).filter((F.col("b_a") > F.col("a")) | ((F.col("b_a") == F.col("a")) & (F.col("b_box") < F.col("box"))))
-    pairs = _kept(pairs.filter(both > most_iou * (F.col("a") + F.col("b_a") - both)).select("page", "box", "b_box"))
+    pairs = once(pairs.filter(both > most_iou * (F.col("a") + F.col("b_a") - both)).select("page", "box", "b_box"))
     kept = boxes.select("page", "box", "a")
     while not pairs.isEmpty():
         waiting = pairs.select("page", "box").distinct()
         top = pairs.select("page", F.col("b_box").alias("box")).distinct().join(waiting, ["page", "box"], "left_anti")
-        out = _kept(pairs.join(top.withColumnRenamed("box", "b_box"), ["page", "b_box"], "left_semi").select("page", "box").distinct())
-        kept = _kept(kept.join(out, ["page", "box"], "left_anti"))
+        out = once(pairs.join(top.withColumnRenamed("box", "b_box"), ["page", "b_box"], "left_semi").select("page", "box").distinct())
+        kept = once(kept.join(out, ["page", "box"], "left_anti"))
         pairs = pairs.join(out, ["page", "box"], "left_anti").join(out.withColumnRenamed("box", "b_box"), ["page", "b_box"], "left_anti")
-        pairs = _kept(pairs.select("page", "box", "b_box"))
+        pairs = once(pairs.select("page", "box", "b_box"))
     if most is not None:
         kept = kept.withColumn("n", F.row_number().over(Window.partitionBy("page").orderBy(F.desc("a"), "box"))).filter(F.col("n") <= most)
     return kept.select("page", "box")
 
 
-def _parts(cells: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """(page, sx, sy, root) of the cells (page, sx, sy, least) of a page: the least of those connected, by nearness alone or by links too.
+def _steps(far: bool) -> list[tuple[int, int]]:
+    """Offsets, one of each pair, between parts whose farthest (or nearest) points are in reach."""
+    side, reach = PIN_CELL / PIN_PARTS, 2 * PIN_PARTS
+    gap = (lambda i, j: np.hypot(i + 1, abs(j) + 1)) if far else (lambda i, j: np.hypot(max(i - 1, 0), max(abs(j) - 1, 0)))
+    return [(i, j) for i in range(reach) for j in range(1 - reach, reach) if (i > 0 or j > 0) and gap(i, j) * side <= PIN_REACH]
 
-    A page has as many rows as its area has cells, whatever the number of its pins.
-    """
-    rows = cells.select("page", "sx", "sy", "least", F.lit(None).cast("long").alias("tx"), F.lit(None).cast("long").alias("ty"))
-    if links is not None:
-        rows = rows.unionByName(links.select("page", "sx", "sy", F.lit(None).cast("long").alias("least"), "tx", "ty"))
-    side = PIN_CELL / PIN_PARTS
-    around = [(i, j) for i in range(2 * PIN_PARTS) for j in range(1 - 2 * PIN_PARTS, 2 * PIN_PARTS) if np.hypot(i + 1, abs(j) + 1) * side <= PIN_REACH]
-
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, extra = pdf[pdf["tx"].isna()], pdf[pdf["tx"].notna()]
-        root = {k: k for k in zip(own["sx"], own["sy"], strict=True)}
-        least = dict(zip(root, own["least"].astype("int64"), strict=True))
-
-        def find(k):
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
-        def tie(a, b):
-            a, b = find(a), find(b)
-            if a != b:
-                root[b] = a
-                least[a] = min(least[a], least[b])
-
-        for x, y in list(root):
-            for i, j in around:
-                if (x + i, y + j) in root and abs((x + i) // PIN_PARTS - x // PIN_PARTS) <= 1 and abs((y + j) // PIN_PARTS - y // PIN_PARTS) <= 1:
-                    tie((x, y), (x + i, y + j))
-        for x, y, tx, ty in zip(extra["sx"], extra["sy"], extra["tx"].astype("int64"), extra["ty"].astype("int64"), strict=True):
-            tie((x, y), (tx, ty))
-        # the root cell tells parts apart that share their least word
-        tops = {k: find(k) for k in root}
-        return pd.DataFrame({"page": pdf["page"].iloc[0], "sx": [k[0] for k in tops], "sy": [k[1] for k in tops], "least": [least[t] for t in tops.values()], "rx": [t[0] for t in tops.values()], "ry": [t[1] for t in tops.values()]})
-
-    return rows.groupBy("page").applyInPandas(page, "page long, sx long, sy long, least long, rx long, ry long")
-
-
-def cluster_pins(pins: DataFrame) -> DataFrame:
-    """(page, word, cluster): single linkage within PIN_REACH, over neighbouring grid cells; named by the smallest word.
-
-    Pins of one part of a grid cell are always linked, and so are parts whose farthest points are in reach.
-    Pins are compared only where parts are in reach that these links leave apart.
+
+def _pairs_of_parts(parts: DataFrame, by: list[str], steps: list[tuple[int, int]]) -> DataFrame:
+    """Pairs (by, sx, sy, root; tx, ty, t_root) of the parts that are a step apart and in neighbouring grid cells."""
+    step = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps)))
+    a = parts.withColumn("s", step).withColumn("tx", F.col("sx") + F.col("s.i")).withColumn("ty", F.col("sy") + F.col("s.j")).drop("s")
+    b = parts.select(*by, F.col("sx").alias("tx"), F.col("sy").alias("ty"), F.col("root").alias("t_root"))
+    grid = lambda c, d: F.abs(F.floor(F.col(c) / PIN_PARTS) - F.floor(F.col(d) / PIN_PARTS)) <= 1
+    return a.join(b, [*by, "tx", "ty"]).filter(grid("sx", "tx") & grid("sy", "ty"))
+
+
+def _rooted(parts: DataFrame, edges: DataFrame) -> DataFrame:
+    """parts with the root of each by edges between their roots."""
+    found = connected(edges.select(F.col("root").alias("u"), F.col("t_root").alias("v")))
+    joined = parts.join(found.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+    return once(joined.withColumn("root", F.coalesce("to", "root")).drop("to"))
+
+
+def cluster_pins(pins: DataFrame, by: tuple[str, ...] = ("page",)) -> DataFrame:
+    """(by, word, cluster): single linkage within PIN_REACH, over neighbouring grid cells; named by the smallest word.
+
+    ``by`` names the columns within which pins may be linked.  Pins of one part of a grid cell are always linked,
+    and so are parts whose farthest points are in reach.  Pins are compared only where parts are in reach that
+    these links leave apart.  No task holds a page or a cluster.
     """
-    side = PIN_CELL / PIN_PARTS
+    by, side = list(by), PIN_CELL / PIN_PARTS
     # a part is a share of its own grid cell, so that rounding cannot set it in the next one
     part = lambda c: F.floor(F.col(c) / PIN_CELL) * PIN_PARTS + F.least(F.floor((F.col(c) - F.floor(F.col(c) / PIN_CELL) * PIN_CELL) / side), F.lit(PIN_PARTS - 1))
-    pins = pins.select("page", "word", "x", "y").withColumn("sx", part("x").cast("long")).withColumn("sy", part("y").cast("long"))
-    cells = pins.groupBy("page", "sx", "sy").agg(F.min("word").alias("least"))
-    sure = _kept(_parts(cells))
-    own = sure.select("page", "sx", "sy", "rx", "ry")
-    grid = lambda a, b: F.abs(F.floor(F.col(a) / PIN_PARTS) - F.floor(F.col(b) / PIN_PARTS)) <= 1
-    reach = 2 * PIN_PARTS - 1
-    steps = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(reach + 1) for j in range(-reach, reach + 1) if (i > 0 or j > 0) and np.hypot(max(i - 1, 0), max(abs(j) - 1, 0)) * side <= PIN_REACH]
-    other = own.select("page", F.col("sx").alias("tx"), F.col("sy").alias("ty"), F.col("rx").alias("qx"), F.col("ry").alias("qy"))
-    open_ = own.withColumn("s", F.explode(F.array(*steps))).withColumn("tx", F.col("sx") + F.col("s.i")).withColumn("ty", F.col("sy") + F.col("s.j")).drop("s")
-    open_ = open_.join(other, ["page", "tx", "ty"]).filter(grid("sx", "tx") & grid("sy", "ty") & ((F.col("rx") != F.col("qx")) | (F.col("ry") != F.col("qy"))))
-    at = pins.select("page", "sx", "sy", "x", "y").distinct()
-    far = at.select("page", F.col("sx").alias("tx"), F.col("sy").alias("ty"), F.col("x").alias("b_x"), F.col("y").alias("b_y"))
-    met = open_.select("page", "sx", "sy", "tx", "ty").join(at, ["page", "sx", "sy"]).join(far, ["page", "tx", "ty"])
+    pins = pins.select(*by, "word", "x", "y").withColumn("sx", part("x").cast("long")).withColumn("sy", part("y").cast("long"))
+    parts = once(pins.groupBy(*by, "sx", "sy").agg(F.min("word").alias("least")).withColumn("root", F.struct(*by, "sx", "sy")))
+    parts = _rooted(parts, _pairs_of_parts(parts, by, _steps(far=True)))
+    open_ = once(_pairs_of_parts(parts, by, _steps(far=False)).filter("root <> t_root").select(*by, "sx", "sy", "tx", "ty", "root", "t_root"))
+    at = pins.select(*by, "sx", "sy", "x", "y").distinct()
+    other = at.select(*by, F.col("sx").alias("tx"), F.col("sy").alias("ty"), F.col("x").alias("b_x"), F.col("y").alias("b_y"))
+    met = open_.join(at, [*by, "sx", "sy"]).join(other, [*by, "tx", "ty"])
     d = F.sqrt((F.col("x") - F.col("b_x")) ** 2 + (F.col("y") - F.col("b_y")) ** 2)
-    links = met.filter(d <= PIN_REACH).select("page", "sx", "sy", "tx", "ty").distinct()
-    named = _parts(cells, links).select("page", "sx", "sy", F.col("least").alias("cluster"))
-    return pins.join(named, ["page", "sx", "sy"]).select("page", "word", "cluster")
+    parts = _rooted(parts, met.filter(d <= PIN_REACH).select("root", "t_root").distinct())
+    names = parts.groupBy("root").agg(F.min("least").alias("cluster"))
+    return pins.join(parts.select(*by, "sx", "sy", "root"), [*by, "sx", "sy"]).join(names, "root").select(*by, "word", "cluster")

@@ -106,8 +106,6 @@ add("src_bom", lambda v: E.tokens(v.v_bom, "ref_des", "part_number", "page").gro
     f"WITH {_t('o', 'v_bom')} SELECT token, min_by(part_number, row_no * 1000 + pos) AS part_number, string_agg(DISTINCT page, ', ' ORDER BY page) AS pages FROM o GROUP BY 1", ("v_bom",))
 _pins = "CASE k % 3 WHEN 0 THEN ref || '-' || CAST(k % 9 AS VARCHAR(9)) WHEN 1 THEN ref || '.' || CAST(k % 9 AS VARCHAR(9)) ELSE ref || ' : ' || CAST(k % 9 AS VARCHAR(9)) END"
 add("src_pinlist", lambda v: v.v_part.selectExpr(f"{_pins} AS t").select(T.pin_id(F.col("t")).alias("pin")).distinct(), "SELECT DISTINCT ref || '-' || (k % 9) AS pin FROM v_part", ("v_part",))
-add("agg_pinlist_index", lambda v: v.v_part.selectExpr(f"{_pins} AS t").select(T.pin_id(F.col("t")).alias("p")).select(F.regexp_extract("p", "^(.*)-([^-]*)$", 1).alias("parent"), F.regexp_extract("p", "^(.*)-([^-]*)$", 2).alias("label")).groupBy("label").agg(F.count_distinct("parent").alias("parents")),
-    "SELECT (k % 9)::VARCHAR AS label, count(DISTINCT ref) AS parents FROM v_part GROUP BY 1", ("v_part",))
 
 # merge
 MERGED = ["part_number", "description", "page"]

@@ -84,30 +84,12 @@ add("sp_mappings", lambda v: _nearest_in_box(v).join(words(v).select("word", "tx
     f"WITH {_sm}, pw AS (SELECT w.*, box FROM v_words w JOIN sm USING (word)), nb AS (SELECT word, ref FROM (SELECT a.word, b.word AS ref, row_number() OVER (PARTITION BY a.word ORDER BY pow(a.x - b.x, 2) + pow(a.y - b.y, 2), b.word) AS n FROM pw a JOIN pw b ON a.box = b.box WHERE a.txt LIKE 'U%' AND b.txt LIKE 'R%') q WHERE n = 1) " + _named.format("nb").replace("(nb)", "nb"), WB)
 _clusters = lambda v: words(v).select(F.floor(F.col("x") / 120).alias("cx"), F.floor(F.col("y") / 120).alias("cy"), "page", "txt", "word")
 add("sp_indexes", lambda v: _clusters(v).groupBy("page", "cx", "cy").agg(F.count("*").alias("n")), "SELECT page, floor(x / 120)::BIGINT AS cx, floor(y / 120)::BIGINT AS cy, count(*) AS n FROM v_words GROUP BY 1, 2, 3", WD)
-_kind = "CASE WHEN labels >= 3 THEN 'ic_like' WHEN labels <= 1 THEN 'passive_like' ELSE 'ambiguous' END"
-_cl = "SELECT page, floor(x / 120)::BIGINT AS cx, floor(y / 120)::BIGINT AS cy, count(DISTINCT txt) AS labels, count(DISTINCT CASE WHEN txt LIKE 'U%' THEN txt END) AS hits FROM v_words GROUP BY 1, 2, 3"
-_clustered = lambda v: _clusters(v).groupBy("page", "cx", "cy").agg(F.count_distinct("txt").alias("labels"), F.count_distinct(F.when(F.col("txt").startswith("U"), F.col("txt"))).alias("hits"))
-add("sp_cluster_class", lambda v: _clustered(v).select("page", "cx", "cy", F.expr(_kind).alias("kind")), f"SELECT page, cx, cy, {_kind} AS kind FROM ({_cl}) q", WD)
-_accept = "CASE WHEN hits >= 2 THEN '' ELSE 'too few hits' END"
-add("sp_accept", lambda v: _clustered(v).select("page", "cx", "cy", F.expr(_accept).alias("drop_reason")), f"SELECT page, cx, cy, {_accept} AS drop_reason FROM ({_cl}) q", WD)
-
-
-def _resolved(v):
-    """The text most often met in a cell; none where two are met as often."""
-    n = _clusters(v).groupBy("page", "cx", "cy", F.substring("txt", 1, 4).alias("parent")).agg(F.count("*").alias("hits"))
-    w = Window.partitionBy("page", "cx", "cy").orderBy(F.desc("hits"), "parent")
-    n = n.withColumn("n", F.row_number().over(w)).withColumn("next", F.lead("hits").over(w)).filter("n = 1")
-    return n.select("page", "cx", "cy", F.when(F.col("next").isNull() | (F.col("next") < F.col("hits")), F.col("parent")).alias("parent"))
-
-
-add("sp_resolve_parent", _resolved,
-    """WITH n AS (SELECT page, floor(x / 120)::BIGINT AS cx, floor(y / 120)::BIGINT AS cy, substr(txt, 1, 4) AS parent, count(*) AS hits FROM v_words GROUP BY 1, 2, 3, 4),
-    r AS (SELECT *, row_number() OVER w AS rn, lead(hits) OVER w AS nx FROM n WINDOW w AS (PARTITION BY page, cx, cy ORDER BY hits DESC, parent)) SELECT page, cx, cy, CASE WHEN nx IS NULL OR nx < hits THEN parent END AS parent FROM r WHERE rn = 1""", WD)
-_pages = lambda v: v.spark.range(45).withColumnRenamed("id", "page")
+#: Pages with drawings, and as many of the first ones again without any.
+_pages = lambda v: v.v_boxes.select("page").distinct().unionByName(v.v_boxes.filter("page < 5").select((-1 - F.col("page")).alias("page")).distinct())
 _square = "(x1 - x0) / (y1 - y0) BETWEEN 0.8 AND 1.5"
 _few = lambda v: words(v).join(S.near(words(v), boxes(v).filter(_square), 10.0).select("word").distinct().withColumn("near", F.lit(True)), "word", "left").withColumn("near", F.coalesce("near", F.lit(False)))
 _metrics = lambda v: S.page_metrics(_pages(v), _few(v).filter("txt LIKE 'U%'").select("page", F.col("near").alias("parented")))
-_mt = f"nr AS (SELECT DISTINCT w.word FROM v_words w JOIN v_boxes b ON w.page = b.page AND {_gap} <= 10 AND {_square}), mt AS (SELECT p.page, count(w.word) AS pins, count(nr.word) AS parented FROM (SELECT unnest(range(45)) AS page) p LEFT JOIN (SELECT * FROM v_words WHERE txt LIKE 'U%') w ON p.page = w.page LEFT JOIN nr ON w.word = nr.word GROUP BY 1), mm AS (SELECT *, pins - parented AS orphans, coalesce((pins - parented) / nullif(pins, 0), 0)::DOUBLE AS ratio FROM mt)"
+_mt = f"nr AS (SELECT DISTINCT w.word FROM v_words w JOIN v_boxes b ON w.page = b.page AND {_gap} <= 10 AND {_square}), mt AS (SELECT p.page, count(w.word) AS pins, count(nr.word) AS parented FROM (SELECT DISTINCT page FROM v_boxes UNION ALL SELECT DISTINCT -1 - page FROM v_boxes WHERE page < 5) p LEFT JOIN (SELECT * FROM v_words WHERE txt LIKE 'U%') w ON p.page = w.page LEFT JOIN nr ON w.word = nr.word GROUP BY 1), mm AS (SELECT *, pins - parented AS orphans, coalesce((pins - parented) / nullif(pins, 0), 0)::DOUBLE AS ratio FROM mt)"
 _r = lambda df, c="ratio": df.withColumn(c, F.round(c, 9))
 add("agg_page_metrics", lambda v: _r(_metrics(v)), f"WITH {_mt} SELECT page, pins, parented, orphans, round(ratio, 9) AS ratio FROM mm", WB)
 add("sp_gate", lambda v: S.gated_pages(_metrics(v), 5, 0.30).select("page"), f"WITH {_mt} SELECT page FROM mm WHERE orphans >= 5 AND ratio >= 0.30 AND pins >= 3", WB)

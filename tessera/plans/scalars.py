@@ -97,15 +97,7 @@ _one("prd_valid_refdes", "v_tok", "tok", T.valid_designator, D.valid("tok"))
 _one("prd_pin_notation", "v_tok", "tok", lambda c: T.pin_notation(T.canonical(c)), D.pin(D.canon("tok")))
 _one("prd_instance_notation", "v_tok", "tok", lambda c: T.instance_notation(T.canonical(c)), D.instance(D.canon("tok")))
 _pin_text = "(CASE k % 7 WHEN 0 THEN 'A1' WHEN 1 THEN '5V' WHEN 2 THEN '10K' WHEN 3 THEN 'A/B' WHEN 4 THEN 'NET_1' WHEN 5 THEN CAST(k % 99 AS VARCHAR(9)) ELSE 'CLOCK' END)"
-
-
-def pin_candidate(c, most=4):
-    """A short alphanumeric label, or two bonded ones, that is no value with a unit."""
-    valued = c.rlike(r"(?i)^\d+(?:\.\d+)?(?:[VAKMRUNPF]|OHM|HZ|MHZ|UF|NF|PF|UH|MH)$")
-    return (F.char_length(c) <= most) & c.rlike("^[A-Za-z0-9]+(?:/[A-Za-z0-9]+)?$") & ~valued
-
-
-add("prd_pin_candidate", lambda v: v.v_part.selectExpr("k", f"{_pin_text} AS t").select("k", pin_candidate(F.col("t")).alias("value")), "SELECT k, k % 7 IN (0, 3, 5) AS value FROM v_part", ("v_part",))
+add("prd_pin_candidate", lambda v: v.v_part.selectExpr("k", f"{_pin_text} AS t").select("k", T.pin_candidate(F.col("t")).alias("value")), "SELECT k, k % 7 IN (0, 3, 5) AS value FROM v_part", ("v_part",))
 
 # labels
 _status = "regexp_replace({x}, '(?i)(\\s*\\((UNVERIFIED|VERIFIED|PARTIAL)\\))+$', '')"

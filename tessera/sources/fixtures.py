@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 _PFX = "CASE p_partkey % 8 WHEN 0 THEN 'R' WHEN 1 THEN 'C' WHEN 2 THEN 'U' WHEN 3 THEN 'L' WHEN 4 THEN 'Q' WHEN 5 THEN 'CR' WHEN 6 THEN 'VR' ELSE 'K' END"
 _s = lambda x: f"CAST({x} AS VARCHAR(40))"
 _both = lambda text: (text, text)
+#: One number for each row of lineitem: the order's, and the row's place in it.
+_word = "l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate)"
 
 VIEWS: dict[str, tuple[str, str]] = {
     "v_part": _both(
@@ -77,15 +79,24 @@ VIEWS: dict[str, tuple[str, str]] = {
     "v_snap_a": _both(f"SELECT 'GRP-' || {_s('g')} || CASE WHEN k % 4 = 0 THEN ' (Verified)' ELSE '' END AS grp, ref, {_s('k % 30 + 1')} AS pages FROM v_group_item WHERE k % 9 <> 2"),
     "v_snap_b": _both(f"SELECT 'GRP-' || {_s('CASE WHEN k % 15 = 0 THEN g + 1 ELSE g END')} AS grp, ref, {_s('k % 30 + 1')} AS pages FROM v_group_item WHERE k % 9 <> 3"),
     "v_boxes": _both(
-        """SELECT CAST(o_orderkey AS BIGINT) AS box, CAST(o_orderkey % 40 AS BIGINT) AS page, CAST((o_custkey * 29) % 700 AS DOUBLE) AS x0, CAST((o_orderkey * 13) % 500 AS DOUBLE) AS y0,
+        """SELECT CAST(o_orderkey AS BIGINT) AS box, CAST(floor(o_orderkey / 375.0) AS BIGINT) AS page, CAST((o_custkey * 29) % 700 AS DOUBLE) AS x0, CAST((o_orderkey * 13) % 500 AS DOUBLE) AS y0,
         CAST((o_custkey * 29) % 700 + 40 + o_custkey % 200 AS DOUBLE) AS x1, CAST((o_orderkey * 13) % 500 + 30 + o_custkey % 150 AS DOUBLE) AS y1 FROM {orders}"""
     ),
     "v_words": _both(
-        f"""SELECT l_orderkey * 10 + l_linenumber AS word, CAST(l_orderkey % 40 AS BIGINT) AS page, CAST((l_partkey * 37) % 800 AS DOUBLE) AS x, CAST((l_suppkey * 53 + l_linenumber * 11) % 600 AS DOUBLE) AS y,
+        f"""SELECT {_word} AS word, CAST(floor(l_orderkey / 375.0) AS BIGINT) AS page, CAST((l_partkey * 37) % 800 AS DOUBLE) AS x, CAST((l_suppkey * 53 + l_linenumber * 11) % 600 AS DOUBLE) AS y,
         CASE l_partkey % 3 WHEN 0 THEN 'R' ELSE 'U' END || {_s('l_partkey + 1')} AS txt,
         CASE (l_orderkey * 10 + l_linenumber) % 10 WHEN 2 THEN 'tick' WHEN 3 THEN 'circle' ELSE 'text' END AS shape,
         CASE (l_orderkey * 10 + l_linenumber) % 40 WHEN 1 THEN 'label' ELSE 'other' END AS role FROM {{lineitem}}"""
     ),
+    "v_entry": _both(
+        f"""SELECT word, page, grp, CAST((grp % 10) * 620 + CASE WHEN k % 13 < 4 THEN 330 ELSE 0 END + (k * 37) % 190 AS DOUBLE) AS x, CAST(CAST(floor(grp / 10.0) AS BIGINT) % 10 * 700 + (j * 53) % 240 AS DOUBLE) AS y,
+        CASE WHEN grp % 11 = 7 THEN 'B' || {_s('k % 3 + 1')} WHEN m = 0 AND k % 3 > 0 THEN 'U' || {_s('k % 60 + 1')} WHEN m = 0 THEN 'J' || {_s('k % 60 + 1')} WHEN m = 1 AND grp % 3 = 0 THEN 'R' || {_s('k % 60 + 1')} WHEN m = 2 AND grp % 5 = 0 THEN CASE WHEN k % 2 = 0 THEN '10uF' ELSE '22K' END
+        WHEN grp % 4 = 1 THEN {_s('k % 2 + 1')} WHEN m < 6 THEN {_s('k % 9 + 1')} WHEN m < 9 THEN 'A' || {_s('k % 6 + 1')} WHEN m = 9 THEN 'VCC' WHEN m = 10 THEN 'NET_' || {_s('k')} ELSE 'gnd' END AS txt
+        FROM (SELECT {_word} AS word, CAST(floor(l_orderkey / 375.0) AS BIGINT) AS page, CAST(floor(l_orderkey / 3.0) AS BIGINT) AS grp, l_partkey AS k, l_suppkey + l_linenumber AS j, (l_partkey * 7 + l_suppkey * 3 + l_linenumber) % 12 AS m FROM {{lineitem}}) q"""
+    ),
+    "v_pinlist": _both(
+        f"""SELECT DISTINCT CASE k % 4 WHEN 0 THEN 'J' WHEN 1 THEN 'R' ELSE 'U' END || {_s('k % 60 + 1')} || '-' || CASE k % 7 WHEN 0 THEN 'VCC' WHEN 1 THEN 'GND' WHEN 2 THEN 'A' || {_s('k % 6 + 1')} WHEN 3 THEN 'A' || {_s('k % 5 + 1')} ELSE {_s('k % 9 + 1')} END AS pin FROM v_part WHERE k % 60 < 45"""
+    ),
 }
 TABLES = ("part", "orders", "lineitem")
 _NEEDS = {n: [m for m in VIEWS if m != n and m in " ".join(t).replace(",", " ").split()] for n, t in VIEWS.items()}
@@ -111,6 +122,8 @@ def duck(body: str, *names: str) -> str:
     inner = body.lstrip()
     if not heads:
         return inner
+    if inner[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ", ".join(heads) + ", " + inner[15:]
     if inner[:5].upper() == "WITH ":
         return "WITH " + ", ".join(heads) + ", " + inner[5:]
     return "WITH " + ", ".join(heads) + " " + inner

@@ -53,23 +53,44 @@ def preview(df: DataFrame, columns: dict[str, list[str]], rows: int = PREVIEW_RO
     return df.select(*(F.col(f"`{c}`").alias(name) for name, c in picked if c)).limit(rows)
 
 
+_roots: dict[str, str] = {}
+
+
 def report_path(spark: SparkSession) -> str:
-    """A new folder for a report, where executors share one; a local folder for a local master only."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = "file://" + tempfile.gettempdir()
-    return f"{shared.rstrip('/')}/tessera-reports/{uuid.uuid4().hex}"
+    """A new folder for a report, where executors share one; a local folder for a local master only.  All go when the driver ends."""
+    application = spark.sparkContext.applicationId
+    if application not in _roots:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            shared = "file://" + tempfile.mkdtemp(prefix="tessera-reports-")
+        root = f"{shared.rstrip('/')}/tessera-reports-{application}"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _roots[application] = root
+    return f"{_roots[application]}/{uuid.uuid4().hex}"
 
 
 def once(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read back: for what a query uses several times, computed once."""
+    """df, written to the shared folder and read back: for what a query uses several times, computed once; cuts its lineage."""
     spark, schema, path = df.sparkSession, df.schema, report_path(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+#: Rows of a few numbers that may be broadcast.
+BROADCAST_ROWS = 400_000
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """df, computed once, marked for broadcast only if its counted rows are few."""
+    df = once(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def write_report(tables: dict[str, DataFrame], path: str, form: str = "parquet") -> list[str]:
     """One folder for each table that has rows; private columns are dropped and text made printable."""
     written = []

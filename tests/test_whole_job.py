@@ -3,9 +3,10 @@
 import numpy as np
 import pytest
 
-from tessera.operators import cluster
+from tessera.operators import cluster, components, qualify
 from tessera.plans import registry
 from tessera.sources.fixtures import Views
+from tessera.sources.readers import once
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,7 +20,12 @@ def test_words_and_boxes_are_whole_tables(views):
     for view, table in (("v_words", "lineitem"), ("v_boxes", "orders")):
         rows = getattr(views, view)
         assert rows.count() == views.table(table).count()
-        assert {r["page"] for r in rows.select("page").distinct().collect()} == set(range(40))
+        assert {r["page"] for r in rows.select("page").distinct().collect()} == set(range(4))
+
+
+def test_words_have_numbers_of_their_own(views):
+    for view in ("v_words", "v_entry"):
+        assert getattr(views, view).select("word").distinct().count() == views.table("lineitem").count()
 
 
 def test_clusters_hold_every_pin(spark, views):
@@ -51,6 +57,30 @@ def test_clusters_equal_single_linkage(spark):
     assert {tuple(x) for x in cluster.cluster_pins(pins).collect()} == {(*a, c) for a, c in root.items()}
 
 
+def test_components(spark):
+    r = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in r.integers(0, 400, (380, 2))] + [(k, k + 1) for k in range(1000, 1200)]
+    root = {n: n for e in edges for n in e}
+    for _ in range(250):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {x["node"]: x["root"] for x in components.connected(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {k: v for k, v in root.items() if any(k in e and e[0] != e[1] for e in edges)}
+
+
+def test_every_status_of_qualified_pins_occurs(spark, views):
+    entries = once(views.v_entry)
+    for n in (1, 7):
+        labels, of = qualify.qualified_clusters(entries.repartition(n), views.v_pinlist)
+        rows = of.collect()
+        assert {x["status"] for x in rows} == {None, "resolved", "ambiguous_tie", "no_nearby_candidates", "no_hits"}
+        assert {x["kind"] for x in rows} == {"ic_like", "passive_like", "ambiguous"}
+        assert {"passive_cluster", "ambiguous_tie", "no_parent_resolved", "ambiguous_low_hits", None} <= {x["drop_reason"] for x in rows}
+        assert labels.select("cluster").distinct().count() == len(rows)
+    empty = qualify.qualify(entries.limit(0), views.v_pinlist)
+    assert empty.count() == 0 and qualify.qualify(entries, views.v_pinlist.limit(0)).filter("parent IS NOT NULL").count() == 0
+
+
 def test_types_of_every_part_number(views):
     rows = [tuple(r) for r in views.v_hda.select("part_number", "row_no").collect()]
     least = {}
