@@ -31,12 +31,8 @@ add("sj_box_from_drawing", lambda v: S.best(S.near(words(v), _banded(v)), ["box"
     f"SELECT box, txt FROM (SELECT b.box, w.txt, row_number() OVER (PARTITION BY b.box ORDER BY w.y, w.word, w.txt) AS n FROM v_boxes b JOIN v_words w ON w.page = b.page AND {_band} WHERE {_area} > 20000) q WHERE n = 1", WB)
 add("sj_prov", lambda v: S.point_pairs(refs(v), words(v).filter(_labels), 15.0).select("word").distinct(),
     f"SELECT DISTINCT a.word FROM v_words a JOIN v_words b ON a.page = b.page AND a.x BETWEEN b.x - 15 AND b.x + 15 AND a.y BETWEEN b.y - 15 AND b.y + 15 AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 15 WHERE a.txt LIKE 'R%' AND b.{_labels}", WD)
-add("sj_pin_body", lambda v: S.nearest_box(pins(v), boxes(v), "word", 50.0).select("word", "box", F.round("d", 6).alias("d")),
-    f"SELECT word, box, round(d, 6) AS d FROM (SELECT w.word, b.box, {_gap} AS d, row_number() OVER (PARTITION BY w.word ORDER BY {_gap}, b.box) AS n FROM v_words w JOIN v_boxes b ON w.page = b.page AND {_gap} <= 50 WHERE w.txt LIKE 'U%') q WHERE n = 1", WB)
 _bias = "sqrt(pow(w.x - (b.x0 + b.x1) / 2, 2) + pow(w.y - (b.y0 + b.y1) / 2, 2)) * CASE WHEN w.x <= (b.x0 + b.x1) / 2 AND w.y <= (b.y0 + b.y1) / 2 THEN 0.8 ELSE 1 END"
 _biased = lambda: G.biased_distance(F.col("x"), F.col("y"), *G.centre(G.rect()))
-add("sj_refdes_body", lambda v: S.best(S.near(refs(v), boxes(v), 40.0).withColumn("d", F.round(_biased(), 6)), ["box"], [F.col("d"), F.col("word")], ["word", "d"]),
-    f"SELECT box, word, d FROM (SELECT b.box, w.word, round({_bias}, 6) AS d, row_number() OVER (PARTITION BY b.box ORDER BY round({_bias}, 6), w.word) AS n FROM v_boxes b JOIN v_words w ON w.page = b.page AND {_gap} <= 40 WHERE w.txt LIKE 'R%') q WHERE n = 1", WB)
 _ends = lambda v: boxes(v).filter("x1 - x0 >= 150").select(F.col("box").alias("word"), "page", F.col("x0").alias("x"), F.col("y0").alias("y")).unionByName(boxes(v).filter("x1 - x0 >= 150").select(F.col("box").alias("word"), "page", F.col("x1").alias("x"), F.col("y0").alias("y")))
 add("sj_near_wire", lambda v: S.point_pairs(words(v), _ends(v), 20.0).select("word").distinct(),
     "SELECT DISTINCT w.word FROM v_words w JOIN v_boxes b ON w.page = b.page AND b.x1 - b.x0 >= 150 AND (sqrt(pow(w.x - b.x0, 2) + pow(w.y - b.y0, 2)) <= 20 OR sqrt(pow(w.x - b.x1, 2) + pow(w.y - b.y0, 2)) <= 20)", WB)
@@ -66,7 +62,6 @@ add("sj_near_bbox", lambda v: S.near(refs(v), _bbox(v), 25.0).select("word"), f"
 # page kernels
 add("sp_bodies", lambda v: boxes(v).filter("x1 - x0 BETWEEN 20 AND 500 AND y1 - y0 BETWEEN 20 AND 500 AND (x1 - x0) / (y1 - y0) BETWEEN 0.8 AND 1.5").select("page", "box"),
     "SELECT page, box FROM v_boxes WHERE (x1 - x0) / (y1 - y0) BETWEEN 0.8 AND 1.5", BX)
-add("sp_nms", lambda v: P.suppress_overlaps(boxes(v)))
 add("sp_cluster", lambda v: P.cluster_pins(pins(v)))
 add("sp_ticks", lambda v: S.best(S.near(words(v).filter("shape = 'tick'"), boxes(v), 5.0), ["word"], [F.col("box")], ["box"]),
     f"SELECT w.word, min(b.box) AS box FROM v_words w JOIN v_boxes b ON w.page = b.page AND {_gap} <= 5 WHERE w.shape = 'tick' GROUP BY 1", WB)
@@ -75,13 +70,7 @@ add("sp_bga", lambda v: S.best(S.near(words(v).filter("shape = 'circle'"), boxes
 _class = "CASE WHEN txt LIKE 'R%' THEN 'REFDES' WHEN near THEN 'PIN' WHEN length(txt) > 5 THEN 'NET' ELSE 'JUNK' END"
 _near = lambda v: S.near(words(v), boxes(v), 10.0).select("word").distinct().withColumn("near", F.lit(True))
 _flagged = lambda v: words(v).join(_near(v), "word", "left").withColumn("near", F.coalesce("near", F.lit(False)))
-add("sp_classify", lambda v: _flagged(v).select("word", F.expr(_class).alias("kind")),
-    f"WITH nr AS (SELECT DISTINCT w.word FROM v_words w JOIN v_boxes b ON w.page = b.page AND {_gap} <= 10) SELECT word, {_class} AS kind FROM (SELECT w.*, w.word IN (SELECT word FROM nr) AS near FROM v_words w) q", WB)
-add("sp_text_pins", lambda v: S.nearest_box(pins(v).join(refs(v).select("page", "x", "y"), ["page", "x", "y"], "left_anti"), boxes(v), "word", 10.0).select("word", "box"),
-    f"SELECT word, box FROM (SELECT w.word, b.box, row_number() OVER (PARTITION BY w.word ORDER BY {_gap}, b.box) AS n FROM v_words w JOIN v_boxes b ON w.page = b.page AND {_gap} <= 10 WHERE w.txt LIKE 'U%' AND NOT EXISTS (SELECT 1 FROM v_words r WHERE r.page = w.page AND r.x = w.x AND r.y = w.y AND r.txt LIKE 'R%')) q WHERE n = 1", WB)
 _named = "SELECT a.word, r.txt || '-' || a.txt AS mapping FROM ({}) m JOIN v_words a ON a.word = m.word JOIN v_words r ON r.word = m.ref"
-add("sp_mappings", lambda v: _nearest_in_box(v).join(words(v).select("word", "txt"), "word").join(words(v).select(F.col("word").alias("ref"), F.col("txt").alias("rt")), "ref").select("word", F.concat("rt", F.lit("-"), "txt").alias("mapping")),
-    f"WITH {_sm}, pw AS (SELECT w.*, box FROM v_words w JOIN sm USING (word)), nb AS (SELECT word, ref FROM (SELECT a.word, b.word AS ref, row_number() OVER (PARTITION BY a.word ORDER BY pow(a.x - b.x, 2) + pow(a.y - b.y, 2), b.word) AS n FROM pw a JOIN pw b ON a.box = b.box WHERE a.txt LIKE 'U%' AND b.txt LIKE 'R%') q WHERE n = 1) " + _named.format("nb").replace("(nb)", "nb"), WB)
 _clusters = lambda v: words(v).select(F.floor(F.col("x") / 120).alias("cx"), F.floor(F.col("y") / 120).alias("cy"), "page", "txt", "word")
 add("sp_indexes", lambda v: _clusters(v).groupBy("page", "cx", "cy").agg(F.count("*").alias("n")), "SELECT page, floor(x / 120)::BIGINT AS cx, floor(y / 120)::BIGINT AS cy, count(*) AS n FROM v_words GROUP BY 1, 2, 3", WD)
 #: Pages with drawings, and as many of the first ones again without any.

@@ -11,7 +11,7 @@ _parents = ", ".join(f"'{p}'" for p in T.PARENT_PREFIXES)
 _value = "(?i)^([0-9]+([.][0-9]+)?[munpkMG]?[FfHhVvAaWwRrΩ]+|[0-9]+([.][0-9]+)?(uF|nF|pF|mF|uH|nH|mH|ohm|k|meg))$"
 _valued = "(?i)^[0-9]+([.][0-9]+)?([VAKMRUNPF]|OHM|HZ|MHZ|UF|NF|PF|UH|MH)$"
 #: Entries, pin labels, clusters by reach over pairs in neighbouring cells, kinds, votes; ``of`` has one row for each cluster.
-_base = f"""WITH RECURSIVE e AS (SELECT *, {D.valid('txt')} AND {D.known('txt')} AS part, {D.prefix('txt')} AS pfx FROM v_entry),
+base = f"""WITH RECURSIVE e AS (SELECT *, {D.valid('txt')} AND {D.known('txt')} AS part, {D.prefix('txt')} AS pfx FROM v_entry),
 p AS (SELECT page, grp, word, x, y, upper(txt) AS label FROM e WHERE NOT part AND length(txt) <= 4 AND regexp_matches(txt, '^[A-Za-z0-9]+(/[A-Za-z0-9]+)?$') AND NOT regexp_matches(txt, '{_valued}')),
 links AS (SELECT a.word AS u, b.word AS v FROM p a JOIN p b ON a.page = b.page AND a.grp = b.grp AND a.word <> b.word
     AND abs(floor(a.x / 120) - floor(b.x / 120)) <= 1 AND abs(floor(a.y / 120) - floor(b.y / 120)) <= 1 AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 150),
@@ -41,8 +41,8 @@ VIEWS = ("v_entry", "v_pinlist")
 _clusters = lambda v: Q.qualified_clusters(v.v_entry, v.v_pinlist)[1]
 
 add("sp_qualify", lambda v: Q.qualify(v.v_entry, v.v_pinlist),
-    f"{_base} SELECT lb.page, lb.grp, word, label, lb.cluster, kind, CASE WHEN drop_reason IS NULL THEN parent END AS parent, kind = 'passive_like' AS suppressed, CASE WHEN kind <> 'passive_like' THEN drop_reason END AS drop_reason FROM lb JOIN cs USING (cluster)", VIEWS)
-add("sp_cluster_class", lambda v: Q.classified(Q.clusters_of(v.v_entry), v.v_entry).select("cluster", "n_labels", "kind"), f"{_base} SELECT cluster, n_labels, kind FROM kinds", VIEWS)
-add("sp_resolve_parent", lambda v: _clusters(v).filter("status IS NOT NULL").select("cluster", "parent", "hits", "status"), f"{_base} SELECT cluster, parent, hits, status FROM res", VIEWS)
-add("sp_accept", lambda v: _clusters(v).select("cluster", "kind", "drop_reason"), f"{_base} SELECT cluster, kind, drop_reason FROM cs", VIEWS)
+    f"{base} SELECT lb.page, lb.grp, word, label, lb.cluster, kind, CASE WHEN drop_reason IS NULL THEN parent END AS parent, kind = 'passive_like' AS suppressed, CASE WHEN kind <> 'passive_like' THEN drop_reason END AS drop_reason FROM lb JOIN cs USING (cluster)", VIEWS)
+add("sp_cluster_class", lambda v: Q.classified(Q.clusters_of(v.v_entry), v.v_entry).select("cluster", "n_labels", "kind"), f"{base} SELECT cluster, n_labels, kind FROM kinds", VIEWS)
+add("sp_resolve_parent", lambda v: _clusters(v).filter("status IS NOT NULL").select("cluster", "parent", "hits", "status"), f"{base} SELECT cluster, parent, hits, status FROM res", VIEWS)
+add("sp_accept", lambda v: _clusters(v).select("cluster", "kind", "drop_reason"), f"{base} SELECT cluster, kind, drop_reason FROM cs", VIEWS)
 add("agg_pinlist_index", lambda v: Q.pinlist_index(v.v_pinlist), "SELECT DISTINCT regexp_extract(pin, '^(.+)-([^-]+)$', 2) AS label, regexp_extract(pin, '^(.+)-([^-]+)$', 1) AS parent FROM v_pinlist", VIEWS)

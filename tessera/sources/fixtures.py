@@ -88,9 +88,26 @@ VIEWS: dict[str, tuple[str, str]] = {
         CASE (l_orderkey * 10 + l_linenumber) % 10 WHEN 2 THEN 'tick' WHEN 3 THEN 'circle' ELSE 'text' END AS shape,
         CASE (l_orderkey * 10 + l_linenumber) % 40 WHEN 1 THEN 'label' ELSE 'other' END AS role FROM {{lineitem}}"""
     ),
+    "v_drawing": _both(
+        """SELECT o_orderkey * 3 AS item, CAST(floor(o_orderkey / 375.0) AS BIGINT) AS page, 're' AS kind, CAST((o_custkey * 29) % 3000 + CASE WHEN o_orderkey % 9 = 0 THEN w ELSE 0 END AS DOUBLE) AS x0, CAST((o_orderkey * 13) % 2400 AS DOUBLE) AS y0,
+        CAST((o_custkey * 29) % 3000 + CASE WHEN o_orderkey % 9 = 0 THEN 0 ELSE w END AS DOUBLE) AS x1, CAST((o_orderkey * 13) % 2400 + 12 + o_custkey % 190 AS DOUBLE) AS y1, CAST(0 AS DOUBLE) AS radius
+        FROM (SELECT *, 15 + o_custkey % 230 AS w FROM {orders}) q
+        UNION ALL SELECT o_orderkey * 3 + 1000000001 AS item, CAST(floor(o_orderkey / 375.0) AS BIGINT) AS page, 're' AS kind, CAST((o_custkey * 29) % 3000 + 3 AS DOUBLE) AS x0, CAST((o_orderkey * 13) % 2400 + 2 AS DOUBLE) AS y0,
+        CAST((o_custkey * 29) % 3000 + 15 + o_custkey % 230 - o_orderkey % 11 AS DOUBLE) AS x1, CAST((o_orderkey * 13) % 2400 + 12 + o_custkey % 190 AS DOUBLE) AS y1, CAST(0 AS DOUBLE) AS radius FROM {orders} WHERE o_orderkey % 4 = 1
+        UNION ALL SELECT o_orderkey * 3 + 1 AS item, CAST(floor(o_orderkey / 375.0) AS BIGINT) AS page, 'l' AS kind, CAST((o_custkey * 29) % 3000 - o_orderkey % 9 AS DOUBLE) AS x0, CAST((o_orderkey * 13) % 2400 + o_orderkey % 12 AS DOUBLE) AS y0,
+        CAST((o_custkey * 29) % 3000 - o_orderkey % 9 + o_orderkey % 70 AS DOUBLE) AS x1, CAST((o_orderkey * 13) % 2400 + o_orderkey % 12 AS DOUBLE) AS y1, CAST(0 AS DOUBLE) AS radius FROM {orders}
+        UNION ALL SELECT o_orderkey * 3 + 2 AS item, CAST(floor(o_orderkey / 375.0) AS BIGINT) AS page, 'c' AS kind, CAST((o_custkey * 29) % 3000 + o_custkey % 60 AS DOUBLE) AS x0, CAST((o_orderkey * 13) % 2400 - 10 + o_orderkey % 31 AS DOUBLE) AS y0,
+        CAST(0 AS DOUBLE) AS x1, CAST(0 AS DOUBLE) AS y1, CAST(o_orderkey % 11 AS DOUBLE) AS radius FROM {orders}"""
+    ),
+    "v_token": _both(
+        f"""SELECT word, page, CAST((k * 37 + j * 11) % 3200 AS DOUBLE) AS x, CAST((j * 53 + k) % 2500 AS DOUBLE) AS y,
+        CASE m WHEN 0 THEN 'U' || {_s('k % 900 + 1')} WHEN 1 THEN 'R' || {_s('k % 90 + 1')} WHEN 2 THEN 'CONN' || {_s('k % 90 + 1')} WHEN 3 THEN {_s('k % 40')} WHEN 4 THEN 'A' || {_s('k % 40')} WHEN 5 THEN 'P' || {_s('k % 40')} WHEN 6 THEN 'MISO_' || {_s('k')}
+        WHEN 7 THEN 'CLOCK' WHEN 8 THEN 'note ' || {_s('k')} WHEN 9 THEN '10uF' WHEN 10 THEN 'miso_1' ELSE '24/22' END AS txt
+        FROM (SELECT {_word} AS word, CAST(floor(l_orderkey / 375.0) AS BIGINT) AS page, l_partkey AS k, l_suppkey * 7 + l_linenumber AS j, (l_partkey * 7 + l_suppkey * 3 + l_linenumber) % 12 AS m FROM {{lineitem}}) q"""
+    ),
     "v_entry": _both(
         f"""SELECT word, page, grp, CAST((grp % 10) * 620 + CASE WHEN k % 13 < 4 THEN 330 ELSE 0 END + (k * 37) % 190 AS DOUBLE) AS x, CAST(CAST(floor(grp / 10.0) AS BIGINT) % 10 * 700 + (j * 53) % 240 AS DOUBLE) AS y,
-        CASE WHEN grp % 11 = 7 THEN 'B' || {_s('k % 3 + 1')} WHEN m = 0 AND k % 3 > 0 THEN 'U' || {_s('k % 60 + 1')} WHEN m = 0 THEN 'J' || {_s('k % 60 + 1')} WHEN m = 1 AND grp % 3 = 0 THEN 'R' || {_s('k % 60 + 1')} WHEN m = 2 AND grp % 5 = 0 THEN CASE WHEN k % 2 = 0 THEN '10uF' ELSE '22K' END
+        CASE WHEN page % 4 = 3 THEN 'NET_' || {_s('k')} WHEN grp % 11 = 7 THEN 'B' || {_s('k % 3 + 1')} WHEN m = 0 AND k % 3 > 0 THEN 'U' || {_s('k % 60 + 1')} WHEN m = 0 THEN 'J' || {_s('k % 60 + 1')} WHEN m = 1 AND grp % 3 = 0 THEN 'R' || {_s('k % 60 + 1')} WHEN m = 2 AND grp % 5 = 0 THEN CASE WHEN k % 2 = 0 THEN '10uF' ELSE '22K' END
         WHEN grp % 4 = 1 THEN {_s('k % 2 + 1')} WHEN m < 6 THEN {_s('k % 9 + 1')} WHEN m < 9 THEN 'A' || {_s('k % 6 + 1')} WHEN m = 9 THEN 'VCC' WHEN m = 10 THEN 'NET_' || {_s('k')} ELSE 'gnd' END AS txt
         FROM (SELECT {_word} AS word, CAST(floor(l_orderkey / 375.0) AS BIGINT) AS page, CAST(floor(l_orderkey / 3.0) AS BIGINT) AS grp, l_partkey AS k, l_suppkey + l_linenumber AS j, (l_partkey * 7 + l_suppkey * 3 + l_linenumber) % 12 AS m FROM {{lineitem}}) q"""
     ),

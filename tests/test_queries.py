@@ -35,4 +35,4 @@ def test_query_matches_sql(spark, con, name):
 
 
 def test_only_page_kernels_lack_sql():
-    assert set(QUERIES) - set(ORACLES) == {"sp_nms", "sp_cluster"}
+    assert set(QUERIES) - set(ORACLES) == {"sp_cluster"}

@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.operators import cluster, components, qualify
-from tessera.plans import registry
+from tessera.operators import cluster, components, pages, qualify
+from tessera.operators import spatial as S
+from tessera.plans import page_geometry, registry
 from tessera.sources.fixtures import Views
 from tessera.sources.readers import once
 
@@ -87,3 +89,28 @@ def test_types_of_every_part_number(views):
     for number, k in views.v_bom.select("part_number", "k").collect():
         least[number] = min(k, least.get(number, k))
     assert sorted(rows) == sorted((number, k + 2) for number, k in least.items() if k % 41)
+
+
+def test_gated_pages_are_pruned_where_they_are_read(spark, views, tmp_path):
+    gate = S.gated_pages(once(page_geometry.page_counts(views)))
+    kept = {r["page"] for r in gate.collect()}
+    assert kept == {0, 1, 2}  # page 3 has no pin labels
+    path = f"file://{tmp_path}/drawings"
+    drawings = views.v_drawing.unionByName(views.v_drawing.withColumn("page", F.col("page") + 40))
+    pages.store(drawings, path)
+    read = pages.of_pages(spark, path, gate)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and "PartitionFilters: [isnotnull(folder" in plan
+    assert read.count() == views.v_drawing.filter("page < 3").count()
+    assert pages.of_pages(spark, path, gate.limit(0)).count() == 0
+
+
+def test_pages_hold_every_case(views):
+    found = pages.extracted(views.v_drawing, views.v_token)
+    rectangles = views.v_drawing.filter("kind = 're' AND abs(x1 - x0) BETWEEN 20 AND 500 AND y1 - y0 BETWEEN 20 AND 500 AND abs(x1 - x0) / (y1 - y0) BETWEEN 0.3 AND 3").count()
+    assert 0 < found["bodies"].count() < rectangles  # some are suppressed
+    assert {r["kind"] for r in found["pins"].collect()} == {"tick", "ball"}
+    assert {r["side"] for r in found["pins"].collect()} == {"left", "right", "top", "bottom"}
+    assert {(r["class"], r["confidence"]) for r in found["tokens"].collect()} == {("REFDES", 0.9), ("PIN_LABEL", 0.85), ("PIN_LABEL", 0.75), ("PIN_LABEL", 0.7), ("NET_LABEL", 0.7), ("JUNK", 0.0)}
+    nothing = pages.mapped(pages.extracted(views.v_drawing.limit(0), views.v_token.limit(0)))
+    assert nothing[0].count() == 0 and nothing[1].count() == 0
