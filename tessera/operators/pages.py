@@ -20,7 +20,7 @@ from tessera.functions import tokens as T
 from tessera.operators import spatial as S
 from tessera.operators.cluster import suppress_overlaps
 from tessera.operators.qualify import is_designator
-from tessera.sources.readers import broadcast_if_small, once
+from tessera.sources.readers import BROADCAST_ROWS, once
 
 # Sizes of bodies, ticks, balls and wires, reaches, and weights of the score.
 BODY_SIZES, BODY_ASPECTS, BODY_OVERLAP = (20.0, 500.0), (0.3, 3.0), 0.8
@@ -203,9 +203,13 @@ def store(df: DataFrame, path: str) -> None:
 
 
 def of_pages(spark: SparkSession, path: str, gate: DataFrame) -> DataFrame:
-    """The stored rows of the pages (page) of a gate; where they are few enough to broadcast, only their folders are read."""
-    gate = broadcast_if_small(gate.select("page", F.floor(F.col("page") / PAGES_PER_FOLDER).alias("folder")).distinct())
-    return spark.read.parquet(path).join(gate.filter("page IS NOT NULL"), ["folder", "page"], "left_semi").drop("folder")
+    """The stored rows of the pages (page) of a gate; where those are few enough to broadcast, only their folders are read.
+
+    The gate is a filter of a table that is computed already: its filter is what lets a scan be pruned by it.
+    """
+    gate = gate.select("page", F.floor(F.col("page") / PAGES_PER_FOLDER).alias("folder"))
+    gate = F.broadcast(gate) if gate.count() <= BROADCAST_ROWS else gate
+    return spark.read.parquet(path).join(gate, ["folder", "page"], "left_semi").drop("folder")
 
 
 def analyzed(spark: SparkSession, drawings: str, tokens: str, gate: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

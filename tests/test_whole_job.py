@@ -100,7 +100,7 @@ def test_gated_pages_are_pruned_where_they_are_read(spark, views, tmp_path):
     pages.store(drawings, path)
     read = pages.of_pages(spark, path, gate)
     plan = read._jdf.queryExecution().executedPlan().toString()
-    assert "dynamicpruning" in plan and "PartitionFilters: [isnotnull(folder" in plan
+    assert any("dynamicpruning" in line.split("PartitionFilters:")[1] for line in plan.splitlines() if "PartitionFilters:" in line)
     assert read.count() == views.v_drawing.filter("page < 3").count()
     assert pages.of_pages(spark, path, gate.limit(0)).count() == 0
 
