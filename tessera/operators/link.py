@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions import numeric as N
 from tessera.functions import tokens as T
@@ -47,9 +46,9 @@ def link(fmea: DataFrame, rates: DataFrame) -> DataFrame:
 
 def note_ratio_sums(linked: DataFrame) -> DataFrame:
     """linked with ratio_sum of each instance, and a note where it is not 1."""
-    total = F.when(F.col("instance") != "", F.sum("ratio").over(Window.partitionBy("instance")))
-    off = F.abs(total - 1) > N.RATIO_TOLERANCE
-    return linked.withColumn("ratio_sum", total).withColumn("notes", F.when(off, F.array_append("notes", F.lit("ratio sum"))).otherwise(F.col("notes")))
+    sums = linked.filter("instance <> ''").groupBy("instance").agg(F.sum("ratio").alias("ratio_sum"))
+    off = F.abs(F.col("ratio_sum") - 1) > N.RATIO_TOLERANCE
+    return linked.join(sums, "instance", "left").select(*linked.columns, "ratio_sum").withColumn("notes", F.when(off, F.array_append("notes", F.lit("ratio sum"))).otherwise(F.col("notes")))
 
 
 def function_rates(linked: DataFrame, func: str = "func") -> DataFrame:
@@ -95,5 +94,5 @@ def roll_up(rows: DataFrame, children: DataFrame, rates: DataFrame) -> DataFrame
     rolled = block & F.col("kids").isNotNull()
     mode = F.when(rolled, F.col("sum")).when(block & (F.col("listed") > 1), F.col("list_sum")).otherwise(F.col("mode_fr"))
     out = all_rows.select("row_no", "row_type", "func", "block_row", rolled.alias("rolled"), mode.alias("mode_fr"), F.when(~rolled, F.coalesce(mode, F.lit(0.0))).otherwise(0.0).alias("counted"))
-    total = F.when(T.clean(F.col("func")) != "", F.sum("counted").over(Window.partitionBy("func")))
-    return out.withColumn("function_fr", total)
+    totals = out.filter(T.clean(F.col("func")) != "").groupBy("func").agg(F.sum("counted").alias("function_fr"))
+    return out.join(totals, "func", "left").select(*out.columns, "function_fr")

@@ -38,8 +38,17 @@ add("win_occurrence", lambda v: C.occurrences(_twice(v), ["token"]).select("toke
     f"WITH {_twice_sql} SELECT token, row_no, occurrence, used FROM ({_occ.format(k='token')}) q WHERE n > 1", ("v_bom",))
 add("agg_dup_identity", lambda v: C.occurrences(_twice(v), ["token", "part_number"]).groupBy("token", "part_number").agg(F.count("*").alias("n")),
     f"WITH {_twice_sql} SELECT token, part_number, count(*) AS n FROM x GROUP BY 1, 2 HAVING count(*) > 1", ("v_bom",))
-_typed = lambda v: K.row_types(v.v_fmea, ["func"], "level", "cause", ["ratio"])
-_typed_sql = "y AS (SELECT *, CASE WHEN level = 'Circuit Block' THEN 'circuit_block' ELSE 'piece_part' END AS row_type FROM v_fmea)"
+
+
+def _row_types(view: str, *signals: str) -> str:
+    """Row types by the level cell: what a row says for itself, else, if it is blank, the last that said so."""
+    strong, n = " OR ".join(f"{s} <> ''" for s in signals), f"len({D.tokens('cause')})"
+    own = f"CASE WHEN level = 'Circuit Block' THEN 'circuit_block' WHEN level IN ('Piece Part', 'PP') THEN 'piece_part' WHEN level <> '' THEN NULL WHEN {strong} THEN 'piece_part' WHEN {n} >= 2 THEN 'circuit_block' WHEN {n} = 1 OR fmea_id <> '' THEN 'piece_part' END"
+    return f"SELECT * REPLACE (CASE WHEN level <> '' AND row_type IS NULL THEN 'other' ELSE coalesce(row_type, last_value(row_type IGNORE NULLS) OVER (ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'other') END AS row_type) FROM (SELECT *, {own} AS row_type FROM {view}) q"
+
+
+_typed = lambda v: K.row_types(v.v_fmea, [], "level", "cause", ["ratio"], "fmea_id")
+_typed_sql = f"y AS ({_row_types('v_fmea', 'ratio')})"
 _typed_tokens = lambda v: E.tokens(_typed(v), "cause", "row_type")
 add("agg_scope_sets", lambda v: _typed_tokens(v).filter(T.known_prefix(T.prefix(F.col("token")))).groupBy("row_type").agg(F.count_distinct("token").alias("n")),
     f"WITH {_typed_sql} SELECT row_type, count(DISTINCT cause) AS n FROM y WHERE cause <> '' GROUP BY 1", ("v_fmea",))
@@ -64,15 +73,19 @@ add("prj_best_cell", lambda v: v.v_bom.select("row_no", K.best_cell({c: F.col(c)
     "SELECT row_no, 'ref_des' AS \"column\", ref_des AS value FROM v_bom", ("v_bom",))
 
 # row types
-add("win_row_type_ffill", lambda v: _typed(v).select("row_no", "row_type"), f"WITH {_typed_sql} SELECT row_no, row_type FROM y", ("v_fmea",))
-add("win_row_scan", lambda v: K.scanned_types(v.v_fmea, ["func"], ["fmea_id", "level", "cause"]).select("row_no", "row_type"),
-    """SELECT row_no, coalesce(last_value(d IGNORE NULLS) OVER (PARTITION BY func ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'other') AS row_type
-    FROM (SELECT row_no, func, CASE level WHEN 'Circuit Block' THEN 'circuit_block' WHEN 'Piece Part' THEN 'piece_part' END AS d FROM v_fmea) q""", ("v_fmea",))
-add("win_group_ffill", lambda v: K.attach_blocks(_typed(v), ["func"], "fmea_id").select("row_no", "block", "orphan"),
-    """SELECT row_no, block, block IS NULL AS orphan FROM (SELECT row_no, level, last_value(CASE WHEN level = 'Circuit Block' THEN fmea_id END IGNORE NULLS) OVER (PARTITION BY func ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS block FROM v_fmea) q WHERE level <> 'Circuit Block'""", ("v_fmea",))
-add("win_function_groups", lambda v: K.attach_blocks(_typed(v), ["func"], "fmea_id").groupBy("block").agg(F.min("row_no").alias("first_row"), F.max("row_no").alias("last_row"), F.count("*").alias("n")),
-    """WITH f AS (SELECT row_no, level, last_value(CASE WHEN level = 'Circuit Block' THEN fmea_id END IGNORE NULLS) OVER (PARTITION BY func ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS block FROM v_fmea)
-    SELECT block, min(row_no) AS first_row, max(row_no) AS last_row, count(*) AS n FROM f WHERE level <> 'Circuit Block' GROUP BY 1""", ("v_fmea",))
+_sheet = lambda v: K.row_types(v.v_sheet, [], "level", "cause", ["ratio", "usage"], "fmea_id")
+_sheet_sql = f"y AS ({_row_types('v_sheet', 'ratio', 'usage')})"
+add("win_row_type_ffill", lambda v: _sheet(v).select("row_no", "row_type"), f"WITH {_sheet_sql} SELECT row_no, row_type FROM y", ("v_sheet",))
+_several = f"len({D.tokens('cause')}) >= 2"
+add("win_row_scan", lambda v: K.scanned_types(v.v_sheet, [], ["fmea_id", "level", "cause"], "cause", ["ratio", "usage"], "fmea_id").select("row_no", "row_type"),
+    f"""WITH q AS (SELECT *, CASE WHEN level = 'Circuit Block' THEN 'circuit_block' WHEN level IN ('Piece Part', 'PP') OR ratio <> '' OR usage <> '' THEN 'piece_part' WHEN {_several} THEN 'circuit_block' END AS own FROM v_sheet),
+    f AS (SELECT *, last_value(own IGNORE NULLS) OVER (ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM q)
+    SELECT row_no, CASE WHEN own IS NOT NULL THEN own WHEN fmea_id <> '' AND before = 'piece_part' THEN 'piece_part' ELSE 'other' END AS row_type FROM f""", ("v_sheet",))
+_blocks = f"""{_sheet_sql}, f AS (SELECT row_no, row_type, last_value(CASE WHEN row_type = 'circuit_block' THEN fmea_id END IGNORE NULLS) OVER (ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS block FROM y),
+    p AS (SELECT row_no, nullif(block, '') AS block FROM f WHERE row_type = 'piece_part')"""
+add("win_group_ffill", lambda v: K.attach_blocks(_sheet(v), [], "fmea_id").select("row_no", "block", "orphan"), f"WITH {_blocks} SELECT row_no, block, block IS NULL AS orphan FROM p", ("v_sheet",))
+add("win_function_groups", lambda v: K.attach_blocks(_sheet(v), [], "fmea_id").groupBy("block").agg(F.min("row_no").alias("first_row"), F.max("row_no").alias("last_row"), F.count("*").alias("n")),
+    f"WITH {_blocks} SELECT block, min(row_no) AS first_row, max(row_no) AS last_row, count(*) AS n FROM p GROUP BY 1", ("v_sheet",))
 add("prj_level_col", lambda v: v.v_fmea.agg(F.max(T.circuit_block_text(F.col("level")) | T.piece_part_text(F.col("level"))).alias("level"), F.max(T.circuit_block_text(F.col("func"))).alias("func")), "SELECT true AS level, false AS func FROM v_fmea LIMIT 1", ("v_fmea",))
 add("prj_refdes_col", lambda v: v.v_bom.select(*(F.round(F.avg((T.find_base(F.col(c)) != "").cast("int")), 6).alias(c) for c in ("ref_des", "hda_level1"))),
     "SELECT round(avg(CASE WHEN regexp_matches(ref_des, '\\b[A-Z]{1,6}[0-9]{1,5}[A-Z]?\\b') THEN 1 ELSE 0 END), 6) AS ref_des, round(avg(CASE WHEN regexp_matches(hda_level1, '(?i)\\b[A-Z]{1,6}[0-9]{1,5}[A-Z]?\\b') THEN 1 ELSE 0 END), 6) AS hda_level1 FROM v_bom", ("v_bom",))

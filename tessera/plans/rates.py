@@ -13,7 +13,7 @@ from tessera.sources.readers import once
 
 VIEWS = ("v_fmea", "v_pred")
 rates = lambda v: R.rates(v.v_pred)
-linked = lambda v: R.link(K.row_types(v.v_fmea, ["func"], "level", "cause", ["ratio"]), rates(v))
+linked = lambda v: R.link(K.row_types(v.v_fmea, [], "level", "cause", ["ratio"], "fmea_id"), rates(v))
 _rate = f"""ra AS (SELECT {D.lookup('pred_ref')} AS ref, CASE WHEN pred_fr = 'TBD' THEN 0 ELSE TRY_CAST(pred_fr AS DOUBLE) END AS r, pred_fr = 'TBD' AS bad, pred_ref || '=' || pred_fr AS pair FROM v_pred),
 rt AS (SELECT ref, max(r)::DOUBLE AS rate, bool_or(bad) AS flagged, CASE WHEN count(*) = 1 THEN 'single' WHEN count(DISTINCT r) = 1 THEN 'benign' ELSE 'conflict' END AS kind, string_agg(DISTINCT pair, ', ' ORDER BY pair) AS p FROM ra GROUP BY 1)"""
 add("agg_pred_max", rates, f"WITH {_rate} SELECT ref, rate, flagged, kind, CASE WHEN kind = 'conflict' THEN p END AS pairs FROM rt", VIEWS)
@@ -50,7 +50,7 @@ SELECT f.row_no, block_row FROM f JOIN l ON cause = ref WHERE level <> 'Circuit
 def _rolled(v):
     """The linked rows serve the children and the roll-up, the rates the link and the lists."""
     rate = once(rates(v))
-    rows = once(R.link(K.row_types(v.v_fmea, ["func"], "level", "cause", ["ratio"]), rate))
+    rows = once(R.link(K.row_types(v.v_fmea, [], "level", "cause", ["ratio"], "fmea_id"), rate))
     out = R.roll_up(rows, R.children_by_id(rows), rate)
     return out.select("row_no", "rolled", F.round("mode_fr", 4).alias("mode_fr"), F.round("function_fr", 4).alias("function_fr"))
 

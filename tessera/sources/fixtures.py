@@ -71,6 +71,11 @@ VIEWS: dict[str, tuple[str, str]] = {
         CASE WHEN k % 19 = 0 THEN '' WHEN k % 23 = 0 THEN '-3' ELSE '1' END AS usage, 'F' || {_s('g % 50')} AS func
         FROM v_group_item CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 AS n) t WHERE ref NOT LIKE 'TP%'"""
     ),
+    "v_sheet": _both(
+        f"""SELECT k + 2 AS row_no, CASE m WHEN 0 THEN 'Circuit Block' WHEN 1 THEN 'Piece Part' WHEN 2 THEN 'PP' WHEN 3 THEN 'see note' ELSE '' END AS level,
+        CASE WHEN m IN (0, 4) THEN ref || ', C' || {_s('k')} WHEN m IN (1, 5) THEN ref ELSE '' END AS cause, CASE WHEN m IN (1, 6) THEN '0.4' ELSE '' END AS ratio,
+        CASE WHEN m = 7 THEN '1' ELSE '' END AS usage, CASE WHEN m IN (0, 8, 9) THEN 'BLK-' || {_s('k')} ELSE '' END AS fmea_id FROM (SELECT *, (k * 7 + CAST(floor(k / 13.0) AS BIGINT)) % 17 AS m FROM v_part ) q"""
+    ),
     "v_old_bom": _both("SELECT row_no, ref_des, part_number, description, page FROM v_bom WHERE k % 12 <> 1"),
     "v_new_bom": _both(
         """SELECT row_no, CASE WHEN k % 22 = 0 THEN split_part(ref_des, '-1', 1) ELSE ref_des END AS ref_des, part_number,

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import labels, numeric, tokens
-from tessera.operators import audit, classify, cluster, compare, explode, unified
+from tessera.operators import audit, classify, cluster, compare, explode, ranges, unified
 from tessera.sources import headers, readers
 from tessera.streaming import heartbeats
 
@@ -112,3 +112,64 @@ def test_streamed_sessions_match_batch(spark, tmp_path):
     batch = {tuple(r) for r in heartbeats.sessions(events, "1 hour").collect()}
     streamed = {tuple(r) for r in spark.table("sessions").collect()}
     assert streamed and streamed <= batch
+
+
+def sheet_rows():
+    r = np.random.default_rng(8)
+    kinds = [("Circuit Block", "R1, C2", "", ""), ("PP", "R1", "", ""), ("", "R1", "", ""), ("", "R1, C2", "", ""), ("", "", "0.5", ""), ("", "", "", ""), ("", "", "", ""), ("", "", "", "BLK-1"), ("note", "R1", "1", ""), (None, None, None, None), ("", "R1, C2", "", "BLK-2")]
+    return [(str(f), k * 3 + 5, *kinds[i]) for f, n in (("a", 700), ("b", 3), ("c", 90)) for k, i in enumerate(r.integers(0, len(kinds), n))]
+
+
+def typed_by_hand(rows, by_level):
+    out, last = {}, {}
+    for file, row_no, level, cause, ratio, fmea_id in rows:
+        level, n, before = level or "", len([t for t in (cause or "").split(", ") if t]), last.get(file, "other")
+        kind = {"Circuit Block": "circuit_block", "PP": "piece_part"}.get(level)
+        if kind is None and (not level or not by_level):
+            if ratio:
+                kind = "piece_part"
+            elif n >= 2:
+                kind = "circuit_block"
+            elif n == 1 and by_level:
+                kind = "piece_part"
+            elif fmea_id and n <= 1 and (by_level or before == "piece_part"):
+                kind = "piece_part"
+            elif by_level:
+                kind = before
+        out[file, row_no] = kind or "other"
+        if out[file, row_no] != "other":
+            last[file] = out[file, row_no]
+    return out
+
+
+@pytest.mark.parametrize("size", [10**9, 33, 4])
+def test_row_types_by_ranges(spark, size):
+    """One range, sixty-four, and ranges of ranges give the same types, which are those of a walk along each file."""
+    rows = sheet_rows()
+    df = spark.createDataFrame(rows, "file string, row_no long, level string, cause string, ratio string, fmea_id string").repartition(5)
+    typed = classify.row_types(df, ["file"], "level", "cause", ["ratio"], "fmea_id", size=size)
+    assert typed.columns == [*df.columns, "row_type"]
+    assert {(r["file"], r["row_no"]): r["row_type"] for r in typed.collect()} == typed_by_hand(rows, True)
+    scanned = classify.scanned_types(df, ["file"], ["fmea_id", "level", "cause"], "cause", ["ratio"], "fmea_id", size=size)
+    assert {(r["file"], r["row_no"]): r["row_type"] for r in scanned.collect()} == typed_by_hand(rows, False)
+    block, want, kinds = {}, {}, typed_by_hand(rows, True)
+    for file, row_no, *_, fmea_id in rows:
+        kind = kinds[file, row_no]
+        if kind == "circuit_block":
+            block[file] = fmea_id or None
+        elif kind == "piece_part":
+            want[file, row_no] = block.get(file)
+    parts = classify.attach_blocks(typed, ["file"], "fmea_id", size=size).collect()
+    assert {(r["file"], r["row_no"]): r["block"] for r in parts} == want and all(r["orphan"] == (r["block"] is None) for r in parts)
+    assert classify.row_types(df.limit(0), ["file"], "level", "cause", ["ratio"], size=size).count() == 0
+
+
+def test_running_values(spark):
+    rows = [(k, k if k % 7 == 3 else None) for k in range(0, 400, 2)]
+    df = spark.createDataFrame(rows, "pos long, v long").repartition(3)
+    for size in (1000, 8):
+        got = {r["pos"]: (r["before"], r["upto"]) for r in ranges.carried(ranges.carried(df, [], "pos", "v", "before", size=size), [], "pos", "v", "upto", inclusive=True, size=size).collect()}
+        last = None
+        for pos, v in rows:
+            assert got[pos] == (last, v if v is not None else last)
+            last = v if v is not None else last
