@@ -69,9 +69,9 @@ def carried(rows: DataFrame, by: list[str], pos: str, value: str, name: str, inc
     ends = once(rows.groupBy(*by, "_range").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(pos))).alias("_end")))
     if ends.groupBy(*by).count().filter(F.col("count") > size).isEmpty():
         whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-        before = ends.withColumn("_before", F.last("_end", ignorenulls=True).over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)))
+        before = ends.withColumn("_start", F.last("_end", ignorenulls=True).over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)))
     else:
-        before = carried(ends.withColumnRenamed("_range", "_place"), by, "_place", "_end", "_before", size=size).withColumnRenamed("_place", "_range")
-    met = _joined(rows, broadcast_if_small(before.select(*by, "_range", "_before")), [*by, "_range"])
+        before = carried(ends.withColumnRenamed("_range", "_place"), by, "_place", "_end", "_start", size=size).withColumnRenamed("_place", "_range")
+    met = _joined(rows, broadcast_if_small(before.select(*by, "_range", "_start")), [*by, "_range"])
     own = F.last(value, ignorenulls=True).over(Window.partitionBy(*by, "_range").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    return met.withColumn(name, F.coalesce(own, "_before")).drop("_range", "_before")
+    return met.withColumn("_out", F.coalesce(own, "_start")).drop("_range", "_start").withColumnRenamed("_out", name)
