@@ -168,10 +168,17 @@ def coverage_key(c: Column) -> Column:
     return F.when(b.rlike(r"\d"), b).otherwise("")
 
 
+def suffix_notation(t: Column) -> Column:
+    """Whether a canonical token is an instance or pin of what stands before its first hyphen, and no range such as J1-J5."""
+    rest = F.regexp_extract(t, "^[^-]*-(.*)$", 1)
+    span = (F.char_length(rest) > 1) & F.startswith(rest, F.regexp_extract(t, "^([A-Z]+)", 1))
+    return t.contains("-") & ~span & (instance_notation(t) | pin_notation(t))
+
+
 def is_suffix_of(token: Column, of: Column) -> Column:
     """Whether a hyphenated token is an instance or pin of the given base."""
     t = canonical(token)
-    return t.contains("-") & (instance_notation(t) | pin_notation(t) | t.rlike(r"^[A-Z]+\d+[A-Z]?-[A-Z]?\d*$")) & (usage_base(t) == of) & (F.size(expand_range(t)) == 1)
+    return (t != of) & suffix_notation(t) & (usage_base(t) == of)
 
 
 def part_number(c: Column) -> Column:

@@ -121,23 +121,105 @@ _pins = "CASE k % 3 WHEN 0 THEN ref || '-' || CAST(k % 9 AS VARCHAR(9)) WHEN 1 T
 add("src_pinlist", lambda v: v.v_part.selectExpr(f"{_pins} AS t").select(T.pin_id(F.col("t")).alias("pin")).distinct(), "SELECT DISTINCT ref || '-' || (k % 9) AS pin FROM v_part", ("v_part",))
 
 # merge
-MERGED = ["part_number", "description", "page"]
-_car = f"""{O}, {W}, os AS (SELECT token, {D.stem('token')} AS base, min(row_no) AS old_row FROM o WHERE contains(token, '-') AND token <> {D.stem('token')} AND token NOT IN (SELECT token FROM w) GROUP BY 1, 2),
-car AS (SELECT n.row_no AS new_row, base, os.token, old_row FROM os JOIN (SELECT token, min(row_no) AS row_no FROM w GROUP BY 1) n ON n.token = base)"""
-_stat = f"""{_car}, fo AS (SELECT token, min(row_no) AS old_row FROM o GROUP BY 1), ma AS (SELECT w.row_no, min(old_row) AS old_row FROM w LEFT JOIN fo ON w.token = fo.token GROUP BY 1),
-st AS (SELECT n.row_no, n.ref_des, ma.old_row, concat_ws(', ', CASE WHEN n.part_number <> q.part_number THEN 'part_number' END, CASE WHEN n.description <> '' AND lower(n.description) <> lower(q.description) THEN 'description' END, CASE WHEN n.page <> q.page THEN 'page' END) AS ch
-FROM v_new_bom n LEFT JOIN ma ON n.row_no = ma.row_no LEFT JOIN v_old_bom q ON q.row_no = ma.old_row),
-sx AS (SELECT row_no, ref_des, CASE WHEN row_no IN (SELECT new_row FROM car) THEN 'Superseded' WHEN old_row IS NULL THEN 'Added' WHEN ch <> '' THEN 'Changed' ELSE '' END AS status, CASE WHEN old_row IS NULL THEN '' ELSE ch END AS changes FROM st)"""
-add("merge_carry", lambda v: U.carried(v.v_old_bom, v.v_new_bom), f"WITH {_car} SELECT new_row, base, token, old_row FROM car", PAIR)
-add("win_carry_once", lambda v: U.carried(v.v_old_bom, v.v_new_bom).groupBy("base").agg(F.count_distinct("new_row").alias("rows")), f"WITH {_car} SELECT base, 1::BIGINT AS rows FROM car GROUP BY 1", PAIR)
-add("merge_matched_row", lambda v: U.statuses(v.v_old_bom, v.v_new_bom, MERGED), f"WITH {_stat} SELECT row_no, status, changes FROM sx", PAIR)
+_known = f"""{O}, {W}, fo AS (SELECT token, min(row_no) AS old_row, min_by(pos, row_no * 1000 + pos) AS old_pos FROM o GROUP BY 1), fw AS (SELECT token, min(row_no) AS new_row, min_by(pos, row_no * 1000 + pos) AS new_pos FROM w GROUP BY 1),
+kn AS (SELECT coalesce(fo.token, fw.token) AS token, {D.stem('coalesce(fo.token, fw.token)')} AS base, old_row, old_pos, new_row, new_pos FROM fo FULL JOIN fw ON fo.token = fw.token),
+ba AS (SELECT token AS base, min(row_no) AS entry FROM (SELECT row_no, min(token) AS token FROM w GROUP BY 1 HAVING count(*) = 1) q WHERE token = {D.stem('token')} GROUP BY 1),
+car AS (SELECT kn.*, entry, row_number() OVER (PARTITION BY entry ORDER BY old_row, old_pos) AS nth, count(*) OVER (PARTITION BY entry) AS of_n FROM kn JOIN ba USING (base) WHERE old_row IS NOT NULL AND new_row IS NULL AND {D.suffix('token', 'base')}),
+mt AS (SELECT new_row AS entry, old_row, string_agg(token, ', ' ORDER BY token) AS toks FROM kn WHERE old_row IS NOT NULL AND new_row IS NOT NULL GROUP BY 1, 2),
+tk AS (SELECT old_row, entry, 0 AS c_row, 0 AS c_pos FROM mt UNION ALL SELECT old_row, entry, old_row, old_pos + 1 FROM car),
+co AS (SELECT old_row, entry, c_row, c_pos FROM (SELECT *, row_number() OVER (PARTITION BY old_row ORDER BY entry, c_row, c_pos) AS rn FROM tk) q WHERE rn = 1),
+rp AS (SELECT kn.old_row, o.row_no, o.pos, 'Duplicate RefDes ' || o.token || ' in Old BOM — old row ' || o.row_no || ' was not merged (first occurrence used)' AS note FROM o JOIN kn ON o.token = kn.token WHERE (o.row_no, o.pos) <> (kn.old_row, kn.old_pos))"""
+# one row for each matched old row and column, in order; kept is the first old value that is not blank
+_cells = lambda: " UNION ALL ".join(
+    f"SELECT entry, old_row, toks, several, {k} AS c, '{name}' AS name, {o} AS ov, {n} AS nv, {'true' if shared else 'false'} AS shared FROM mj"
+    for k, (name, o, n, shared) in enumerate((("part_number", "o_part_number", "n_part_number", True), ("description", "o_description", "n_description", True), ("page", "o_page", "n_page", True), ("legacy", "o_legacy", "''", False))))
+_num = "'^[+-]?[0-9]+([.][0-9]*)?$'"
+_norm = lambda x: f"CASE WHEN regexp_matches({x}, {_num}) THEN regexp_replace(regexp_replace({x}, '([.][0-9]*?)0+$', '\\1'), '[.]$', '') ELSE lower({x}) END"
+_rows = f"""{_known}, mj AS (SELECT mt.*, count(*) OVER (PARTITION BY mt.entry) > 1 AS several, b.part_number AS o_part_number, b.description AS o_description, b.page AS o_page, b.legacy AS o_legacy, n.part_number AS n_part_number, n.description AS n_description, n.page AS n_page
+    FROM mt JOIN v_old_bom b ON b.row_no = mt.old_row JOIN v_new_bom n ON n.row_no = mt.entry),
+ce AS (SELECT * FROM ({_cells()}) q WHERE ov <> ''),
+ck AS (SELECT *, first_value(ov) OVER (PARTITION BY entry, c ORDER BY old_row) AS kept, row_number() OVER (PARTITION BY entry, c ORDER BY old_row) = 1 AS is_first FROM ce),
+cn AS (SELECT entry, old_row, c, nv = '' AS flag, CASE WHEN several THEN '[' || toks || '] ' ELSE '' END || CASE WHEN nv <> '' THEN CASE WHEN {_norm('ov')} <> {_norm('nv')} THEN name || ' changed from "' || ov || '" to "' || nv || '"' END
+    WHEN is_first THEN CASE WHEN shared THEN name || ': kept old value "' || ov || '" (new was blank)' END WHEN {_norm('kept')} <> {_norm('ov')} THEN name || ': differing old values — kept "' || kept || '"' END AS note FROM ck),
+vl AS (SELECT entry, max(kept) FILTER (name = 'description') AS k_description, max(kept) FILTER (name = 'page') AS k_page, max(kept) FILTER (name = 'legacy') AS k_legacy FROM ck WHERE is_first GROUP BY 1),
+cb AS (SELECT base AS token, min(entry) AS carrier FROM car GROUP BY 1),
+ls AS (SELECT w.row_no AS entry, w.pos, w.token, old_row IS NOT NULL OR coalesce(carrier < w.row_no, false) AS found FROM w JOIN kn ON w.token = kn.token LEFT JOIN cb ON cb.token = w.token),
+lc AS (SELECT entry, bool_and(NOT found) AS all_new, bool_or(found) AS found FROM ls GROUP BY 1),
+hd AS (SELECT entry, count(*) AS n, min_by(token, nth) AS a, max_by(token, nth) AS z FROM car GROUP BY 1),
+nt AS (SELECT entry, 1 AS part, pos AS p, 0 AS q, 'Duplicate RefDes ' || w.token || ' — first occurrence (row ' || new_row || ') was used for matching' AS note, 1 AS flag FROM (SELECT row_no AS entry, * FROM w) w JOIN kn ON w.token = kn.token WHERE (w.row_no, w.pos) <> (new_row, new_pos)
+    UNION ALL SELECT co.entry, 2, rp.old_row * 1000000 + rp.row_no, rp.pos, note, 1 FROM rp JOIN co ON rp.old_row = co.old_row WHERE c_row = 0
+    UNION ALL SELECT entry, 3, old_row, c, note, flag::INT FROM cn WHERE note IS NOT NULL),
+na AS (SELECT entry, string_agg(note, '; ' ORDER BY part, p, q) AS notes, sum(flag) AS flags FROM nt GROUP BY 1),
+ad AS (SELECT entry, string_agg(token || ' is not in Old BOM — new on this row', '; ' ORDER BY pos) AS notes FROM ls WHERE NOT found GROUP BY 1),
+ma AS (SELECT n.row_no AS entry, n.ref_des, n.part_number, CASE WHEN n.description <> '' THEN n.description ELSE coalesce(k_description, '') END AS description, CASE WHEN n.page <> '' THEN n.page ELSE coalesce(k_page, '') END AS page, n.grade, coalesce(k_legacy, '') AS legacy, coalesce(na.flags, 0)::INT AS flags,
+    CASE WHEN hd.n IS NOT NULL THEN 'Superseded' WHEN all_new THEN 'Added' WHEN na.notes IS NOT NULL OR ad.notes IS NOT NULL THEN 'Changed' ELSE '' END AS status,
+    CASE WHEN hd.n IS NOT NULL THEN 'New BOM (superseded)' WHEN all_new THEN 'New BOM only' WHEN lc.found THEN 'Both' ELSE 'New BOM only' END AS source,
+    concat_ws('; ', CASE WHEN hd.n IS NOT NULL THEN 'Superseded by ' || hd.n || ' carried rows (' || hd.a || CASE WHEN hd.n > 1 THEN ' … ' || hd.z ELSE '' END || ') — delete this row' WHEN all_new THEN 'Not in Old BOM — new part; add to the FMEAs' END, na.notes, CASE WHEN hd.n IS NULL AND NOT coalesce(all_new, false) THEN ad.notes END) AS notes
+    FROM v_new_bom n LEFT JOIN hd ON hd.entry = n.row_no LEFT JOIN lc ON lc.entry = n.row_no LEFT JOIN na ON na.entry = n.row_no LEFT JOIN ad ON ad.entry = n.row_no LEFT JOIN vl ON vl.entry = n.row_no)"""
+_lo = lambda c: f"CASE WHEN o_{c} <> '' THEN {_norm('o_' + c)} END"
+_agree = lambda c: ", ".join(f"{f}({_lo(c)}) OVER (PARTITION BY entry) AS {f}_{c}" for f in ("min", "max")) + f", min_by(o_{c}, CASE WHEN o_{c} <> '' THEN nth END) OVER (PARTITION BY entry) AS c_{c}"
+_over = lambda c: f"(coalesce(min_{c} = max_{c}, false) AND n_{c} <> '' AND {_norm('c_' + c)} <> {_norm('n_' + c)})"
+_carried_value = lambda c: f"CASE WHEN {_over(c)} THEN n_{c} WHEN o_{c} <> '' THEN o_{c} WHEN min_{c} IS NULL THEN n_{c} WHEN min_{c} = max_{c} THEN c_{c} ELSE '' END"
+_said = lambda c: f"CASE WHEN {_over(c)} THEN '{c} updated from \"' || c_{c} || '\" to \"' || n_{c} || '\" by New BOM' END"
+_three = ("part_number", "description", "page")
+_carry = f"""cj AS (SELECT car.*, b.part_number AS o_part_number, b.description AS o_description, b.page AS o_page, b.legacy, n.part_number AS n_part_number, n.description AS n_description, n.page AS n_page, n.grade FROM car JOIN v_old_bom b ON b.row_no = car.old_row JOIN v_new_bom n ON n.row_no = car.entry),
+cg AS (SELECT *, {', '.join(map(_agree, _three))} FROM cj),
+rc AS (SELECT co.entry, co.c_row, co.c_pos, string_agg(note, '; ' ORDER BY rp.row_no, rp.pos) AS notes, count(*) AS n FROM rp JOIN co ON rp.old_row = co.old_row WHERE c_row > 0 GROUP BY 1, 2, 3),
+cc AS (SELECT cg.entry, old_row AS c_row, old_pos + 1 AS c_pos, token AS ref_des, {', '.join(f'{_carried_value(c)} AS {c}' for c in _three)}, grade, legacy, (coalesce(rc.n, 0) + CASE WHEN nth = 1 THEN {' + '.join(f'{_over(c)}::INT' for c in _three)} ELSE 0 END)::INT AS flags,
+    concat_ws('; ', 'Carried forward from Old BOM (manual suffix row of ' || base || ')', {', '.join(map(_said, _three))}, rc.notes) AS notes FROM cg LEFT JOIN rc ON rc.entry = cg.entry AND rc.c_row = cg.old_row AND rc.c_pos = cg.old_pos + 1)"""
 _odnp = "regexp_matches(ref_des || ' ' || description, '(?i)(\\bDNP\\b|\\bNF\\b)')"
-_del = f"de AS (SELECT token, min(row_no) AS old_row FROM o WHERE NOT {_odnp} AND token NOT IN (SELECT token FROM w) AND token NOT IN (SELECT token FROM car) GROUP BY 1)"
-_anc = f"""{_del}, fn AS (SELECT token, min(row_no) AS new_row FROM w GROUP BY 1), co AS (SELECT o.row_no, max(new_row) AS new_row FROM o JOIN fn ON o.token = fn.token GROUP BY 1),
-pl AS (SELECT b.row_no, last_value(co.new_row IGNORE NULLS) OVER (ORDER BY b.row_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS after FROM v_old_bom b LEFT JOIN co ON b.row_no = co.row_no), an AS (SELECT token, old_row, coalesce(after, -1) AS after FROM de JOIN pl ON pl.row_no = de.old_row)"""
-add("win_delete_anchor", lambda v: U.anchors(v.v_old_bom, v.v_new_bom), f"WITH {_car}, {_anc} SELECT token, old_row, after FROM an", PAIR)
-add("merge_unified", lambda v: U.unified(v.v_old_bom, v.v_new_bom, MERGED),
-    f"WITH {_stat}, {_anc} SELECT row_no AS entry, 0::BIGINT AS seq, status, 'New' AS source, ref_des AS refs FROM sx UNION ALL SELECT new_row, 1, 'Carried', 'Old', token FROM car UNION ALL SELECT after, 2 + old_row, 'Deleted', 'Old', token FROM an", PAIR)
+_gone = f"""ge AS (SELECT kn.token, kn.base, kn.old_row, kn.old_pos FROM kn JOIN v_old_bom b ON b.row_no = kn.old_row WHERE new_row IS NULL AND kn.token NOT IN (SELECT token FROM car) AND NOT {_odnp}),
+pl AS (SELECT b.row_no AS old_row, last_value(CASE WHEN co.entry IS NOT NULL THEN {{'entry': co.entry, 'c_row': co.c_row, 'c_pos': co.c_pos}} END IGNORE NULLS) OVER (ORDER BY b.row_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hold FROM v_old_bom b LEFT JOIN co ON b.row_no = co.old_row)"""
+_dels = f"""{_gone}, rf AS (SELECT old_row, string_agg(note, '; ' ORDER BY row_no, pos) AS notes, count(*) AS n FROM rp WHERE old_row NOT IN (SELECT old_row FROM co) GROUP BY 1),
+gn AS (SELECT row_no, count(*) AS n FROM o GROUP BY 1),
+de AS (SELECT coalesce(hold.entry, -1) AS entry, coalesce(hold.c_row, 0) AS c_row, coalesce(hold.c_pos, 0) AS c_pos, ge.old_row AS g_row, ge.old_pos + 1 AS g_pos, ge.token AS ref_des, b.part_number, b.description, b.page, b.legacy, coalesce(rf.n, 0)::INT AS flags,
+    concat_ws('; ', CASE WHEN ge.token <> ge.base AND ge.base IN (SELECT token FROM w) THEN ge.token || ' is not in New BOM, but its base ' || ge.base || ' is — manual expansion was not auto-carried; review before deleting'
+    WHEN ge.token = ge.base AND ge.base IN (SELECT {D.stem('token')} FROM w WHERE token <> {D.stem('token')}) THEN ge.token || ' is not in New BOM as a bare row, but its expansion rows are — likely replaced by suffix rows; review before deleting' ELSE 'Not in New BOM — remove from the FMEAs' END,
+    CASE WHEN gn.n > 1 THEN 'From an old row listing "' || b.ref_des || '"' END, rf.notes) AS notes
+    FROM ge JOIN v_old_bom b ON b.row_no = ge.old_row JOIN pl ON pl.old_row = ge.old_row JOIN gn ON gn.row_no = ge.old_row LEFT JOIN rf ON rf.old_row = ge.old_row AND ge.old_pos = (SELECT min(g2.old_pos) FROM ge g2 WHERE g2.old_row = ge.old_row))"""
+_merged_columns = "part_number, description, page, grade, legacy, flags"
+_unified = f"""WITH {_rows}, {_carry}, {_dels}
+SELECT entry, 0::BIGINT AS carried_row, 0 AS carried_pos, 0::BIGINT AS gone_row, 0 AS gone_pos, ref_des, {_merged_columns}, status AS "Status", source AS "Source", notes AS "Change Notes" FROM ma
+UNION ALL SELECT entry, c_row, c_pos::INT, 0, 0, ref_des, {_merged_columns}, 'Carried', 'Old BOM (carried)', notes FROM cc
+UNION ALL SELECT entry, c_row, c_pos::INT, g_row, g_pos::INT, ref_des, part_number, description, page, '', legacy, flags, 'Delete', 'Old BOM only', notes FROM de"""
+_unified_query = lambda v: U.unified(v.v_old_bom, v.v_new_bom)
+add("merge_carry", lambda v: U.carried(v.v_old_bom, v.v_new_bom), f"WITH {_known} SELECT entry AS new_row, base, token, old_row FROM car", PAIR)
+# every base that old instances could be carried to, however many new rows list it bare: one of them carries
+add("win_carry_once", lambda v: U.carried(v.v_old_bom, v.v_new_bom.unionByName(v.v_new_bom.filter("row_no % 3 = 0").withColumn("row_no", F.col("row_no") + 100000))).groupBy("base").agg(F.min("new_row").alias("first_row"), F.count_distinct("new_row").alias("rows")),
+    f"WITH {_known.replace('FROM v_new_bom', 'FROM (SELECT * FROM v_new_bom UNION ALL SELECT * REPLACE (row_no + 100000 AS row_no) FROM v_new_bom WHERE row_no % 3 = 0)')} SELECT base, min(entry) AS first_row, count(DISTINCT entry) AS rows FROM car GROUP BY 1", PAIR)
+
+
+def _matched(v):
+    plan, columns = U.planned(v.v_old_bom, v.v_new_bom, "ref_des")
+    rows = U.matched_rows(U.Sides(v.v_old_bom, v.v_new_bom, "ref_des"), columns)
+    return rows.select("entry", "status", "source", F.array_join("notes", "; ").alias("notes"), "flags", F.col("key").alias("ref_des"), *(F.col(f"v{k}").alias(name) for k, (name, *_) in enumerate(columns)))
+
+
+add("merge_matched_row", _matched, f"WITH {_rows} SELECT entry, status, source, notes, ref_des, {_merged_columns} FROM ma", PAIR)
+add("win_delete_anchor", lambda v: U.anchors(v.v_old_bom, v.v_new_bom).select("token", "old_row", "entry", "carried_row"),
+    f"WITH {_known}, {_gone} SELECT token, ge.old_row, coalesce(hold.entry, -1) AS entry, coalesce(hold.c_row, 0) AS carried_row FROM ge JOIN pl USING (old_row)", PAIR)
+add("merge_unified", _unified_query, _unified, PAIR)
+
+
+def _clashing(v):
+    """Headers that clash: case and blanks, a pair against a name, two old columns for one new, and columns named like the tool's."""
+    old = v.v_old_bom.select("row_no", "ref_des", F.col("part_number").alias("Part_Number "), F.col("description").alias("Details"), F.col("legacy").alias("DESCRIPTION"), F.col("page").alias("details (old)"), F.lit("x").alias("status"))
+    new = v.v_new_bom.select("row_no", "ref_des", "part_number", "description", F.col("page").alias("Change Notes"), F.col("grade").alias("Details"))
+    pairs = [("details", "Description"), ("no such", "Details"), ("DETAILS ", "details")]
+    plan, columns = U.planned(old, new, "ref_des", pairs)
+    rows = U.unified(old, new, pairs=pairs, description=None)
+    data = [c for c in plan.columns if c not in plan.tool.values() and c != "ref_des"]
+    shown = F.array(*(F.struct(F.lit(k).alias("place"), F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for k, c in enumerate(data)))
+    tool = F.lit(", ".join(plan.tool.values()))
+    return rows.filter("carried_row = 0 AND gone_row = 0").select("entry", F.explode(shown).alias("s"), tool.alias("tool"), F.lit(len(plan.notes)).alias("unsettled")).select("entry", "s.*", "tool", "unsettled")
+
+
+# part_number by name; Details by its pair to description, so DESCRIPTION and then "details (old)" keep columns of their own beside the new Details
+add("gen_plan_columns", _clashing,
+    f"""WITH {_known}, m AS (SELECT n.row_no AS entry, n.*, list(b.description ORDER BY b.row_no) FILTER (b.description <> '') AS d, list(b.legacy ORDER BY b.row_no) FILTER (b.legacy <> '') AS l, list(b.page ORDER BY b.row_no) FILTER (b.page <> '') AS g, count(b.row_no) AS met
+        FROM v_new_bom n LEFT JOIN mt ON mt.entry = n.row_no LEFT JOIN v_old_bom b ON b.row_no = mt.old_row GROUP BY ALL)
+    SELECT entry, unnest(range(0, 7))::INT AS place, unnest(['part_number', 'description', 'Change Notes', 'Details', 'DESCRIPTION (old)', 'details (old)', 'status']) AS "column",
+        unnest([part_number, CASE WHEN description <> '' THEN description ELSE coalesce(d[1], '') END, page, grade, coalesce(l[1], ''), coalesce(g[1], ''), CASE WHEN met > 0 THEN 'x' ELSE '' END]) AS value, 'Merge Status, Source, Merge Change Notes' AS tool, 3 AS unsettled FROM m""", PAIR)
 add("win_consensus", lambda v: U.consensus(v.v_bom, "part_number", ["hda_level1", "part_usage"]),
     """WITH l AS (SELECT part_number, 'hda_level1' AS "column", lower(hda_level1) AS v FROM v_bom UNION ALL SELECT part_number, 'part_usage', lower(part_usage) FROM v_bom), a AS (SELECT part_number, "column", min(nullif(v, '')) AS lo, max(nullif(v, '')) AS hi FROM l GROUP BY 1, 2)
     SELECT part_number, "column", CASE WHEN lo IS NULL THEN 'blank' WHEN lo = hi THEN 'consensus' ELSE 'disagreement' END AS state, CASE WHEN lo = hi THEN lo END AS value FROM a""", ("v_bom",))

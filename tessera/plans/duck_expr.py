@@ -51,6 +51,13 @@ def known(x: str) -> str:
     return f"coalesce({prefix(x)} IN ({KNOWN}), false)"
 
 
+def suffix(t: str, of: str) -> str:
+    """Whether a canonical token is an instance or pin of a base."""
+    rest = f"regexp_extract({t}, '^[^-]*-(.*)$', 1)"
+    span = f"(length({rest}) > 1 AND starts_with({rest}, regexp_extract({t}, '^([A-Z]+)', 1)))"
+    return f"(contains({t}, '-') AND {t} <> {of} AND NOT {span} AND ({instance(t)} OR {pin(t)}) AND {stem(t)} = {of})"
+
+
 def tokens(cell: str) -> str:
     """A list of the non-empty canonical tokens of a cell."""
     t = f"regexp_replace(regexp_replace(upper(x), '^=\\s*', ''), '^\"(.*)\"$', '\\1')"

@@ -74,7 +74,7 @@ REPORTS = {
     "snk_custom_report": {
         "Summary": ("agg_summary", "metric", "value"), "Only In": ("join_full_outer_keys", "token", "status"), "Differences": ("join_column_delta", "token", "column"),
         "Duplicates": ("win_occurrence", "token", "row_no"), "Part Usage": ("agg_usage_dispatch", "reason_code", "n"), "FMR": ("agg_fmr_dispatch", "refdes", "status"),
-        "Scope": ("join_scope", "token", "in_other"), "Unified": ("merge_unified", "refs", "status"),
+        "Scope": ("join_scope", "token", "in_other"), "Unified": ("merge_unified", "ref_des", "Status"),
     },
     "snk_fmea_report": {"FMEA": ("gen_piece_part", "fmea_id", "failure_mode"), "Diagnostics": ("gen_diag_frames", "diagnostic", "n"), "No Match": ("join_no_match", "token", "no_match")},
     "snk_extract_report": {
@@ -107,7 +107,7 @@ for _name, _sheets in REPORTS.items():
     registry.add_whole(_name, _report(_sheets), lambda sheets=_sheets: _report_sql(sheets))
 
 # The fill of a unified row by its status.
-STYLES = {"added": "C6EFCE", "removed": "FFC7CE", "changed": "FFEB9C"}
+STYLES = {"Added": "C6EFCE", "Delete": "FFC7CE", "Superseded": "BDD7EE", "Changed": "FFEB9C", "Carried": "FFEB9C"}
 
 
 def _through_file(name: str, table):
@@ -123,13 +123,13 @@ def _through_file(name: str, table):
 def _styled(df: DataFrame) -> DataFrame:
     style = F.lit("")
     for status, fill in STYLES.items():
-        style = F.when(F.col("status") == status, fill).otherwise(style)
-    return df.select("entry", "seq", "status", "refs", style.alias("style"))
+        style = F.when(F.col("Status") == status, fill).otherwise(style)
+    return df.select("entry", "carried_row", "gone_row", "ref_des", "Status", style.alias("style"))
 
 
-_fill = "CASE status " + " ".join(f"WHEN '{s}' THEN '{f}'" for s, f in STYLES.items()) + " ELSE '' END"
+_fill = "CASE Status " + " ".join(f"WHEN '{s}' THEN '{f}'" for s, f in STYLES.items()) + " ELSE '' END"
 registry.add_whole("snk_unified", _through_file("Unified BOM", lambda v: _styled(registry.query("merge_unified")(v.spark, v.sf_dir))),
-    lambda: f"SELECT entry, seq, status, refs, {_fill} AS style FROM ({registry.oracle('merge_unified')}) q")
+    lambda: f"SELECT entry, carried_row, gone_row, ref_des, Status, {_fill} AS style FROM ({registry.oracle('merge_unified')}) q")
 _marks = "CASE WHEN k % 7 = 0 THEN NULL ELSE p_name || chr(7) END"
 add("snk_styled", _through_file("Parts", lambda v: v.v_part.select("k", F.coalesce(F.expr(_marks), F.lit("")).alias("name"), F.lit(1).alias("_hidden"))),
     f"SELECT k, coalesce(replace({_marks}, chr(7), ''), '') AS name FROM v_part", ("v_part",))

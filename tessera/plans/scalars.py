@@ -67,9 +67,7 @@ add("lim_expansion", lambda v: v.v_tok.select("k", F.size(T.expand_range(F.col("
     SELECT k, CASE WHEN p1 <> '' AND p2 IN ('', p1) AND TRY_CAST(n2 AS BIGINT) - TRY_CAST(n1 AS BIGINT) BETWEEN 0 AND 1 AND NOT {D.instance('c')} THEN TRY_CAST(n2 AS BIGINT) - TRY_CAST(n1 AS BIGINT) + 1 ELSE 1 END AS n FROM p""",
     ("v_tok",))
 add("fn_is_suffix", lambda v: v.v_tok.select("k", T.is_suffix_of(F.col("tok"), T.canonical(F.col("ref"))).alias("value")),
-    f"""SELECT k, contains(c, '-') AND ({D.instance('c')} OR {D.pin('c')} OR regexp_matches(c, '^[A-Z]+[0-9]+[A-Z]?-[A-Z]?[0-9]*$')) AND {D.stem('c')} = ref
-    AND NOT ({_part(1)} <> '' AND {_part(3)} IN ('', {_part(1)}) AND coalesce(TRY_CAST({_part(4)} AS BIGINT) - TRY_CAST({_part(2)} AS BIGINT), -1) BETWEEN 1 AND 4999 AND NOT {D.instance('c')}) AS value
-    FROM (SELECT k, ref, {D.canon('tok')} AS c FROM v_tok) q""", ("v_tok",))
+    f"SELECT k, {D.suffix('c', 'ref')} AS value FROM (SELECT k, ref, {D.canon('tok')} AS c FROM v_tok) q", ("v_tok",))
 _one("fn_failure_mode_id", "v_part", "p_name", T.failure_mode_key, "upper(regexp_replace(p_name, '\\s+', ' ', 'g'))")
 _one("fn_sanitize_xml", "v_part", "p_name", T.printable, "p_name")
 _one("fn_func_base_id", "v_label", "label", T.function_base, f"regexp_replace(upper({D.trim('label')}), '-([A-Z]|FM[0-9]+)$', '')")

@@ -13,6 +13,8 @@ _both = lambda text: (text, text)
 #: One number for each row of lineitem: the order's, and the row's place in it.
 _word = "l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate)"
 
+_ref_of = lambda k: _PFX.replace("p_partkey", k) + f" || {_s(k + ' + 1')}"
+
 VIEWS: dict[str, tuple[str, str]] = {
     "v_part": _both(
         f"SELECT p_partkey AS k, {_PFX} || {_s('p_partkey + 1')} AS ref, p_name, split_part(p_type, ' ', 1) AS c1, p_brand AS c2, p_retailprice FROM {{part}}"
@@ -76,10 +78,13 @@ VIEWS: dict[str, tuple[str, str]] = {
         CASE WHEN m IN (0, 4) THEN ref || ', C' || {_s('k')} WHEN m IN (1, 5) THEN ref ELSE '' END AS cause, CASE WHEN m IN (1, 6) THEN '0.4' ELSE '' END AS ratio,
         CASE WHEN m = 7 THEN '1' ELSE '' END AS usage, CASE WHEN m IN (0, 8, 9) THEN 'BLK-' || {_s('k')} ELSE '' END AS fmea_id FROM (SELECT *, (k * 7 + CAST(floor(k / 13.0) AS BIGINT)) % 17 AS m FROM v_part ) q"""
     ),
-    "v_old_bom": _both("SELECT row_no, ref_des, part_number, description, page FROM v_bom WHERE k % 12 <> 1"),
+    "v_old_bom": _both(
+        f"""SELECT row_no, CASE WHEN k % 35 = 4 THEN ref_des || ', ' || {_ref_of('(k - 1)')} WHEN k % 30 = 7 THEN ref_des || ', TP' || {_s('k')} ELSE ref_des END AS ref_des, part_number,
+        CASE WHEN k % 44 = 11 THEN '' ELSE description END AS description, page, CASE WHEN k % 6 = 0 THEN 'lot ' || {_s('k % 5')} ELSE '' END AS legacy FROM v_bom WHERE k % 12 <> 1"""
+    ),
     "v_new_bom": _both(
-        """SELECT row_no, CASE WHEN k % 22 = 0 THEN split_part(ref_des, '-1', 1) ELSE ref_des END AS ref_des, part_number,
-        CASE WHEN k % 21 = 0 THEN '' WHEN k % 7 = 0 THEN description || ' rev B' ELSE description END AS description, page FROM v_bom WHERE k % 12 <> 2"""
+        f"""SELECT row_no, CASE WHEN k % 22 = 0 THEN split_part(ref_des, '-1', 1) WHEN k % 20 = 9 THEN ref_des || ', ' || {_ref_of('(k + 1)')} WHEN k % 50 = 3 THEN ref_des || ', NT' || {_s('k')} ELSE ref_des END AS ref_des, part_number,
+        CASE WHEN k % 21 = 0 OR k % 20 = 9 THEN '' WHEN k % 7 = 0 THEN description || ' rev B' ELSE description END AS description, CASE WHEN k % 44 = 22 THEN '' ELSE page || CASE WHEN k % 3 = 0 THEN '.0' ELSE '' END END AS page, hda_level1 AS grade FROM v_bom WHERE k % 12 <> 2"""
     ),
     "v_snap_a": _both(f"SELECT 'GRP-' || {_s('g')} || CASE WHEN k % 4 = 0 THEN ' (Verified)' ELSE '' END AS grp, ref, {_s('k % 30 + 1')} AS pages FROM v_group_item WHERE k % 9 <> 2"),
     "v_snap_b": _both(f"SELECT 'GRP-' || {_s('CASE WHEN k % 15 = 0 THEN g + 1 ELSE g END')} AS grp, ref, {_s('k % 30 + 1')} AS pages FROM v_group_item WHERE k % 9 <> 3"),

@@ -59,11 +59,46 @@ def test_results_do_not_depend_on_partitioning(spark, sides):
 
 
 def test_unified_merge(spark):
-    kind = "row_no long, ref_des string, description string"
-    old = spark.createDataFrame([(1, "R1", "a"), (2, "U5-1", "b"), (3, "U5-2", "b"), (4, "C9", "gone")], kind)
-    new = spark.createDataFrame([(1, "R1", "changed"), (2, "U5", "b"), (3, "Q1", "new")], kind)
-    got = {(r["entry"], r["status"], r["refs"]) for r in unified.unified(old, new, ["description"]).collect()}
-    assert got == {(1, "Changed", "R1"), (2, "Superseded", "U5"), (3, "Added", "Q1"), (2, "Carried", "U5-1"), (2, "Carried", "U5-2"), (1, "Deleted", "C9")}
+    """Every status, note and flag of the merge, on rows made for each."""
+    old = spark.createDataFrame([
+        (2, "R1", "a", "10", "x"), (3, "U5-1", "b", "1", ""), (4, "U5-2", "b", "2", "y"), (5, "C9", "gone", "", None), (6, "R1, R7", "again", "3", "z"),
+        (7, "L1", "", "4", "p"), (8, "L2", "coil", "4.0", "q"), (9, "Q1-1", "n", "5", ""), (10, "K3", "relay DNP", "", ""), (11, "T4", "t", "", ""), (12, "J1-J3", "range", "", ""),
+    ], "row_no long, ref_des string, description string, page string, legacy string")
+    new = spark.createDataFrame([
+        (2, "R1", "changed", "10.0", "g"), (3, "U5", "new b", "", "h"), (4, "Q2", "new", "", ""), (5, "L1 L2", "", "", ""), (6, "R1", "twice", None, ""),
+        (7, "X1, Q1", "", "", ""), (8, "T4-1", "", "", ""), (9, None, "no ref", "", ""), (10, "U5", "late", "", ""),
+    ], "row_no long, ref_des string, description string, page string, grade string")
+    got = [tuple(r)[:1] + tuple(r)[5:] for r in unified.unified(old.repartition(3), new.repartition(2)).orderBy(*unified.ORDER).collect()]
+    want = [
+        (2, "R1", "changed", "10.0", "g", "x", 1, "Changed", "Both", 'Duplicate RefDes R1 in Old BOM — old row 6 was not merged (first occurrence used); description changed from "a" to "changed"'),
+        (3, "U5", "new b", "", "h", "", 0, "Superseded", "New BOM (superseded)", "Superseded by 2 carried rows (U5-1 … U5-2) — delete this row"),
+        (3, "U5-1", "new b", "1", "h", "", 1, "Carried", "Old BOM (carried)", 'Carried forward from Old BOM (manual suffix row of U5); description updated from "b" to "new b" by New BOM'),
+        (3, "U5-2", "new b", "2", "h", "y", 0, "Carried", "Old BOM (carried)", 'Carried forward from Old BOM (manual suffix row of U5); description updated from "b" to "new b" by New BOM'),
+        (3, "C9", "gone", "", "", "", 0, "Delete", "Old BOM only", "Not in New BOM — remove from the FMEAs"),
+        (3, "R7", "again", "3", "", "z", 0, "Delete", "Old BOM only", 'Not in New BOM — remove from the FMEAs; From an old row listing "R1, R7"'),
+        (4, "Q2", "new", "", "", "", 0, "Added", "New BOM only", "Not in Old BOM — new part; add to the FMEAs"),
+        (5, "L1 L2", "coil", "4", "", "p", 3, "Changed", "Both", '[L1] page: kept old value "4" (new was blank); [L2] description: kept old value "coil" (new was blank); [L2] legacy: differing old values — kept "p"'),
+        (5, "Q1-1", "n", "5", "", "", 0, "Delete", "Old BOM only", "Q1-1 is not in New BOM, but its base Q1 is — manual expansion was not auto-carried; review before deleting"),
+        (5, "T4", "t", "", "", "", 0, "Delete", "Old BOM only", "T4 is not in New BOM as a bare row, but its expansion rows are — likely replaced by suffix rows; review before deleting"),
+        (5, "J1-J3", "range", "", "", "", 0, "Delete", "Old BOM only", "Not in New BOM — remove from the FMEAs"),
+        (6, "R1", "twice", "", "", "", 1, "Changed", "Both", "Duplicate RefDes R1 — first occurrence (row 2) was used for matching"),
+        (7, "X1, Q1", "", "", "", "", 0, "Added", "New BOM only", "Not in Old BOM — new part; add to the FMEAs"),
+        (8, "T4-1", "", "", "", "", 0, "Added", "New BOM only", "Not in Old BOM — new part; add to the FMEAs"),
+        (9, "", "no ref", "", "", "", 0, "", "New BOM only", ""),
+        (10, "U5", "late", "", "", "", 1, "Changed", "Both", "Duplicate RefDes U5 — first occurrence (row 3) was used for matching"),
+    ]
+    for g, w in zip(got, want, strict=False):
+        assert g == w
+    assert len(got) == len(want)
+    assert unified.unified(old.limit(0), new).count() == 9 and unified.unified(old, new.limit(0)).filter("Status = 'Delete' AND entry = -1").count() == 10
+
+
+def test_planned_columns():
+    plan = unified.plan_columns(["Ref", "desc ", "Desc", "lot", "Status"], ["ref", "Description", "DESC", "merge status"], [("DESC", "description"), ("none", "ref"), ("desc", "DESC")])
+    assert plan.columns == ["ref", "Description", "DESC", "merge status", "lot", "Status", "Merge Merge Status", "Source", "Change Notes"]
+    assert plan.filled == {"desc ": "Description", "Ref": "ref", "Desc": "DESC", "lot": "lot", "Status": "Status"} and len(plan.notes) == 2
+    twice = unified.plan_columns(["A", "a ", "a (old)"], ["a"])
+    assert twice.filled == {"A": "a", "a ": "a (old)", "a (old)": "a (old) (old)"} and len(twice.notes) == 2
 
 
 def test_row_types(spark):
