@@ -369,24 +369,3 @@ def consensus(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     out = long.groupBy(key, "column").agg(F.min(filled).alias("lo"), F.max(filled).alias("hi"))
     state = F.when(F.col("lo").isNull(), "blank").when(F.col("lo") == F.col("hi"), "consensus").otherwise("disagreement")
     return out.select(key, "column", state.alias("state"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("value"))
-
-
-def keyed_merge(base: DataFrame, update: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """(key, action, *columns): update non-blank cells by a key, flag what is missing, insert what is new.
-
-    A key that is not unique on a side is ambiguous and left alone.
-    """
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*key).agg(F.count("*").alias(f"n_{name}"), F.min_by(F.struct(*columns), "row_no").alias(name))
-
-    both = side(base, "a").join(side(update, "b"), key, "full_outer")
-    ambiguous = (F.coalesce("n_a", F.lit(0)) > 1) | (F.coalesce("n_b", F.lit(0)) > 1)
-    states = F.array_distinct(F.array(*(cell_status(F.col(f"b.{c}"), F.col(f"a.{c}")) for c in columns)))
-    touched = F.arrays_overlap(states, F.array(F.lit("changed"), F.lit("filled")))
-    action = (
-        F.when(ambiguous, "ambiguous").when(F.col("n_a").isNull(), "insert").when(F.col("n_b").isNull(), "missing").when(touched, "update").otherwise("unchanged")
-    )
-    keep = F.col("action").isin("ambiguous", "missing")
-    both = both.withColumn("action", action)
-    values = (F.when(keep, F.col(f"a.{c}")).otherwise(merged_value(F.col(f"b.{c}"), F.col(f"a.{c}"))).alias(c) for c in columns)
-    return both.select(*key, "action", *values)

@@ -13,6 +13,7 @@ from tessera.operators import compare as C
 from tessera.operators import explode as E
 from tessera.operators import sequence as S
 from tessera.operators import unified as U
+from tessera.operators import upsert as UP
 from tessera.plans import duck_expr as D
 from tessera.plans.audits import VIEWS, B, G, bom, group
 from tessera.plans.registry import add
@@ -223,10 +224,21 @@ add("gen_plan_columns", _clashing,
 add("win_consensus", lambda v: U.consensus(v.v_bom, "part_number", ["hda_level1", "part_usage"]),
     """WITH l AS (SELECT part_number, 'hda_level1' AS "column", lower(hda_level1) AS v FROM v_bom UNION ALL SELECT part_number, 'part_usage', lower(part_usage) FROM v_bom), a AS (SELECT part_number, "column", min(nullif(v, '')) AS lo, max(nullif(v, '')) AS hi FROM l GROUP BY 1, 2)
     SELECT part_number, "column", CASE WHEN lo IS NULL THEN 'blank' WHEN lo = hi THEN 'consensus' ELSE 'disagreement' END AS state, CASE WHEN lo = hi THEN lo END AS value FROM a""", ("v_bom",))
-add("merge_template", lambda v: U.keyed_merge(v.v_old_bom, v.v_new_bom, ["ref_des"], ["description"]),
-    """WITH a AS (SELECT ref_des, count(*) AS n, min_by(description, row_no) AS d FROM v_old_bom GROUP BY 1), b AS (SELECT ref_des, count(*) AS n, min_by(description, row_no) AS d FROM v_new_bom GROUP BY 1)
-    SELECT coalesce(a.ref_des, b.ref_des) AS ref_des, CASE WHEN a.n > 1 OR b.n > 1 THEN 'ambiguous' WHEN a.n IS NULL THEN 'insert' WHEN b.n IS NULL THEN 'missing' WHEN b.d <> '' AND lower(b.d) <> lower(a.d) THEN 'update' ELSE 'unchanged' END AS action,
-    CASE WHEN a.n > 1 OR b.n > 1 OR b.n IS NULL THEN a.d WHEN b.d = '' THEN coalesce(a.d, '') ELSE b.d END AS description FROM a FULL JOIN b ON a.ref_des = b.ref_des""", PAIR)
+_held = lambda name, view: f"""{name}f AS (SELECT *, last_value(CASE WHEN row_type = 'circuit_block' THEN fmea_id END IGNORE NULLS) OVER (ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM {view}),
+{name} AS (SELECT grp, upper(cause) AS ref, upper(regexp_replace(failure_mode, '[ ]+', ' ', 'g')) AS mode, row_no, ratio, usage FROM {name}f WHERE row_type = 'piece_part' AND grp <> ''),
+{name}c AS (SELECT grp, ref, mode, count(*) AS n, min_by(ratio, row_no) AS ratio, min_by(usage, row_no) AS usage, min(row_no) AS row_no FROM {name} GROUP BY 1, 2, 3)"""
+_value = lambda c: f"CASE WHEN b.n IS NULL THEN a.{c} WHEN a.n IS NULL OR b.{c} <> '' THEN b.{c} ELSE a.{c} END"
+_touched = lambda c: f"(b.{c} <> '' AND {_norm(f'b.{c}')} <> {_norm(f'a.{c}')})"
+_over_old = lambda c: f"CASE WHEN a.n IS NOT NULL AND b.n IS NOT NULL AND {_touched(c)} AND a.{c} <> '' THEN '{c}: ' || a.{c} || ' -> ' || b.{c} END"
+_blank_new = lambda c: f"CASE WHEN a.n IS NOT NULL AND b.{c} = '' THEN '{c}' END"
+_quarantined = lambda side, at, new, said: f"SELECT s.grp, s.ref, s.mode, 'quarantined' AS action, {at} AS at_row, {new} AS new_row, s.ratio, s.usage, '' AS changes, '' AS skipped, '{said} Identity matches ' || q.na || ' template row(s) and ' || q.nb || ' generated row(s); pairing is not exactly 1:1.' AS note FROM {side} s JOIN tw q ON s.grp = q.grp AND s.ref = q.ref AND s.mode = q.mode"
+add("merge_template", lambda v: UP.merged(v.v_template, v.v_generated, ["ratio", "usage"]),
+    f"""WITH {_held('ta', 'v_template')}, {_held('tb', 'v_generated')}, ge AS (SELECT grp, max(row_no) AS last_row FROM taf WHERE grp <> '' AND row_type <> 'other' GROUP BY 1),
+    pr AS (SELECT coalesce(a.grp, b.grp) AS grp, coalesce(a.ref, b.ref) AS ref, coalesce(a.mode, b.mode) AS mode, a, b, coalesce(a.n, 0) AS na, coalesce(b.n, 0) AS nb FROM tac a FULL JOIN tbc b ON a.grp = b.grp AND a.ref = b.ref AND a.mode = b.mode), tw AS (SELECT * FROM pr WHERE na > 1 OR nb > 1)
+    SELECT pr.grp, ref, mode, CASE WHEN b.n IS NULL THEN 'missing' WHEN a.n IS NULL AND last_row IS NULL THEN 'unplaced' WHEN a.n IS NULL THEN 'insert' WHEN {_touched('ratio')} OR {_touched('usage')} THEN 'update' ELSE 'unchanged' END AS action,
+    coalesce(a.row_no, last_row) AS at_row, CASE WHEN a.n IS NULL THEN b.row_no END AS new_row, {_value('ratio')} AS ratio, {_value('usage')} AS usage, concat_ws('; ', {_over_old('ratio')}, {_over_old('usage')}) AS changes, concat_ws(', ', {_blank_new('ratio')}, {_blank_new('usage')}) AS skipped,
+    CASE WHEN b.n IS NULL THEN 'NOT IN BOM - Review' WHEN a.n IS NULL THEN 'NEW - Added by generator' ELSE '' END AS note FROM pr LEFT JOIN ge ON ge.grp = pr.grp WHERE na <= 1 AND nb <= 1
+    UNION ALL {_quarantined('ta', 's.row_no', 'NULL', 'Template row left completely untouched.')} UNION ALL {_quarantined('tb', 'NULL', 's.row_no', 'Generated row was not inserted.')}""", ("v_template", "v_generated"))
 add("merge_cell", lambda v: v.v_new_bom.join(v.v_old_bom.select("row_no", F.col("description").alias("was")), "row_no").select("row_no", U.cell_status(F.col("description"), F.col("was")).alias("status")),
     "SELECT n.row_no, CASE WHEN n.description = '' THEN 'kept' WHEN lower(n.description) = lower(o.description) THEN 'unchanged' WHEN o.description = '' THEN 'filled' ELSE 'changed' END AS status FROM v_new_bom n JOIN v_old_bom o ON n.row_no = o.row_no", PAIR)
 

@@ -78,6 +78,15 @@ VIEWS: dict[str, tuple[str, str]] = {
         CASE WHEN m IN (0, 4) THEN ref || ', C' || {_s('k')} WHEN m IN (1, 5) THEN ref ELSE '' END AS cause, CASE WHEN m IN (1, 6) THEN '0.4' ELSE '' END AS ratio,
         CASE WHEN m = 7 THEN '1' ELSE '' END AS usage, CASE WHEN m IN (0, 8, 9) THEN 'BLK-' || {_s('k')} ELSE '' END AS fmea_id FROM (SELECT *, (k * 7 + CAST(floor(k / 13.0) AS BIGINT)) % 17 AS m FROM v_part ) q"""
     ),
+    "v_template": _both(
+        """SELECT * FROM (SELECT row_no, CASE WHEN level = 'Circuit Block' THEN 'circuit_block' ELSE 'piece_part' END AS row_type, fmea_id, cause, CASE WHEN level = 'Circuit Block' THEN '' WHEN fmea_id LIKE '%-A' THEN 'Open' ELSE 'Short  to ground' END AS failure_mode, ratio, usage FROM v_fmea
+        UNION ALL SELECT row_no + 50 AS row_no, 'piece_part' AS row_type, fmea_id, cause, CASE WHEN fmea_id LIKE '%-A' THEN 'OPEN' ELSE 'short to ground' END AS failure_mode, ratio, usage FROM v_fmea WHERE level <> 'Circuit Block' AND row_no % 13 = 4) q WHERE row_no % 7 <> 3 AND row_no % 2900 <> 302"""
+    ),
+    "v_generated": _both(
+        """SELECT * FROM (SELECT row_no, CASE WHEN level = 'Circuit Block' THEN 'circuit_block' ELSE 'piece_part' END AS row_type, fmea_id, cause, CASE WHEN level = 'Circuit Block' THEN '' WHEN fmea_id LIKE '%-A' THEN 'open' ELSE 'Short to ground' END AS failure_mode,
+        CASE WHEN row_no % 5 = 1 THEN '0.90' WHEN row_no % 5 = 2 THEN '' ELSE ratio END AS ratio, CASE WHEN row_no % 11 = 4 THEN '2' ELSE usage END AS usage FROM v_fmea
+        UNION ALL SELECT row_no + 60 AS row_no, 'piece_part' AS row_type, fmea_id, lower(cause) AS cause, CASE WHEN fmea_id LIKE '%-A' THEN 'Open' ELSE 'Short to ground' END AS failure_mode, ratio, usage FROM v_fmea WHERE level <> 'Circuit Block' AND row_no % 17 = 6) q WHERE row_no % 9 <> 5"""
+    ),
     "v_old_bom": _both(
         f"""SELECT row_no, CASE WHEN k % 35 = 4 THEN ref_des || ', ' || {_ref_of('(k - 1)')} WHEN k % 30 = 7 THEN ref_des || ', TP' || {_s('k')} ELSE ref_des END AS ref_des, part_number,
         CASE WHEN k % 44 = 11 THEN '' ELSE description END AS description, page, CASE WHEN k % 6 = 0 THEN 'lot ' || {_s('k % 5')} ELSE '' END AS legacy FROM v_bom WHERE k % 12 <> 1"""

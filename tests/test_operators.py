@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import labels, numeric, tokens
-from tessera.operators import audit, classify, cluster, compare, explode, ranges, unified
+from tessera.operators import audit, classify, cluster, compare, explode, ranges, unified, upsert
 from tessera.sources import headers, readers
 from tessera.streaming import heartbeats
 
@@ -208,3 +208,22 @@ def test_running_values(spark):
         for pos, v in rows:
             assert got[pos] == (last, v if v is not None else last)
             last = v if v is not None else last
+
+
+def test_upsert(spark):
+    """Each action once, keys that differ in writing only, and a key that is twice on one side."""
+    kind = "row_no long, row_type string, fmea_id string, cause string, failure_mode string, ratio string, usage string"
+    block = lambda n, k: (n, "circuit_block", k, "", "", "", "")
+    part = lambda n, ref, mode, ratio, usage="1": (n, "piece_part", "x", ref, mode, ratio, usage)
+    table = spark.createDataFrame([part(1, "R9", "Open", "1"), block(2, "CPU-A"), part(3, "R1", "Open", "0.6"), part(4, "R1", "Short  Circuit", ""), part(5, "C1", "Open", "1"), part(6, "Q1", "Open", "1"), part(7, "q1", "open", "2"), part(8, "L1", "Open", "0.50"), block(9, ""), part(10, "R8", "Open", "1"), block(11, "MEM")], kind)
+    made = spark.createDataFrame([block(1, "cpu"), part(2, " r1 ", "OPEN", "0.7", ""), part(3, "R1", "short circuit", "0.4"), part(4, "Q1", "Open", "3"), part(5, "L1", "Open", "0.5"), part(6, "X1", "Open", "1"), block(7, "MEM-B"), part(8, "M1", "Open", "1"), block(9, "NEW"), part(10, "N1", "Open", "1")], kind)
+    got = list((r["grp"], r["ref"], r["mode"], r["action"], r["at_row"], r["new_row"], r["ratio"], r["usage"], r["changes"], r["skipped"]) for r in upsert.merged(table, made.repartition(3), ["ratio", "usage"]).collect())
+    key = lambda x: tuple(map(str, x))
+    assert sorted(got, key=key) == sorted([
+        ("CPU", "R1", "OPEN", "update", 3, None, "0.7", "1", "ratio: 0.6 -> 0.7", "usage"), ("CPU", "R1", "SHORT CIRCUIT", "update", 4, None, "0.4", "1", "", ""), ("CPU", "C1", "OPEN", "missing", 5, None, "1", "1", "", ""),
+        ("CPU", "Q1", "OPEN", "quarantined", 6, None, "1", "1", "", ""), ("CPU", "Q1", "OPEN", "quarantined", 7, None, "2", "1", "", ""), ("CPU", "Q1", "OPEN", "quarantined", None, 4, "3", "1", "", ""),
+        ("CPU", "L1", "OPEN", "unchanged", 8, None, "0.5", "1", "", ""), ("CPU", "X1", "OPEN", "insert", 8, 6, "1", "1", "", ""), ("MEM", "M1", "OPEN", "insert", 11, 8, "1", "1", "", ""), ("NEW", "N1", "OPEN", "unplaced", None, 10, "1", "1", "", ""),
+    ], key=key)
+    notes = {r["note"] for r in upsert.merged(table, made, ["ratio"]).filter("action = 'quarantined'").collect()}
+    assert notes == {f"{who} Identity matches 2 template row(s) and 1 generated row(s); pairing is not exactly 1:1." for who in ("Template row left completely untouched.", "Generated row was not inserted.")}
+    assert upsert.merged(table.limit(0), made.limit(0), ["ratio"]).count() == 0
