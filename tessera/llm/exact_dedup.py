@@ -76,13 +76,14 @@ class Index:
     def located(self, rows: DataFrame) -> DataFrame:
         """rows, which have h, with the bucket that the directory names (at most 2**max_depth slots)."""
         slots = F.broadcast(self.directory.select("slot", "bucket"))
-        return rows.withColumn("slot", _slot(F.col("h"), self.depth)).join(slots, "slot").drop("slot")
+        return rows.withColumn("slot", _slot(F.col("h"), self.depth)).join(slots, "slot", "left").drop("slot")
 
     def probe(self, rows: DataFrame) -> DataFrame:
-        """rows (h, text_sha256, n_bytes, ...) with keep_id and group_size of their text's place in the chain."""
-        found = self.located(rows).join(self.entries, ["bucket", "h"])
-        at = F.filter("chain", lambda c: (c["text_sha256"] == F.col("text_sha256")) & (c["n_bytes"] == F.col("n_bytes")))
-        found = found.withColumn("at", F.get(at, 0)).filter("at is not null")
+        """rows (h, text_sha256, n_bytes, ...) with keep_id and group_size of their text's place in the chain; a text without one is an error."""
+        found = self.located(rows).join(self.entries, ["bucket", "h"], "left")
+        at = F.get(F.filter("chain", lambda c: (c["text_sha256"] == F.col("text_sha256")) & (c["n_bytes"] == F.col("n_bytes"))), 0)
+        lost = F.raise_error(F.concat(F.lit("the hash index has lost the place of "), F.col("text_sha256"), F.lit(": a bucket's file is gone")))
+        found = found.withColumn("at", F.when(at.isNull(), lost).otherwise(at))
         return found.select(*rows.columns, "at.keep_id", "at.group_size")
 
 

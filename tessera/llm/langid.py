@@ -80,15 +80,22 @@ def _counts(batches: Iterator[pa.RecordBatch], languages: list[str]) -> Iterator
     yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(bucket, pa.int32()), pa.array(held[lang, bucket])], names=["lang", "bucket", "n"])
 
 
+def sample_bound(n: int) -> int:
+    """The largest 63-bit hash of a sampled row, so that about TRAIN_ROWS of n rows are sampled, or all."""
+    return min(2**63 - 1, 2**63 * TRAIN_ROWS // max(1, n))
+
+
 def fit(rows: DataFrame, languages: list[str]) -> np.ndarray:
     """Log-probabilities (language or und, bucket) from a bounded sample of the rows (id, text, declared)."""
     labelled = rows.filter(F.col("declared").isin(*languages))
-    share = min(1.0, TRAIN_ROWS / max(1, labelled.count()))
-    sample = labelled.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text", "declared")
+    n = labelled.count()
+    sample = labelled.filter(F.shiftrightunsigned(F.xxhash64("id"), 1) <= F.lit(sample_bound(n)).cast("long")).select("text", "declared")
     found = sample.mapInArrow(lambda b: _counts(b, languages), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts = np.zeros((len(languages), BUCKETS))
     for r in found.collect():  # at most one row for each language and bucket
         counts[r["lang"], r["bucket"]] = r["n"]
+    if n and not counts.any() and sample.isEmpty():
+        raise ValueError(f"no row of {n} labelled ones was sampled")
     smoothed = counts + 0.1
     logs = np.log(smoothed / smoothed.sum(1, keepdims=True))
     trained = counts.any(1)

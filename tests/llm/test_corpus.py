@@ -244,6 +244,18 @@ def test_langid(spark):
     assert langid.of_documents(docs.withColumn("lang", F.lit(None).cast("string")), ["de", "en"]).count() == len(rows)
 
 
+def test_language_sample_at_any_size(spark, monkeypatch):
+    """The sample is about as large for a hundred thousand million rows as for fewer, and never empty without an error."""
+    for n in (1, 10**4, 10**6, 10**9, 10**11, 10**15):
+        expected = n * (langid.sample_bound(n) + 1) / 2**63
+        assert math.isclose(expected, min(n, langid.TRAIN_ROWS), rel_tol=0.01)
+    docs = spark.createDataFrame([(k, "the and thing", "en") for k in range(50)], "id long, text string, declared string")
+    assert langid.fit(docs, ["en"]).shape[0] == 2
+    monkeypatch.setattr(langid, "sample_bound", lambda n: -1)
+    with pytest.raises(ValueError, match="no row of 50"):
+        langid.fit(docs, ["en"])
+
+
 def test_page_languages(spark):
     """Every fifth page's declaration is taken out; its language is then told from text and host alone."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
@@ -403,7 +415,7 @@ def test_exact_dedup(spark, texts):
 
 
 def test_hash_index_is_the_path(spark, texts):
-    """Each bucket's file holds its own slots' texts, and documents are lost with it."""
+    """Each bucket's file holds its own slots' texts, and without it their documents are an error."""
     import shutil
 
     docs = table(spark, texts)
@@ -416,7 +428,13 @@ def test_hash_index_is_the_path(spark, texts):
     gone = sum(r["h"] in held for r in rows.collect())
     shutil.rmtree(f"{index.path.removeprefix('file:')}/entries/bucket={bucket}")
     left = exact_dedup.Index(spark, index.path).probe(rows)
-    assert gone > 0 and left.count() == len(texts) - gone
+    assert gone > 0
+    with pytest.raises(Exception, match="the hash index has lost the place"):
+        left.write.format("noop").mode("overwrite").save()
+    shutil.rmtree(f"{index.path.removeprefix('file:')}/directory")
+    spark.createDataFrame([], exact_dedup.Index.DIRECTORY).write.parquet(f"{index.path}/directory")
+    with pytest.raises(Exception, match="the hash index has lost the place"):
+        exact_dedup.Index(spark, index.path).probe(rows).write.format("noop").mode("overwrite").save()
     chains = exact_dedup.build_index(docs, hash_of=lambda c: F.lit(5).cast("long")).entries.collect()
     assert [len(r["chain"]) for r in chains] == [len({t or "" for t in texts})]
 
