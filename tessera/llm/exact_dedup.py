@@ -110,20 +110,10 @@ def build_index(
     spark.createDataFrame([], Index.ENTRIES).write.parquet(f"{path}/entries")
     index = Index(spark, path)
 
-    # the owner of a key compares the texts under it; a chain of two needs two texts of one 64-bit hash
-    keyed = index.located(rows).groupBy("bucket", "h").agg(
-        F.collect_set("text").alias("texts"), F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")
-    )
-    link = lambda t, keep, n: F.struct(
-        F.sha2(t, 256).alias("text_sha256"), F.octet_length(t).cast("long").alias("n_bytes"), keep.alias("keep_id"), n.alias("group_size"))
-    keyed = staged(keyed.select("bucket", "h", F.transform("texts", lambda t: link(t, F.col("keep_id"), F.col("group_size"))).alias("chain")), "keys")
-    entries = keyed.filter(F.size("chain") == 1)
-    collided = keyed.filter(F.size("chain") > 1).select("bucket", "h")
-    if not collided.isEmpty():  # each text of a chain has its own figures
-        apart = index.located(rows).join(broadcast_if_small(collided, "collided"), ["bucket", "h"], "left_semi")
-        apart = apart.groupBy("bucket", "h", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        chained = F.array_sort(F.collect_list(link(F.col("text"), F.col("keep_id"), F.col("group_size"))))
-        entries = entries.unionByName(apart.groupBy("bucket", "h").agg(chained.alias("chain")))
+    # the owner of a key compares the texts under it, byte by byte as keys of their own, and chains what is left
+    texts = index.located(rows).groupBy("bucket", "h", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    link = F.struct(F.sha2("text", 256).alias("text_sha256"), F.octet_length("text").cast("long").alias("n_bytes"), "keep_id", "group_size")
+    entries = texts.select("bucket", "h", link.alias("link")).groupBy("bucket", "h").agg(F.array_sort(F.collect_list("link")).alias("chain"))
     entries.repartition("bucket").sortWithinPartitions("bucket", "h").write.mode("append").partitionBy("bucket").parquet(f"{path}/entries")
     return Index(spark, path)
 
