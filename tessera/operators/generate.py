@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions import numeric as N
 from tessera.functions import tokens as T
 from tessera.operators import explode as E
+from tessera.sources.readers import once
 
 
 def bom_index(bom: DataFrame) -> DataFrame:
@@ -98,11 +98,57 @@ def piece_parts(source: DataFrame, bom: DataFrame, parts: DataFrame, modes: Data
     return heads.unionByName(rows)
 
 
-def union_groups(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(label, token, side): the full outer union of two (label, token) tables; side a, b or both."""
-    a, b = a.select("label", "token").distinct().withColumn("in_a", F.lit(1)), b.select("label", "token").distinct().withColumn("in_b", F.lit(1))
-    side = F.when(F.col("in_b").isNull(), "a").when(F.col("in_a").isNull(), "b").otherwise("both")
-    return a.join(b, ["label", "token"], "full_outer").select("label", "token", side.alias("side"))
+# What the union of old and new groups says of groups and designators that one side lacks.
+OLD_ONLY, NEW_ONLY = "Component missing from Grouping File but was present in Merged FMEA", "Component present in Grouping File but missing from Merged FMEA"
+GROUP_OLD_ONLY, GROUP_NEW = "Function group present in Merged FMEA but absent from Grouping File", "New function group added since last FMEA"
+
+
+def _side(old: str, new: str, in_old: str, in_new: str) -> Column:
+    return F.when(F.col(in_new).isNull(), old).when(F.col(in_old).isNull(), new)
+
+
+def union_groups(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Outer union of two group tables (label, token, description, page), on two levels.
+
+    Groups (label, side, description, page, diagnostic): side is old, new or both; the new description and page hold
+    where they are not blank.  Members (label, token, side, diagnostic): the designators of a group on either side.
+    The diagnostic is null where both sides have it.
+    """
+    text = lambda c: F.min(F.when(T.clean(F.col(c)) != "", F.col(c)))
+    of = lambda df, name: df.groupBy("label").agg(text("description").alias(f"{name}_description"), text("page").alias(f"{name}_page"), F.lit(True).alias(name))
+    side = lambda: F.coalesce(_side("old", "new", "old", "new"), F.lit("both")).alias("side")
+    groups = of(old, "old").join(of(new, "new"), "label", "full_outer")
+    pick = lambda c: F.coalesce(f"new_{c}", f"old_{c}", F.lit("")).alias(c)
+    groups = groups.select("label", side(), pick("description"), pick("page"), _side(GROUP_OLD_ONLY, GROUP_NEW, "old", "new").alias("diagnostic"))
+    tokens = lambda df, name: df.filter("token <> ''").select("label", "token").distinct().withColumn(name, F.lit(True))
+    members = tokens(old, "old").join(tokens(new, "new"), ["label", "token"], "full_outer")
+    return groups, members.select("label", "token", side(), _side(OLD_ONLY, NEW_ONLY, "old", "new").alias("diagnostic"))
+
+
+def union_diagnostics(groups: DataFrame, members: DataFrame) -> DataFrame:
+    """(label, token, source, diagnostic): one row for each group and designator that one side lacks."""
+    of_groups = groups.filter("diagnostic IS NOT NULL").select("label", F.lit("").alias("token"), F.lit("group").alias("source"), "diagnostic")
+    return of_groups.unionByName(members.filter("diagnostic IS NOT NULL").select("label", "token", F.lit("component").alias("source"), "diagnostic"))
+
+
+def fill_gaps(old: DataFrame, new: DataFrame, bom: DataFrame, parts: DataFrame, modes: DataFrame) -> DataFrame:
+    """(label, token, fmea_id, failure_mode, ratio, kind, description, page, diagnostic): the union's headers and piece parts.
+
+    A designator without a BOM row keeps its place with one row that says so.  Diagnostics are joined by "; ".
+    Order by (label, header first, token, fmea_id).
+    """
+    groups, members = map(once, union_groups(old, new))
+    source = members.select(F.lit(0).alias("row_no"), F.lit(0).alias("pos"), "label", "token")
+    rows = components(source, bom, parts, modes).select("label", "token", "fmea_id", "failure_mode", F.col("ratio").cast("double").alias("ratio"), "kind", F.lit(None).cast("string").alias("own"))
+    lost = with_bom(source, bom).filter("found IS NULL")
+    missing = F.concat(F.lit("Component "), "token", F.lit(" present in merge set but missing from BOM."))
+    none = F.lit(None).cast("double")
+    lost = lost.select("label", "token", F.lit("").alias("fmea_id"), F.lit("").alias("failure_mode"), none.alias("ratio"), F.lit("no_match").alias("kind"), missing.alias("own"))
+    joined = lambda *c: F.concat_ws("; ", *c).alias("diagnostic")
+    rows = rows.unionByName(lost).join(members.select("label", "token", "diagnostic"), ["label", "token"]).join(groups.select("label", "description", "page"), "label")
+    rows = rows.select("label", "token", "fmea_id", "failure_mode", "ratio", "kind", "description", "page", joined("own", "diagnostic"))
+    heads = groups.select("label", F.lit("").alias("token"), F.col("label").alias("fmea_id"), F.lit("").alias("failure_mode"), none.alias("ratio"), F.lit("header").alias("kind"), "description", "page", joined("diagnostic"))
+    return heads.unionByName(rows)
 
 
 def functional(passed: DataFrame, generated: DataFrame) -> DataFrame:

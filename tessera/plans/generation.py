@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import tokens as T
-
+from tessera.operators import classify as K
 from tessera.operators import generate as G
 from tessera.plans import duck_expr as D
 from tessera.plans.audits import BA
@@ -53,10 +53,38 @@ add("gen_group_rows", lambda v: generated(v).filter("kind = 'header'").select("r
 _bom_src = lambda v: blanked(v).select("row_no", F.posexplode(T.split_list(F.col("ref_des"))).alias("pos", "token"), F.lit("BOM").alias("label"))
 add("gen_bom_only", lambda v: G.components(_bom_src(v), blanked(v), v.v_hda, v.v_fm).groupBy("kind").agg(F.count_distinct("token").alias("n")),
     f"WITH {_fan.replace(f'FROM ({_src}) q', 'FROM (SELECT row_no, pos, ' + chr(39) + 'BOM' + chr(39) + ' AS label, token FROM ba) q')} SELECT kind, count(DISTINCT token) AS n FROM sf GROUP BY 1", VIEWS)
-_a, _b = (lambda v: source(v).filter("pos <> 2")), (lambda v: source(v).filter("pos <> 5"))
-_un = f"u AS (SELECT DISTINCT label, token, CASE WHEN pos = 2 THEN 'b' WHEN pos = 5 THEN 'a' ELSE 'both' END AS side FROM ({_src}) q)"
-add("join_union_groups", lambda v: G.union_groups(_a(v), _b(v)), f"WITH {_un} SELECT label, token, side FROM u", VIEWS)
-add("gen_fill_gaps", lambda v: G.union_groups(_a(v), _b(v)).groupBy("label", "side").agg(F.count("*").alias("n")), f"WITH {_un} SELECT label, side, count(*) AS n FROM u GROUP BY 1, 2", VIEWS)
+
+
+def _old_groups(v):
+    """The groups of the existing table: parts under the block before them, with its function."""
+    rows = K.row_types(v.v_fmea, [], "level", "cause", ["ratio"], "fmea_id")
+    heads = rows.filter("row_type = 'circuit_block'").select(F.col("fmea_id").alias("label"), F.col("func").alias("description"))
+    held = K.attach_blocks(rows, [], "fmea_id").filter("NOT orphan").select(F.col("block").alias("label"), T.canonical(F.col("cause")).alias("token"))
+    return heads.join(held, "label", "left").select("label", F.coalesce("token", F.lit("")).alias("token"), "description", F.lit("").alias("page"))
+
+
+_kept_old = lambda v: _old_groups(v).filter("label NOT LIKE '%7' AND token NOT LIKE '%3'")
+_kept_new = lambda v: source(v).filter("label NOT LIKE '%5' AND pos <> 5").select("label", "token", F.when(F.col("row_no") % 3 == 0, F.concat(F.lit("from "), "label")).otherwise("").alias("description"), (F.col("row_no") % 40).cast("string").alias("page"))
+_un = f"""og AS (SELECT label, token, func AS description FROM (SELECT last_value(CASE WHEN level = 'Circuit Block' THEN fmea_id END IGNORE NULLS) OVER w AS label, upper(cause) AS token, last_value(CASE WHEN level = 'Circuit Block' THEN func END IGNORE NULLS) OVER w AS func FROM v_fmea
+    WINDOW w AS (ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) q WHERE label NOT LIKE '%7' AND token NOT LIKE '%3'),
+ng AS (SELECT label, token, CASE WHEN row_no % 3 = 0 THEN 'from ' || label ELSE '' END AS description, (row_no % 40)::VARCHAR AS page FROM ({_src}) q WHERE label NOT LIKE '%5' AND pos <> 5),
+og1 AS (SELECT label, min(description) AS d FROM og GROUP BY 1), ng1 AS (SELECT label, min(nullif(description, '')) AS d, min(page) AS p FROM ng GROUP BY 1),
+ug AS (SELECT coalesce(o.label, n.label) AS label, CASE WHEN n.label IS NULL THEN 'old' WHEN o.label IS NULL THEN 'new' ELSE 'both' END AS side, coalesce(n.d, o.d, '') AS description, coalesce(p, '') AS page,
+    CASE WHEN n.label IS NULL THEN 'Function group present in Merged FMEA but absent from Grouping File' WHEN o.label IS NULL THEN 'New function group added since last FMEA' END AS diagnostic FROM og1 o FULL JOIN ng1 n ON o.label = n.label),
+um AS (SELECT coalesce(o.label, n.label) AS label, coalesce(o.token, n.token) AS token, CASE WHEN n.label IS NULL THEN 'old' WHEN o.label IS NULL THEN 'new' ELSE 'both' END AS side,
+    CASE WHEN n.label IS NULL THEN 'Component missing from Grouping File but was present in Merged FMEA' WHEN o.label IS NULL THEN 'Component present in Grouping File but missing from Merged FMEA' END AS diagnostic
+    FROM (SELECT DISTINCT label, token FROM og WHERE token <> '') o FULL JOIN (SELECT DISTINCT label, token FROM ng WHERE token <> '') n ON o.label = n.label AND o.token = n.token)"""
+UNION = (*VIEWS, "v_fmea")
+add("join_union_groups", lambda v: G.union_diagnostics(*G.union_groups(_kept_old(v), _kept_new(v))),
+    f"WITH {_un} SELECT label, '' AS token, 'group' AS source, diagnostic FROM ug WHERE diagnostic IS NOT NULL UNION ALL SELECT label, token, 'component', diagnostic FROM um WHERE diagnostic IS NOT NULL", UNION)
+_of_union = _fan.replace(f"FROM ({_src}) q", "FROM (SELECT regexp_extract(label, '[0-9]+')::BIGINT AS row_no, 0 AS pos, label, token FROM um) q")
+add("gen_fill_gaps", lambda v: G.fill_gaps(_kept_old(v), _kept_new(v), blanked(v), v.v_hda, v.v_fm),
+    f"""WITH {_un}, {_of_union}, al AS (SELECT label, token, label || '-' || token || '-' || suffix AS fmea_id, failure_mode, {_dbl}, kind, NULL AS own FROM sf
+    UNION ALL SELECT label, token, '', '', NULL, 'no_match', 'Component ' || token || ' present in merge set but missing from BOM.' FROM jb WHERE found IS NULL)
+    SELECT al.label, al.token, fmea_id, failure_mode, ratio, kind, description, page, concat_ws('; ', own, um.diagnostic) AS diagnostic FROM al JOIN um ON al.label = um.label AND al.token = um.token JOIN ug ON ug.label = al.label
+    UNION ALL SELECT label, '', label, '', NULL, 'header', description, page, coalesce(diagnostic, '') FROM ug""", UNION)
+add("gen_parse_fmea_groups", lambda v: _old_groups(v).groupBy("label").agg(F.count_distinct(F.when(F.col("token") != "", F.col("token"))).alias("parts"), F.min("description").alias("description")),
+    """SELECT label, count(DISTINCT nullif(cause, '')) AS parts, min(func) FILTER (level = 'Circuit Block') AS description FROM (SELECT *, last_value(CASE WHEN level = 'Circuit Block' THEN fmea_id END IGNORE NULLS) OVER (ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS label FROM v_fmea) q GROUP BY 1""", ("v_fmea",))
 _pass = lambda v: parts(v).filter("pos < 4").select("row_no", "token", "fmea_id", F.lit("passed").alias("origin"))
 add("join_dedupe_second_pass", lambda v: G.functional(_pass(v).select("token").distinct(), source(v).select("token", "label")).select("token", "label"),
     f"WITH {_fan} SELECT DISTINCT token, NULL::VARCHAR AS label FROM sf WHERE pos < 4 UNION ALL SELECT token, label FROM sr WHERE token NOT IN (SELECT token FROM sf WHERE pos < 4)", VIEWS)
@@ -66,8 +94,6 @@ add("lim_output_guard", lambda v: G.guard_output(typed(v), v.v_fm, 1000), f"WITH
 _diag = "SELECT 'Group missing in BOM' AS diagnostic, count(*) AS n FROM jb WHERE found IS NULL UNION ALL SELECT 'Inherited', count(*) FROM jb WHERE found = 'inherited'"
 add("gen_diag_frames", lambda v: with_bom(v).groupBy(F.when(F.col("found").isNull(), "Group missing in BOM").when(F.col("found") == "inherited", "Inherited").alias("diagnostic")).agg(F.count("*").alias("n")).filter("diagnostic IS NOT NULL"), f"WITH {_joined} {_diag}", VIEWS)
 add("gen_parse_grouping_groups", lambda v: source(v).groupBy("label").agg(F.min("row_no").alias("row_no"), F.count_distinct("token").alias("n")), f"SELECT label, min(row_no) AS row_no, count(DISTINCT token) AS n FROM ({_src}) q GROUP BY 1", VIEWS)
-add("gen_parse_fmea_groups", lambda v: v.v_fmea.filter("level <> 'Circuit Block'").groupBy(F.regexp_extract("fmea_id", "^(BLK-[0-9]+)", 1).alias("block")).agg(F.count_distinct("cause").alias("parts"), F.array_join(F.array_sort(F.collect_set("func")), ",").alias("funcs")),
-    "SELECT regexp_extract(fmea_id, '^(BLK-[0-9]+)', 1) AS block, count(DISTINCT cause) AS parts, string_agg(DISTINCT func, ',') AS funcs FROM v_fmea WHERE level <> 'Circuit Block' GROUP BY 1", ("v_fmea",))
 add("merge_generated_index", lambda v: parts(v).groupBy("label", T.canonical(F.col("token")).alias("ref"), T.failure_mode_key(F.col("failure_mode")).alias("mode")).agg(F.count("*").alias("n")),
     f"WITH {_fan} SELECT label, token AS ref, upper(failure_mode) AS mode, count(*) AS n FROM sf GROUP BY 1, 2, 3", VIEWS)
 
