@@ -21,7 +21,7 @@ def value(spark, f, *args):
     (tokens.prefix, "CR25", "CR"), (tokens.prefix, "123", None), (tokens.expand_range, "R1-R5", ["R1", "R2", "R3", "R4", "R5"]), (tokens.expand_range, "U3-7", ["U3-7"]),
     (tokens.expand_range, "R01-R03", ["R01", "R02", "R03"]), (tokens.expand_range, "R5-R1", ["R5-R1"]), (tokens.expand_range, "R1..3", ["R1", "R2", "R3"]),
     (tokens.lookup_key, "U000", "U0"), (tokens.lookup_key, "r001a", "R1A"), (tokens.find_instance, "Failure in U200-1 of R5", "U200-1"), (labels.ordinal, 111, "111th"),
-    (labels.strip_status, "X (Verified) (PARTIAL)", "X"), (labels.strip_mode, "-FN", "-FN"), (numeric.expected_count, "DUAL op amp", 2), (numeric.expected_count, "SOIC-8 4x2", 0),
+    (labels.strip_status, "X (Verified) (PARTIAL)", "X"), (labels.strip_mode, "-FN", "-FN"), (numeric.expected_count, "DUAL op amp", 2), (numeric.expected_count, "SOIC-8 4x2", 0), (numeric.expected_count, "100mΩ 2x4", 0),
     (numeric.expected_count, "header 4 pin", 4), (numeric.pages, "Sheet 4-6, 9", [4, 5, 6, 9]), (numeric.number, "1_000", None), (numeric.number, "1.5d", None), (numeric.number, " 1e3 ", 1000.0),
 ])
 def test_scalars(spark, f, arg, want):
