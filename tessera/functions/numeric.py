@@ -66,7 +66,7 @@ def clean_ratio(c: Column) -> Column:
 # Words for numbers of parts, package names and units beside numbers, connector words.
 MULTIPLIERS = (("single", 1), ("dual", 2), ("triple", 3), ("tri", 3), ("quad", 4), ("penta", 5), ("hex", 6), ("octal", 8), ("deca", 10))
 NOT_A_COUNT = (
-    r"\b(?:SOIC|TSSOP|QFN|BGA|QFP|DFN|SOT|LQFP|MSOP)\s*-?\s*\d+\b|(?:\b(?:0402|0603|0805|1206)\b)|(?:\b\d+\s*(?:(?:bit|mhz|ghz|khz|v|mv|kohm|ohm)\b|mΩ(?![\p{L}\p{N}_])))"
+    r"\b(?:SOIC|TSSOP|QFN|BGA|QFP|DFN|SOT|LQFP|MSOP)\s*-?\s*\d+\b|(?:\b(?:0402|0603|0805|1206)\b)|(?:\b\d+\s*(?:(?:bit|mhz|ghz|khz|v|mv|kohm|ohm)\b|mΩ(?:[^A-Za-z0-9_]|$)))"
 )
 CONNECTOR_WORDS = r"\b(?:connector|header|socket|plug|jack|backplane)\b"
 
