@@ -116,3 +116,21 @@ def qualify(entries: DataFrame, pins: DataFrame) -> DataFrame:
     labels, of = qualified_clusters(entries, pins)
     of = of.select(*GROUP, "cluster", "kind", F.when(F.col("drop_reason").isNull(), F.col("parent")).alias("parent"), (F.col("kind") == "passive_like").alias("suppressed"), F.when(F.col("kind") != "passive_like", F.col("drop_reason")).alias("drop_reason"))
     return labels.join(of, [*GROUP, "cluster"]).select(*GROUP, "word", "label", "cluster", "kind", "parent", "suppressed", "drop_reason")
+
+
+#: The text of a label from a ball grid.
+GRID_TEXT = "^[A-Z]{1,2}[0-9]{1,2}$"
+
+
+def page_features(pages: DataFrame, entries: DataFrame, pins: DataFrame) -> DataFrame:
+    """(page, pins, parented, orphans, ratio, tied, grid) of every page (page), those without labels too.
+
+    Of the pin labels of a page: how many were given a parent or not, stand in clusters whose parents tie, or look like
+    a ball grid's.
+    """
+    labels, of = qualified_clusters(entries, pins)
+    of = of.select(*GROUP, "cluster", (F.col("drop_reason").isNull() & F.col("parent").isNotNull()).alias("has"), (F.coalesce("status", F.lit("")) == "ambiguous_tie").alias("ties"))
+    seen = labels.join(of, [*GROUP, "cluster"]).groupBy("page").agg(F.count("*").alias("pins"), F.count_if("has").alias("parented"), F.count_if("ties").alias("tied"), F.count_if(F.col("label").rlike(GRID_TEXT)).alias("grid"))
+    rows = pages.select("page").distinct().join(seen, "page", "left").na.fill(0)
+    orphans = F.col("pins") - F.col("parented")
+    return rows.select("page", "pins", "parented", orphans.alias("orphans"), F.coalesce(F.try_divide(orphans, F.col("pins")), F.lit(0.0)).alias("ratio"), "tied", "grid")

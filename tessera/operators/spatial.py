@@ -53,18 +53,19 @@ def rank_parents(pairs: DataFrame, key: list[str]) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).filter("rank = 1").drop("rank")
 
 
-def page_metrics(pages: DataFrame, pins: DataFrame) -> DataFrame:
-    """(page, pins, parented, orphans, ratio) of every page, those without pins too; pins: page, parented."""
-    seen = pins.groupBy("page").agg(F.count("*").alias("pins"), F.sum(F.col("parented").cast("long")).alias("parented"))
-    rows = pages.join(seen, "page", "left").select("page", F.coalesce("pins", F.lit(0)).alias("pins"), F.coalesce("parented", F.lit(0)).alias("parented"))
-    return rows.withColumn("orphans", F.col("pins") - F.col("parented")).withColumn("ratio", F.coalesce(F.try_divide(F.col("pins") - F.col("parented"), F.col("pins")), F.lit(0.0)))
-
-
 def gated_pages(metrics: DataFrame, least_orphans: int = 5, least_ratio: float = 0.30, least_pins: int = 3) -> DataFrame:
     """Pages worth a geometry pass."""
     return metrics.filter((F.col("orphans") >= least_orphans) & (F.col("ratio") >= least_ratio) & (F.col("pins") >= least_pins))
 
 
+#: What orphans, their ratio, tied and grid labels, and a table's likeness weigh when pages are ranked.
+PAGE_WEIGHTS = {"orphans": 1.0, "ratio": 100.0, "tied": 2.0, "grid": 0.5, "table_score": -50.0}
+
+
 def ranked_pages(metrics: DataFrame, most: int = 10) -> DataFrame:
-    """The pages with the highest scores; a top-k, so it sorts within partitions and merges."""
-    return metrics.withColumn("score", F.col("orphans") + 100 * F.col("ratio")).orderBy(F.desc("score"), "page").limit(most)
+    """The pages with the highest scores; a top-k, so it sorts within partitions and merges.  Terms that metrics lack count nothing.
+
+    Pages that are not worth a pass are left out before (``gated_pages``), so that they take no place.
+    """
+    score = sum((F.col(c) * w for c, w in PAGE_WEIGHTS.items() if c in metrics.columns), F.lit(0.0))
+    return metrics.withColumn("score", F.round(score, 9)).orderBy(F.desc("score"), "page").limit(most)

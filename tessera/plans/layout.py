@@ -73,17 +73,6 @@ _flagged = lambda v: words(v).join(_near(v), "word", "left").withColumn("near",
 _named = "SELECT a.word, r.txt || '-' || a.txt AS mapping FROM ({}) m JOIN v_words a ON a.word = m.word JOIN v_words r ON r.word = m.ref"
 _clusters = lambda v: words(v).select(F.floor(F.col("x") / 120).alias("cx"), F.floor(F.col("y") / 120).alias("cy"), "page", "txt", "word")
 add("sp_indexes", lambda v: _clusters(v).groupBy("page", "cx", "cy").agg(F.count("*").alias("n")), "SELECT page, floor(x / 120)::BIGINT AS cx, floor(y / 120)::BIGINT AS cy, count(*) AS n FROM v_words GROUP BY 1, 2, 3", WD)
-#: Pages with drawings, and as many of the first ones again without any.
-_pages = lambda v: v.v_boxes.select("page").distinct().unionByName(v.v_boxes.filter("page < 5").select((-1 - F.col("page")).alias("page")).distinct())
-_square = "(x1 - x0) / (y1 - y0) BETWEEN 0.8 AND 1.5"
-_few = lambda v: words(v).join(S.near(words(v), boxes(v).filter(_square), 10.0).select("word").distinct().withColumn("near", F.lit(True)), "word", "left").withColumn("near", F.coalesce("near", F.lit(False)))
-_metrics = lambda v: S.page_metrics(_pages(v), _few(v).filter("txt LIKE 'U%'").select("page", F.col("near").alias("parented")))
-_mt = f"nr AS (SELECT DISTINCT w.word FROM v_words w JOIN v_boxes b ON w.page = b.page AND {_gap} <= 10 AND {_square}), mt AS (SELECT p.page, count(w.word) AS pins, count(nr.word) AS parented FROM (SELECT DISTINCT page FROM v_boxes UNION ALL SELECT DISTINCT -1 - page FROM v_boxes WHERE page < 5) p LEFT JOIN (SELECT * FROM v_words WHERE txt LIKE 'U%') w ON p.page = w.page LEFT JOIN nr ON w.word = nr.word GROUP BY 1), mm AS (SELECT *, pins - parented AS orphans, coalesce((pins - parented) / nullif(pins, 0), 0)::DOUBLE AS ratio FROM mt)"
-_r = lambda df, c="ratio": df.withColumn(c, F.round(c, 9))
-add("agg_page_metrics", lambda v: _r(_metrics(v)), f"WITH {_mt} SELECT page, pins, parented, orphans, round(ratio, 9) AS ratio FROM mm", WB)
-add("sp_gate", lambda v: S.gated_pages(_metrics(v), 5, 0.30).select("page"), f"WITH {_mt} SELECT page FROM mm WHERE orphans >= 5 AND ratio >= 0.30 AND pins >= 3", WB)
-add("win_rank_pages", lambda v: _r(S.ranked_pages(_metrics(v)), "score").select("page", "score"), f"WITH {_mt} SELECT page, round(orphans + 100 * ratio, 9) AS score FROM mm ORDER BY orphans + 100 * ratio DESC, page LIMIT 10", WB)
-add("sp_sparse", lambda v: _metrics(v).filter("pins > 0 AND parented * 2 < pins").select("page"), f"WITH {_mt} SELECT page FROM mm WHERE pins > 0 AND parented * 2 < pins", WB)
 
 # result tables
 SN = ("v_snap_a", "v_bom")
@@ -134,6 +123,3 @@ add("gen_orphan_pins", lambda v: _flagged(v).withColumn("d", F.expr(_disp)).grou
 _ladder = "CASE WHEN txt LIKE 'R%' THEN 'refdes' WHEN box IS NOT NULL THEN 'box' WHEN near THEN 'pin' ELSE 'dropped' END"
 add("sp_harvest", lambda v: _flagged(v).join(inside(v), "word", "left").select("word", F.expr(_ladder).alias("disposition")),
     f"WITH {_sm}, nr AS (SELECT DISTINCT w.word FROM v_words w JOIN v_boxes b ON w.page = b.page AND {_gap} <= 10) SELECT word, {_ladder} AS disposition FROM (SELECT w.*, sm.box, w.word IN (SELECT word FROM nr) AS near FROM v_words w LEFT JOIN sm ON w.word = sm.word) q", WB)
-add("sp_adaptive", lambda v: words(v).join(F.broadcast(S.ranked_pages(S.gated_pages(_metrics(v))).select("page")), "page", "left_semi").groupBy("page").agg(F.count("*").alias("n")),
-    f"WITH {_mt}, tp AS (SELECT page FROM mm WHERE orphans >= 5 AND ratio >= 0.30 AND pins >= 3 ORDER BY orphans + 100 * ratio DESC, page LIMIT 10) SELECT page, count(*) AS n FROM v_words WHERE page IN (SELECT page FROM tp) GROUP BY 1", WB)
-

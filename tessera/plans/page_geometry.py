@@ -92,10 +92,13 @@ add("sp_process_page", lambda v: A.mapped(found(v))[0], f"{_base} SELECT * FROM
 add("sp_mappings", lambda v: A.mapped(found(v))[0].select("page", "pin", "full", "confidence"), f'{_base} SELECT page, pin, "full", confidence FROM mp', VIEWS)
 
 
+#: Pages with drawings, and as many of the first ones again without any.
+_pages = lambda v: v.v_drawing.select("page").distinct().unionByName(v.v_drawing.filter("page < 5").select((-1 - F.col("page")).alias("page")).distinct())
+
+
 def page_counts(v):
-    """Pin labels of each page with drawings, and how many the pin list gave a parent."""
-    labels = once(Q.qualify(v.v_entry, v.v_pinlist).select("page", F.col("parent").isNotNull().alias("parented")))
-    return S.page_metrics(v.v_drawing.select("page").distinct(), labels)
+    """What the pin list left of the pin labels of each page."""
+    return Q.page_features(_pages(v), v.v_entry, v.v_pinlist)
 
 
 def analysis(v):
@@ -109,9 +112,21 @@ def analysis(v):
     return pins.unionByName(rects.select("page", F.lit("body").alias("kind"), F.col("refdes").alias("name"), nothing.alias("full"), "x0", "y1"))
 
 
-#: Entries' pages with counts; its base has the names of the pin clusters, which the page pipeline does not use.
-counted = """pc AS (SELECT d.page, count(lb.word) AS pins, count(lb.word) FILTER (drop_reason IS NULL AND parent IS NOT NULL) AS parented FROM (SELECT DISTINCT page FROM v_drawing) d LEFT JOIN lb ON lb.page = d.page LEFT JOIN cs USING (cluster) GROUP BY 1),
-gt AS (SELECT page FROM pc WHERE pins >= 3 AND pins - parented >= 5 AND (pins - parented) / pins >= 0.30)"""
+#: Pages with counts; ``gt`` has those worth a pass.
+counted = """pc AS (SELECT *, pins - parented AS orphans, coalesce((pins - parented) / nullif(pins, 0), 0)::DOUBLE AS ratio FROM (SELECT d.page, count(lb.word) AS pins, count(lb.word) FILTER (drop_reason IS NULL AND parent IS NOT NULL) AS parented,
+    count(lb.word) FILTER (status = 'ambiguous_tie') AS tied, count(lb.word) FILTER (regexp_matches(label, '^[A-Z]{1,2}[0-9]{1,2}$')) AS grid
+    FROM (SELECT DISTINCT page FROM v_drawing UNION ALL SELECT DISTINCT -1 - page FROM v_drawing WHERE page < 5) d LEFT JOIN lb ON lb.page = d.page LEFT JOIN cs USING (cluster) GROUP BY 1) z),
+gt AS (SELECT * FROM pc WHERE pins >= 3 AND orphans >= 5 AND ratio >= 0.30),
+rk AS (SELECT page, round(orphans + 100 * ratio + 2 * tied + 0.5 * grid, 9) AS score FROM gt ORDER BY score DESC, page LIMIT 10)"""
+PAGES = ("v_drawing", *QP.VIEWS)
+_round = lambda df: df.withColumn("ratio", F.round("ratio", 9))
+_top = lambda v: S.ranked_pages(S.gated_pages(once(page_counts(v))))
+add("agg_page_metrics", lambda v: _round(page_counts(v)), f"{QP.base}, {counted} SELECT page, pins, parented, orphans, round(ratio, 9) AS ratio, tied, grid FROM pc", PAGES)
+add("sp_gate", lambda v: S.gated_pages(page_counts(v)).select("page"), f"{QP.base}, {counted} SELECT page FROM gt", PAGES)
+add("sp_sparse", lambda v: page_counts(v).filter("pins > 0 AND parented * 2 < pins").select("page"), f"{QP.base}, {counted} SELECT page FROM pc WHERE pins > 0 AND parented * 2 < pins", PAGES)
+add("win_rank_pages", lambda v: _top(v).select("page", "score"), f"{QP.base}, {counted} SELECT page, score FROM rk", PAGES)
+add("sp_adaptive", lambda v: v.v_entry.join(F.broadcast(_top(v).select("page")), "page", "left_semi").groupBy("page").agg(F.count("*").alias("n")),
+    f"{QP.base}, {counted} SELECT page, count(*) AS n FROM v_entry WHERE page IN (SELECT page FROM rk) GROUP BY 1", PAGES)
 both_bases = _base.replace("WITH RECURSIVE ", QP.base + ", ", 1)
 add("sp_analyze_document", analysis,
     f"""{both_bases}, {counted} SELECT page, 'pin' AS kind, pin AS name, "full", NULL::DOUBLE AS x0, NULL::DOUBLE AS y1 FROM mp WHERE page IN (SELECT page FROM gt)
