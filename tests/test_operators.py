@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import labels, numeric, tokens
-from tessera.operators import audit, classify, cluster, compare, explode, ranges, unified, upsert
+from tessera.operators import audit, classify, cluster, compare, explode, link, ranges, unified, upsert
 from tessera.sources import headers, readers
 from tessera.streaming import heartbeats
 
@@ -210,6 +210,19 @@ def test_running_values(spark):
             last = v if v is not None else last
 
 
+def test_long_numbers_are_linked(spark):
+    fmea = spark.createDataFrame([(1, "r120001 ", "1", "0.6"), (2, "R7 of R8", "1", "0.4"), (3, "J1234567-4", "1", "1")], "row_no long, cause string, usage string, ratio string")
+    found = link.link(fmea, link.rates(spark.createDataFrame([("R0120001", "5"), ("R7", "2")], "pred_ref string, pred_fr string")))
+    rows = {r["row_no"]: (r["ref"], r["instance"], r["part_fr"], list(r["notes"])) for r in found.collect()}
+    assert rows == {1: ("R120001", "R120001", 5.0, []), 2: ("R7", "R7", 2.0, []), 3: ("", "J1234567-4", 0.0, [])}
+
+
+def test_numbers_only_rule(spark):
+    a, b = F.lit("20"), F.lit("")
+    got = spark.range(1).select(compare.differs(a, b, "numbers"), compare.differs(a, b, "numeric"), compare.differs(a, F.lit("20.0"), "numbers"), compare.differs(a, F.lit("21"), "numbers")).first()
+    assert tuple(got) == (False, True, False, True)
+
+
 def test_upsert(spark):
     """Each action once, keys that differ in writing only, and a key that is twice on one side."""
     kind = "row_no long, row_type string, fmea_id string, cause string, failure_mode string, ratio string, usage string"
