@@ -114,3 +114,15 @@ def test_pages_hold_every_case(views):
     assert {(r["class"], r["confidence"]) for r in found["tokens"].collect()} == {("REFDES", 0.9), ("PIN_LABEL", 0.85), ("PIN_LABEL", 0.75), ("PIN_LABEL", 0.7), ("NET_LABEL", 0.7), ("JUNK", 0.0)}
     nothing = pages.mapped(pages.extracted(views.v_drawing.limit(0), views.v_token.limit(0)))
     assert nothing[0].count() == 0 and nothing[1].count() == 0
+
+
+@pytest.mark.parametrize("name", ["sj_parent", "sj_disambiguate", "sp_harvest", "sj_point_in_rect", "sj_nearest_in_box"])
+def test_no_rectangle_in_cells_is_broadcast(spark, name):
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_pairs_of_a_point_are_not_shuffled_again(spark, views):
+    plan = S.smallest_box(views.v_words, views.v_boxes, "word")._jdf.queryExecution().executedPlan().toString()
+    # the number of a word, the rank of a box, and both sides of the join
+    assert plan.count("Exchange hashpartitioning") == 4
