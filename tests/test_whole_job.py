@@ -126,3 +126,9 @@ def test_pairs_of_a_point_are_not_shuffled_again(spark, views):
     plan = S.smallest_box(views.v_words, views.v_boxes, "word")._jdf.queryExecution().executedPlan().toString()
     # the number of a word, the rank of a box, and both sides of the join
     assert plan.count("Exchange hashpartitioning") == 4
+
+
+@pytest.mark.parametrize("name", ["fn_iou", "fn_rects", "fn_pin_score", "fn_bias_distance"])
+def test_pairs_of_boxes_are_whole(spark, views, name):
+    pages = [r["count"] for r in views.v_boxes.groupBy("page").count().collect()]
+    assert registry.queries()[name](spark, SF).count() == sum(n * (n - 1) // 2 for n in pages)
