@@ -132,3 +132,16 @@ def test_pairs_of_a_point_are_not_shuffled_again(spark, views):
 def test_pairs_of_boxes_are_whole(spark, views, name):
     pages = [r["count"] for r in views.v_boxes.groupBy("page").count().collect()]
     assert registry.queries()[name](spark, SF).count() == sum(n * (n - 1) // 2 for n in pages)
+
+
+def test_parts_of_pins_are_listed_in_few_cells(spark):
+    pins = spark.createDataFrame([(1, k, 40.0 * (k % 9), 40.0 * (k // 9)) for k in range(81)], "page long, word long, x double, y double")
+    parts = pins.selectExpr("page", "word AS root", "CAST(x / 40 AS LONG) AS sx", "CAST(y / 40 AS LONG) AS sy")
+    for far in (True, False):
+        pairs = cluster._pairs_of_parts(parts, ["page"], far)
+        got = {tuple(r) for r in pairs.select("root", "t_root").collect()}
+        near = lambda a, b: (abs(a % 9 // 3 - b % 9 // 3) <= 1) and (abs(a // 27 - b // 27) <= 1)
+        gap = lambda d: d + 1 if far else max(d - 1, 0)
+        want = {tuple(sorted((a, b), key=lambda k: (k % 9, k // 9))) for a in range(81) for b in range(a) if near(a, b) and np.hypot(gap(abs(a % 9 - b % 9)), gap(abs(a // 9 - b // 9))) * 40 <= cluster.PIN_REACH}
+        assert got == want and pairs.count() == len(want)
+    assert parts.select("root").distinct().count() == 81 and dict(parts.dtypes)["root"] == "bigint"
