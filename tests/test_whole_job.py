@@ -83,6 +83,25 @@ def test_every_status_of_qualified_pins_occurs(spark, views):
     assert empty.count() == 0 and qualify.qualify(entries, views.v_pinlist.limit(0)).filter("parent IS NOT NULL").count() == 0
 
 
+def _shuffled(spark) -> int:
+    """Records written to shuffles by the session so far."""
+    none = spark._jvm.java.util.ArrayList()
+    stages = spark._jsc.sc().statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_pages_are_counted_with_few_shuffles_of_their_labels(spark, views):
+    before = _shuffled(spark)
+    assert page_geometry.page_counts(views).count() > 0
+    assert _shuffled(spark) - before < 6 * views.v_entry.count()
+
+
+def test_large_groups_are_clustered_like_small_ones(views):
+    entries = qualify.marked(views.v_entry)
+    lists, mixed, joins = ({tuple(r) for r in qualify.clusters_of(entries, most).collect()} for most in (128, 8, 0))
+    assert lists == mixed == joins and len(lists) > 2000
+
+
 def test_types_of_every_part_number(views):
     rows = [tuple(r) for r in views.v_hda.select("part_number", "row_no").collect()]
     least = {}
