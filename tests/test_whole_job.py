@@ -102,6 +102,16 @@ def test_large_groups_are_clustered_like_small_ones(views):
     assert lists == mixed == joins and len(lists) > 2000
 
 
+def test_bom_of_a_generation_is_not_broadcast(spark):
+    """Neither as planned nor as run, where sizes are known to be small."""
+    for name, most in (("join_bom_index", 0), ("fn_usage_check", 1)):
+        df = registry.queries()[name](spark, SF)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        # the part list, one row a part number, may be
+        assert plan.count("BroadcastHashJoin") <= most, name
+
+
 def test_types_of_every_part_number(views):
     rows = [tuple(r) for r in views.v_hda.select("part_number", "row_no").collect()]
     least = {}
