@@ -112,6 +112,16 @@ def test_bom_of_a_generation_is_not_broadcast(spark):
         assert plan.count("BroadcastHashJoin") <= most, name
 
 
+def test_a_point_is_compared_until_a_rectangle_is_met(spark):
+    points = spark.createDataFrame([(1, 1, 0.0, 0.0), (2, 1, 31.0, 0.0), (3, 2, 0.0, 0.0), (4, None, 0.0, 0.0), (5, 1, None, 0.0)], "word long, page long, x double, y double")
+    rects = spark.createDataFrame([(1, k, 0.0, 0.0, 20.0 + k, 5.0) for k in range(3)], "page long, box long, x0 double, y0 double, x1 double, y1 double")
+    for also, want in ((None, {1, 2}), (F.col("box") == 0, {1})):
+        met = S.touching(points, rects, "near", 10.0, also=also)
+        assert {r["word"]: r["near"] for r in met.collect()} == {k: k in want for k in range(1, 6)}
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "LeftSemi" in plan and "Aggregate" not in plan
+
+
 def test_types_of_every_part_number(views):
     rows = [tuple(r) for r in views.v_hda.select("part_number", "row_no").collect()]
     least = {}
