@@ -2,7 +2,9 @@
 
 The split pattern of byte-level BPE never lets a token run across a place where a non-space character
 is followed by white space.  So a text cut at such places may be encoded chunk by chunk, and as most
-chunks are words seen before, a worker keeps their ids.
+chunks are words seen before, a worker keeps their ids.  ``ChunkEncoder`` takes Python strings;
+``ColumnEncoder`` cuts the bytes of an Arrow column, so that only the distinct chunks of a batch become
+Python objects.
 """
 
 from __future__ import annotations
@@ -10,7 +12,12 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable, Iterable
-from itertools import islice
+from itertools import islice, repeat
+
+import numpy as np
+import pyarrow as pa
+
+from tessera.llm.common import utf8
 
 _SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
 _ASCII_RUNS = [a + b for a in _SPACES if a < "\x80" for b in " \n"]
@@ -73,3 +80,83 @@ class ChunkEncoder:
             b"".join(map(of_raw, pieces)) if first is None else raw[first] + b"".join(map(of_spaced, pieces))
             for first, pieces in plans
         ]
+
+
+# ---- Arrow columns -----------------------------------------------------------------------------------
+
+_MARKS = b".,;:!?"
+_letter = np.zeros(256, bool)
+_letter[[*range(65, 91), *range(97, 123)]] = True
+
+#: What may begin a chunk: a space or line feed after a character that is no white space, a mark after a letter.
+_first = np.zeros(256, np.uint8)
+_first[[0x20, 0x0A]] = 1
+_first[list(_MARKS)] = 2
+
+#: By the last two bytes of a character, whether it may be white space.  A cut left out does no harm.
+_white = np.zeros((256, 256), bool)
+_white[:, [ord(c) for c in _SPACES if c < "\x80"]] = True
+for _c in _SPACES:
+    if _c >= "\x80":
+        _white[_c.encode()[-2], _c.encode()[-1]] = True
+
+#: Chunks a worker keeps by a column's bytes, and the bytes of the longest that it keeps.
+KEPT_COLUMN_CHUNKS, LONGEST_KEPT = 400_000, 64
+
+
+def chunk_offsets(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the chunks of consecutive UTF-8 texts begin, in bytes, and the end of the last.  No chunk is empty."""
+    begins = np.zeros(len(raw) + 1, bool)
+    kinds = _first[raw]
+    at = np.flatnonzero(kinds[1:]) + 1  # the first byte begins a text
+    before = raw[at - 1]
+    begins[at[np.where(kinds[at] == 1, ~_white[raw[at - 2], before], _letter[before])]] = True
+    begins[offsets] = True
+    return np.flatnonzero(begins)
+
+
+class ColumnEncoder:
+    """Ids of the texts of a column, an end id after each, from an encoder of distinct chunks.
+
+    ``encode_chunks`` gives the ids of all its chunks in a row, and their number for each chunk.  With ``whole``
+    texts are not cut, as a tokenizer needs whose tokens run across the cuts.
+    """
+
+    def __init__(self, encode_chunks: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], end: int, whole: bool = False, kept: int = KEPT_COLUMN_CHUNKS):
+        self.encode_chunks, self.whole, self.kept = encode_chunks, whole, kept
+        self.places: dict[bytes, int] = {}  # of chunks in ids
+        self.ids = pa.array([[end]], pa.list_(pa.int32()))
+
+    def _learn(self, chunks: list[bytes]) -> pa.ListArray:
+        ids, counts = self.encode_chunks([c.decode() for c in chunks])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
+
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        """array<int> of each text; a null is an empty text."""
+        raw, offsets = utf8(texts)
+        begins = np.unique(offsets) if self.whole else chunk_offsets(raw, offsets)
+        coded = pa.BinaryArray.from_buffers(
+            pa.binary(), len(begins) - 1, [None, pa.py_buffer(begins.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))]
+        ).dictionary_encode()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        places = np.fromiter(map(self.places.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing, ids = np.flatnonzero(places < 0), self.ids
+        if len(missing):
+            new = [chunks[k] for k in missing.tolist()]
+            found = self._learn(new)
+            places[missing] = len(ids) + np.arange(len(new))
+            ids = pa.concat_arrays([ids, found])
+            self._keep(new, found)
+        first = np.searchsorted(begins, offsets)  # each text's chunk
+        lists = ids.take(pa.array(np.insert(places[coded.indices.to_numpy()], first[1:], 0)))
+        return pa.ListArray.from_arrays(lists.offsets.take(pa.array(first + np.arange(len(first)))), lists.values)
+
+    def _keep(self, chunks: list[bytes], found: pa.ListArray) -> None:
+        """Keep new chunks; when they are too many, those met first, the frequent ones as a rule, outlive a clearing."""
+        if len(self.places) > self.kept:
+            self.places = dict(islice(self.places.items(), self.kept // 2))
+            self.ids = self.ids[: len(self.places) + 1]
+        short = np.fromiter(map(len, chunks), np.int64, len(chunks)) <= LONGEST_KEPT
+        kept = [chunks[k] for k in np.flatnonzero(short).tolist()]
+        self.places.update(zip(kept, range(len(self.ids), len(self.ids) + len(kept)), strict=True))
+        self.ids = pa.concat_arrays([self.ids, found.filter(pa.array(short))])

@@ -18,8 +18,10 @@ An empty table gives an empty file set.  Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.chunks import ChunkEncoder, pack_ids
+from tessera.llm.chunks import ColumnEncoder
 from tessera.llm.common import bounded_batches, slices, staging_path
 
 WRITE_OPTIONS = {
@@ -43,47 +45,67 @@ WRITE_OPTIONS = {
 }
 SCHEMA = "part int, at long, doc_id long, n_tokens long, ids array<int>"
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
 #: Unseen chunks put together for one call of the tokenizer.
 TOGETHER = 512
 
+#: Bytes of texts whose distinct chunks are looked up together.
+_BATCH = 4_000_000
+
+_encoders: dict[tuple[str, int], ColumnEncoder] = {}
+
+
+def _cuttable(tokenizer) -> bool:
+    """Whether no token of the tokenizer runs across the cuts: byte-level, by its usual pattern, and added tokens without their characters."""
+    spec = json.loads(tokenizer.to_str())
+    before = spec["pre_tokenizer"] or {}
+    usual = spec["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    return usual and not any(
+        any(t[k] for k in ("single_word", "lstrip", "rstrip", "normalized")) or any(c.isspace() or c in ".,;:!?" for c in t["content"])
+        for t in spec["added_tokens"]
+    )
+
 
-def _encoder(tokenizer_path: str) -> ChunkEncoder:
+def _encoder(tokenizer_path: str, end_id: int) -> ColumnEncoder:
     """One for each worker process, kept between tasks.
 
-    Chunks that begin with their only space or line feed are joined before they are encoded: the cuts
-    between them are safe, and a token that begins with a space or line feed begins a chunk.
+    Chunks that begin with their only space or line feed and do not end with white space are joined before they
+    are encoded: the cuts between them are safe, and a token that begins with a space or line feed begins a chunk.
     """
-    if tokenizer_path in _encoders:
-        return _encoders[tokenizer_path]
+    key = tokenizer_path, end_id
+    if key in _encoders:
+        return _encoders[key]
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
+    cuttable = _cuttable(tokenizer)
     size = max(tokenizer.get_vocab().values()) + 1
     begins = np.array([(tokenizer.id_to_token(i) or "")[:1] in ("\u0120", "\u010a") for i in range(size)])
 
-    def one(chunk: str) -> bytes:
-        return pack_ids(tokenizer.encode(chunk, add_special_tokens=False).ids)
-
-    def encode_chunks(chunks: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(chunks), TOGETHER):
-            part = chunks[at : at + TOGETHER]
-            joined = "".join(part)
-            if joined.count(" ") + joined.count("\n") == len(part) and all(c[:1] in (" ", "\n") for c in part):
-                ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-                starts = np.flatnonzero(begins[ids])
-                if len(starts) == len(part):
-                    data, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-                    out += [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                    continue
-            out += map(one, part)
-        return out
-
-    _encoders[tokenizer_path] = ChunkEncoder(encode_chunks)
-    return _encoders[tokenizer_path]
+    def encode_joined(chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        ids = np.array(tokenizer.encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids, np.int64)
+        starts = np.flatnonzero(begins[ids])
+        return (ids, np.diff(starts, append=len(ids))) if len(starts) == len(chunks) else None
+
+    def encode_each(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [tokenizer.encode(c, add_special_tokens=False).ids for c in chunks]
+        return np.array(list(chain.from_iterable(ids)), np.int64), np.array(list(map(len, ids)), np.int64)
+
+    def encode_chunks(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        joins = [cuttable and c[0] in " \n" and c.count(" ") + c.count("\n") == 1 and not c[-1].isspace() for c in chunks]
+        order = sorted(range(len(chunks)), key=joins.__getitem__)
+        single = len(chunks) - sum(joins)
+        found = [encode_each([chunks[k] for k in order[:single]])]
+        for at in range(single, len(order), TOGETHER):
+            part = [chunks[k] for k in order[at : at + TOGETHER]]
+            found.append(encode_joined(part) or encode_each(part))
+        ids, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return lists.take(pa.array(back)).values.to_numpy(), counts[back]
+
+    _encoders[key] = ColumnEncoder(encode_chunks, end_id, whole=not cuttable)
+    return _encoders[key]
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
@@ -93,21 +115,19 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     must exist on every worker.
     """
     bounded_batches(docs.sparkSession)
-    end = np.array([end_id], "<u4").tobytes()
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0
-        for batch in slices(batches):
-            coded = [x + end for x in encoder.encode([t or "" for t in batch.column("text").to_pylist()])]
-            n = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-            offsets = np.concatenate([[0], np.cumsum(n)])
+        encoder, part, at = _encoder(tokenizer_path, end_id), TaskContext.get().partitionId(), 0
+        for batch in slices(batches, most=_BATCH):
+            ids = encoder.encode(batch.column("text"))
+            offsets = ids.offsets.to_numpy().astype(np.int64)
+            n = np.diff(offsets)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(len(n), part, np.int32)),
                     pa.array(at + offsets[:-1]),
                     batch.column("doc_id"),
                     pa.array(n),
-                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), "<i4"))),
+                    ids,
                 ],
                 names=["part", "at", "doc_id", "n_tokens", "ids"],
             )
