@@ -83,6 +83,29 @@ def test_parents_are_those_of_the_reference(drawing):
     assert got == want and {v[1] for v in want.values()} == {"body", "text"} and {v[2] > 0 for v in want.values()} == {True, False}
 
 
+def test_pins_are_chosen_as_in_the_reference(spark, drawing):
+    rows, bodies, _, t = drawing
+    r = np.random.default_rng(4)
+    maps = [(p, f"p{p}_pin_{n}", ref, text, f"{ref}-{text}") for p in range(3) for n, (ref, text) in enumerate((b[1], str(x)) for b in bodies if b[0] == p for x in r.choice(["1", "2", "A1", "VCC"], 2))]
+    rect = {(b[0], b[1]): b[2:] for b in bodies}
+    want = {}
+    for (page, _), (of, box) in grouped(rows).items():
+        for _, _, word, x, y, text in of:
+            pins = [m for m in maps if m[0] == page and m[3] == text.strip() and kinds(text)[1]]
+            pins = [m for m in pins if page + 1 in LISTED.get(bare(m[2]), ())] or pins
+            if not pins:
+                continue
+            where = [rect[page, m[2]] for m in pins]
+            inside = [m for m, b in zip(pins, where, strict=True) if box[0] <= middle(b)[0] <= box[2] and box[1] <= middle(b)[1] <= box[3]]
+            over = [m for m, b in zip(pins, where, strict=True) if overlap(box, b)]
+            near = min(range(len(pins)), key=lambda k: ((x - middle(where[k])[0]) ** 2 + (y - middle(where[k])[1]) ** 2, k))
+            tier, pin = ("only", pins[0]) if len(pins) == 1 else ("inside", inside[0]) if inside else ("overlapping", over[0]) if over else ("nearest", pins[near])
+            want[word] = (pin[1], pin[4], tier, len(pins))
+    chosen = R.chosen_pins(t["entries"], spark.createDataFrame(maps, "page long, pin string, refdes string, label string, full string"), t["bodies"], t["listed"])
+    assert {x["word"]: (x["pin"], x["full"], x["tier"], x["candidates"]) for x in chosen.collect()} == want
+    assert {v[2] for v in want.values()} == {"only", "inside", "overlapping", "nearest"}
+
+
 def test_nothing_near_gives_nothing(drawing):
     t = drawing[3]
     none = R.parents_of(t["entries"].filter("NOT is_part"), t["bodies"].limit(0), t["pins"], t["listed"])
