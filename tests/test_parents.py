@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 
+from tessera.operators import adaptive, qualify
 from tessera.operators import parents as R
+from tessera.sources.fixtures import Views
 
 ENTRY, BODY = "page long, grp long, word long, x double, y double, txt string", "page long, refdes string, x0 double, y0 double, x1 double, y1 double"
 LISTED = {"U1": {1, 3}, "U2": {2}, "J3": {1}}
@@ -110,3 +112,31 @@ def test_nothing_near_gives_nothing(drawing):
     t = drawing[3]
     none = R.parents_of(t["entries"].filter("NOT is_part"), t["bodies"].limit(0), t["pins"], t["listed"])
     assert none.count() == 0
+
+
+def test_labels_by_geometry(spark):
+    rows = [
+        (0, 1, 1, 10.0, 10.0, "1"), (0, 1, 2, 20.0, 10.0, "A1"), (0, 1, 3, 30.0, 10.0, "B9"), (0, 2, 4, 5000.0, 5000.0, "J9"), (0, 2, 5, 5010.0, 5000.0, "3"), (0, 2, 6, 7000.0, 5000.0, "4"),
+        (0, 3, 7, 9000.0, 0.0, "R5"), (0, 3, 8, 9010.0, 0.0, "2"), (1, 4, 9, 0.0, 0.0, "7"), (1, None, 10, 0.0, 0.0, "8"),
+    ]
+    maps = spark.createDataFrame([(0, "p0_pin_0", "U1", "1", "U1-1")], "page long, pin string, refdes string, label string, full string")
+    pins = spark.createDataFrame([(p,) for p in ("U1-1", "U1-A1", "J9-3", "R5-2", "PIN-7")], "pin string")
+    bodies, listed = spark.createDataFrame([(0, "U1", 0.0, 0.0, 50.0, 50.0)], BODY), spark.createDataFrame([], "parent string, at array<long>")
+    got = adaptive.by_geometry(R.read(spark.createDataFrame(rows, ENTRY)), maps, bodies, pins, listed)
+    assert {r["word"]: (r["value"], r["source"]) for r in got.collect()} == {
+        1: ("U1-1", "geometry"), 2: ("U1-A1", "parent"), 3: (None, "filtered"), 5: ("J9-3", "box text"), 6: (None, "filtered"), 8: (None, "passive prefix"), 9: ("PIN-7", "unqualified"),
+    }
+
+
+def test_only_pages_chosen_have_geometry(spark):
+    v = Views(spark, "/root/testdata/sf0.001")
+    pages = v.v_drawing.select("page").distinct()
+    first = {r["word"]: r for r in qualify.qualify(v.v_entry, v.v_pinlist).collect()}
+    rows = adaptive.extracted(v.v_entry, v.v_pinlist, v.v_bom, v.v_drawing, v.v_token, pages, most=1).collect()
+    assert sorted(r["word"] for r in rows) == sorted(first)
+    late = [r for r in rows if r["source"] not in ("pin list", "suppressed", "dropped")]
+    assert len({r["page"] for r in late}) == 1 and {r["page"] for r in rows if r["source"] == "dropped"} == {0, 1, 2} - {late[0]["page"]}
+    for r in rows:
+        q = first[r["word"]]
+        assert (r["source"] == "pin list") == (q["parent"] is not None) and (r["source"] == "suppressed") == q["suppressed"]
+        assert q["parent"] is None or r["value"] == f"{q['parent']}-{q['label']}"
