@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tessera.operators import adaptive, qualify
+from tessera.operators import adaptive, pages, qualify
 from tessera.operators import parents as R
 from tessera.sources.fixtures import Views
 
@@ -130,9 +130,9 @@ def test_labels_by_geometry(spark):
 
 def test_only_pages_chosen_have_geometry(spark):
     v = Views(spark, "/root/testdata/sf0.001")
-    pages = v.v_drawing.select("page").distinct()
+    drawn = v.v_drawing.select("page").distinct()
     first = {r["word"]: r for r in qualify.qualify(v.v_entry, v.v_pinlist).collect()}
-    rows = adaptive.extracted(v.v_entry, v.v_pinlist, v.v_bom, v.v_drawing, v.v_token, pages, most=1).collect()
+    rows = adaptive.extracted(v.v_entry, v.v_pinlist, v.v_bom, v.v_drawing, v.v_token, drawn, most=1).collect()
     assert sorted(r["word"] for r in rows) == sorted(first)
     late = [r for r in rows if r["source"] not in ("pin list", "suppressed", "dropped")]
     assert len({r["page"] for r in late}) == 1 and {r["page"] for r in rows if r["source"] == "dropped"} == {0, 1, 2} - {late[0]["page"]}
@@ -140,3 +140,21 @@ def test_only_pages_chosen_have_geometry(spark):
         q = first[r["word"]]
         assert (r["source"] == "pin list") == (q["parent"] is not None) and (r["source"] == "suppressed") == q["suppressed"]
         assert q["parent"] is None or r["value"] == f"{q['parent']}-{q['label']}"
+
+
+def test_holders_and_labels_are_those_of_the_reference(spark):
+    rect = lambda item, *r, page=0: (page, item, "re", *map(float, r), 0.0)
+    drawings = [
+        rect(1, 300, 300, 100, 100), rect(2, 100, 100, 300, 300), rect(3, 0, 500, 149, 900), rect(4, 0, 500, 900, 599), rect(5, 1000, 0, 1150, 110),
+        rect(6, 2000, 0, 2200, 200), rect(7, 3000, 0, 3200, 200), rect(8, 0, 0, 1000, 1000, page=1), rect(9, 3, 3, 1000, 1000, page=2),
+    ]
+    texts = [
+        (0, 1, 150.0, 90.0, "CPU core"), (0, 2, 150.0, 85.0, "U12"), (0, 3, 150.0, 84.0, "note"), (0, 4, 150.0, 79.0, "FAR_1"), (0, 5, 160.0, 130.0, "LOW_1"), (0, 6, 50.0, 505.0, "SMALL_1"),
+        (0, 7, 1000.0, 30.0, "<adc 1>"), (0, 8, 1150.0, 30.0, "dac_1"), (0, 9, 2100.0, 31.0, "BELOW_1"), (0, 10, 3001.0, 3.0, "12"), (1, 11, 500.0, 5.0, "SHEET_1"), (2, 12, 500.0, 5.0, "SHEET_2"),
+    ]
+    tables = spark.createDataFrame(drawings, "page long, item long, kind string, x0 double, y0 double, x1 double, y1 double, radius double"), spark.createDataFrame(texts, "page long, word long, x double, y double, txt string")
+    got = lambda *sheets: {(r["page"], r["item"]): r["label"] for r in pages.labelled_holders(*tables, *sheets).collect()}
+    held = {(0, 1): "CPU CORE", (0, 5): "ADC 1"}
+    assert got() == held | {(1, 8): "SHEET_1", (2, 9): "SHEET_2"}
+    sheets = spark.createDataFrame([(0, 0.0, 0.0, 5000.0, 4000.0), (1, 0.0, 0.0, 1050.0, 1050.0), (2, 0.0, 0.0, 1000.0, 1000.0)], "page long, x0 double, y0 double, x1 double, y1 double")
+    assert got(sheets) == held
